@@ -73,10 +73,10 @@ def slices(batch: pa.RecordBatch, column: str = "text", limit: int = SLICE_BYTES
 class Words:
     """Words (maximal runs without ASCII white space) of a batch, A-Z lower-cased."""
 
-    def __init__(self, column: pa.Array):
+    def __init__(self, column: pa.Array, gaps: np.ndarray = _SPACE, lower: bool = True):
         raw, self.offsets = buffer_of(column)
-        self.bytes = _LOWER[raw]
-        word = ~_SPACE[raw]
+        self.bytes = _LOWER[raw] if lower else raw
+        word = ~gaps[raw]
         n = len(raw)
         before, after = np.zeros(n, bool), np.zeros(n, bool)
         before[1:] = word[:-1]
