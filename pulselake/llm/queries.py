@@ -5,8 +5,9 @@ from __future__ import annotations
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-from . import bpe, langid, quality, toxicity
+from . import bpe, langid, linededup, quality, toxicity
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -20,6 +21,12 @@ def vocabulary(name: str) -> str:
     return public_tokenizers.path(name)
 
 
+def op4_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    out = linededup.deduplicate(_table(spark, sf_dir, "documents").select("doc_id", "text"))
+    kept = F.sha2(F.coalesce("text", F.lit("")).cast("binary"), 256)
+    return out.select("doc_id", "n_lines", "n_dropped", kept.alias("kept_sha256"), F.array_join("keep_runs", ",").alias("keep_runs"))
+
+
 def op5_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     return langid.identify(_table(spark, sf_dir, "documents"))
 
@@ -37,10 +44,34 @@ def op8_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
+    "op4_line_dedup": op4_line_dedup,
     "op5_language_id": op5_language_id,
     "op6_toxicity": op6_toxicity,
     "op7_bpe_codec": op7_bpe_codec,
     "op8_quality_classifier": op8_quality_classifier,
 }
 
-ORACLE_SQL: dict[str, str] = {}
+ORACLE_SQL: dict[str, str] = {
+    "op4_line_dedup": r"""
+with lines as (
+    select doc_id, text, unnest(string_split(coalesce(text, ''), chr(10))) as line,
+           generate_subscripts(string_split(coalesce(text, ''), chr(10)), 1) as pos
+    from documents),
+keyed as (
+    select *, translate(trim(line, ' ' || chr(9) || chr(10) || chr(11) || chr(12) || chr(13)),
+                        'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') as k from lines),
+often as (
+    select k, max(doc_id) as keeper from keyed where length(k) >= 20 group by k having count(distinct doc_id) >= 3),
+marked as (
+    select d.doc_id, d.pos, d.line, (o.k is not null and d.doc_id <> o.keeper) as drop_it
+    from keyed d left join often o on d.k = o.k),
+per_doc as (
+    select doc_id, count(*) as n_lines, count(*) filter (drop_it) as n_dropped,
+           sha256(coalesce(string_agg(line, chr(10) order by pos) filter (not drop_it), '')) as kept_sha256,
+           coalesce(list(pos - 1 order by pos) filter (drop_it), []) as dropped
+    from marked group by doc_id)
+select doc_id, cast(n_lines as bigint) as n_lines, cast(n_dropped as bigint) as n_dropped, kept_sha256,
+       array_to_string(list_transform(dropped, lambda p, i: case when i = 1 then p else p - dropped[i - 1] - 1 end), ',') as keep_runs
+from per_doc
+""",
+}
