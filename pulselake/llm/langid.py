@@ -89,7 +89,7 @@ class LanguageModel:
         self.langs = sorted(set(langs))
         family = [FAMILIES.get(x, x) for x in langs]
         self.families = {f: sorted({x for x, g in zip(langs, family, strict=True) if g == f}) for f in sorted(set(family))}
-        x = features(pa.array(texts, pa.large_string())) if texts else None
+        x = Rows.in_slices(texts, features, 1 << BITS) if texts else None
         machines, self.bias = [], []
         self.columns: list[tuple] = []
         if x is not None:

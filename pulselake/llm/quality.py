@@ -73,7 +73,7 @@ class QualityModel:
         self.table, self.bias, self.prior = np.zeros(1 << BITS, np.float32), 0.0, float(y.mean()) if len(y) else 0.0
         if len(set(labels)) < 2:
             return
-        x = features(pa.array(texts, pa.large_string()))
+        x = Rows.in_slices(texts, features, 1 << BITS)
         emb = rng.uniform(-1 / DIM, 1 / DIM, (1 << BITS, DIM)).astype(np.float32)
         out, bias = np.zeros((DIM, 2), np.float32), np.log(np.bincount(y, minlength=2) / len(y)).astype(np.float32)
         steps, done = epochs * -(-len(y) // batch), 0

@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bpe, langid, linededup, quality, tokenstore, toxicity
+from . import bpe, decontam, langid, linededup, quality, tokenstore, toxicity
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -21,6 +21,11 @@ def vocabulary(name: str) -> str:
     return public_tokenizers.path(name)
 
 
+def op1_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = decontam.leaks(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "benchmark"))
+    return found.select("doc_id", "item_id", "start", "n_words", F.round("similarity", 6).alias("similarity"))
+
+
 def op3_token_store(spark: SparkSession, sf_dir: str) -> DataFrame:
     return tokenstore.store_and_read(_table(spark, sf_dir, "documents"), vocabulary("byte_bpe_50k.json"), end_id=2)
 
@@ -48,6 +53,7 @@ def op8_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
+    "op1_decontamination": op1_decontamination,
     "op3_token_store": op3_token_store,
     "op4_line_dedup": op4_line_dedup,
     "op5_language_id": op5_language_id,
@@ -57,6 +63,34 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
 }
 
 ORACLE_SQL: dict[str, str] = {
+    "op1_decontamination": r"""
+with w as (
+    select doc_id, list_filter(regexp_split_to_array(lower(text), '[^\p{L}\p{N}]+'), lambda x: x <> '') as words
+    from documents where text is not null),
+b as (
+    select item_id, list_filter(regexp_split_to_array(lower(text), '[^\p{L}\p{N}]+'), lambda x: x <> '') as words
+    from benchmark where text is not null),
+items as (select item_id, words, cast(len(words) as integer) as n_words from b where len(words) >= 5),
+ds as (select doc_id, len(words) as n, unnest(range(1, len(words) - 3)) as pos, words from w where len(words) >= 5),
+dsh as (select doc_id, n, pos, array_to_string(words[pos:pos + 4], ' ') as s from ds),
+bs as (select item_id, n_words, unnest(range(1, n_words - 3)) as spot, words from items),
+bsh as (select item_id, n_words, spot, array_to_string(words[spot:spot + 4], ' ') as s from bs),
+spots as (
+    select distinct d.doc_id, b.n_words, cast(greatest(0, least(d.pos - b.spot, d.n - b.n_words)) as integer) as start
+    from dsh d join bsh b on d.s = b.s where d.n >= b.n_words),
+win as (
+    select p.doc_id, p.n_words, p.start, d.s, count(*) as c
+    from spots p join dsh d on d.doc_id = p.doc_id and d.pos > p.start and d.pos <= p.start + p.n_words - 4
+    group by all),
+ic as (select item_id, n_words, s, count(*) as c from bsh group by all),
+common as (
+    select w.doc_id, i.item_id, w.start, w.n_words, sum(least(w.c, i.c)) as m
+    from win w join ic i on i.n_words = w.n_words and i.s = w.s group by all),
+scored as (select *, m / (2 * (n_words - 4) - m) as similarity from common)
+select doc_id, item_id, start, n_words, round(similarity, 6) as similarity
+from scored where similarity >= 0.8
+qualify row_number() over (partition by doc_id, item_id order by similarity desc, start) = 1
+""",
     "op4_line_dedup": r"""
 with lines as (
     select doc_id, text, unnest(string_split(coalesce(text, ''), chr(10))) as line,

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -13,7 +14,7 @@ class Rows:
 
     def __init__(self, indptr: np.ndarray, columns: np.ndarray, values: np.ndarray, width: int):
         self.indptr, self.columns, self.values, self.width = indptr, columns, values, width
-        self.row = np.repeat(np.arange(len(indptr) - 1), np.diff(indptr))
+        self.row = np.repeat(np.arange(len(indptr) - 1, dtype=np.int32), np.diff(indptr))
 
     def __len__(self) -> int:
         return len(self.indptr) - 1
@@ -24,6 +25,20 @@ class Rows:
         keys, counts = np.unique(row.astype(np.int64) * width + column, return_counts=True)
         return cls(np.searchsorted(keys // width, np.arange(n_rows + 1)), keys % width, counts.astype(float), width)
 
+    @classmethod
+    def in_slices(cls, texts: list[str], features, width: int, limit: int = 1 << 20) -> Rows:
+        """Rows of ``features(column)`` over runs of texts of bounded size, so that working memory is bounded too."""
+        parts, start, total = [], 0, 0
+        for i, text in enumerate([*texts, None]):
+            size = limit if text is None else len(text)
+            if i > start and total + size > limit:
+                parts.append(features(pa.array(texts[start:i], pa.large_string())))
+                start, total = i, 0
+            total += size
+        sizes = np.concatenate([np.zeros(1, np.int64), *(np.diff(x.indptr) for x in parts)])
+        columns = np.concatenate([np.zeros(0, np.int32), *(x.columns.astype(np.int32) for x in parts)])
+        return cls(np.cumsum(sizes), columns, np.concatenate([np.zeros(0), *(x.values for x in parts)]), width)
+
     def dot(self, w: np.ndarray) -> np.ndarray:
         return np.bincount(self.row, weights=self.values * w[self.columns], minlength=len(self))
 

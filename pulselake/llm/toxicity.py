@@ -24,6 +24,8 @@ FIT_ROWS = 8000
 #: Words kept as features: the strongest, all with this |z| at least.
 FEATURES = 2000
 LEAST_Z = 4.0
+#: Training documents that must hold a word.
+LEAST_DOCS = 5
 
 _GAP = np.ones(256, bool)
 _GAP[97:123] = _GAP[65:91] = _GAP[128:] = False
@@ -43,14 +45,14 @@ class SeverityModel:
         self.keys, self.w, self.cuts = np.zeros(0, np.uint64), np.zeros(0), np.zeros(0)
         if len(self.grades) < 2:
             return
-        words = _words(pa.array(texts, pa.large_string()))
         level = np.searchsorted(self.grades, grades)
-        keys, inverse = np.unique(words.hashes(), return_inverse=True)
-        pairs = np.unique(words.document * len(keys) + inverse)
-        doc, word = pairs // max(len(keys), 1), pairs % max(len(keys), 1)
+        found = [np.unique(_words(pa.array([t], pa.large_string())).hashes()) for t in texts]
+        doc = np.repeat(np.arange(len(found)), [len(x) for x in found])
+        keys, word = np.unique(np.concatenate(found), return_inverse=True)
+        del found
         n, centred = np.bincount(word, minlength=len(keys)), level - level.mean()
         z = np.bincount(word, weights=centred[doc], minlength=len(keys)) / np.sqrt(np.maximum(n, 1) * max(level.var(), 1e-9))
-        chosen = np.flatnonzero((np.abs(z) >= LEAST_Z) & (n >= 5))
+        chosen = np.flatnonzero((np.abs(z) >= LEAST_Z) & (n >= LEAST_DOCS))
         chosen = np.sort(chosen[np.argsort(-np.abs(z[chosen]), kind="stable")[:FEATURES]])
         self.keys = keys[chosen]
         place = np.full(len(keys), -1)
