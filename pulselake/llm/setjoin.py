@@ -55,7 +55,8 @@ def _signed(x: np.ndarray) -> np.ndarray:
 def _class_of(s: np.ndarray) -> int:
     """64-bit identity of a set, from two independent sums and the size."""
     a, b = mix(s).sum(dtype=np.uint64), mix(s ^ _ALT).sum(dtype=np.uint64)
-    return int(mix(np.array([a ^ (b * np.uint64(0x9E3779B97F4A7C15) + np.uint64(len(s)))], np.uint64)).view(np.int64)[0])
+    both = np.array([a], np.uint64) ^ (np.array([b], np.uint64) * np.uint64(0x9E3779B97F4A7C15) + np.uint64(len(s)))
+    return int(_signed(mix(both))[0])
 
 
 def _lead(n: int, percent: int) -> tuple[int, int]:
@@ -198,9 +199,8 @@ def _open_groups(width: int, percent: int):
         forest, found = _Forest(), []
         for cid, q in zip(queries["asks"].to_pylist(), _sets_of(queries, width), strict=True):
             n = len(q)
-            at = np.searchsorted(union, q)
-            at = at[at < len(union)] if len(union) else at[:0]
-            at = at[np.isin(union[at], q)]
+            at = np.minimum(np.searchsorted(union, q), max(len(union) - 1, 0))
+            at = at[union[at] == q] if len(union) else at[:0]
             if not n or 100 * len(at) < percent * n:  # the union's overlap bounds that of each member
                 continue
             reach = np.arange(int(count[at].sum())) + np.repeat(first[at] - (np.cumsum(count[at]) - count[at]), count[at])
