@@ -6,7 +6,7 @@ import atexit
 import tempfile
 import uuid
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 
 _written: list[tuple[SparkSession, str]] = []
 
@@ -47,11 +47,17 @@ def drop(spark: SparkSession, path: str) -> None:
     where.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(where, True)
 
 
-def stored(df: DataFrame, name: str) -> DataFrame:
-    """Write the rows once and read them back: lineage ends here and nothing is computed twice."""
+def stored(df: DataFrame, name: str, by: str | None = None, kind: Column | None = None) -> DataFrame:
+    """Write the rows once and read them back: lineage ends here and nothing is computed twice.
+
+    With ``by`` and ``kind`` the rows go to one folder for each value of that string.
+    """
     spark = df.sparkSession
     path = new_path(spark, name)
-    df.write.option("compression", "zstd").parquet(path)
+    if by:
+        df = df.withColumn(by, kind)
+    writer = df.write.option("compression", "zstd")
+    (writer.partitionBy(by) if by else writer).parquet(path)
     return spark.read.schema(df.schema).parquet(path)
 
 
