@@ -2,8 +2,13 @@
 
 from __future__ import annotations
 
+import atexit
 import os
+import shutil
 import sys
+import tempfile
+import zipfile
+from pathlib import Path
 
 from pyspark.sql import SparkSession
 
@@ -25,3 +30,23 @@ def local_session(name: str, cores: int = 8, shuffle_partitions: int = 8, **conf
     spark = builder.getOrCreate()
     spark.sparkContext.setLogLevel("ERROR")
     return spark
+
+
+_shipped: set[str] = set()
+
+
+def ship(spark: SparkSession) -> None:
+    """Let the Python workers import this package where it is not on their path already."""
+    package = Path(__file__).resolve().parent
+    known = [os.path.realpath(x or ".") for x in [os.getcwd(), *os.environ.get("PYTHONPATH", "").split(os.pathsep)]]
+    app = spark.sparkContext.applicationId
+    if str(package.parent) in known or app in _shipped:
+        return
+    folder = tempfile.mkdtemp(prefix="pulselake-")  # the driver serves the file from there while it runs
+    atexit.register(shutil.rmtree, folder, ignore_errors=True)
+    path = Path(folder) / f"{package.name}.zip"
+    with zipfile.ZipFile(path, "w") as z:
+        for x in sorted(package.rglob("*.py")):
+            z.write(x, x.relative_to(package.parent))
+    spark.sparkContext.addPyFile(str(path))
+    _shipped.add(app)
