@@ -206,15 +206,17 @@ def codec(path: str) -> WordBpe:
     return _loaded[path]
 
 
+def _lists(ids: list[np.ndarray]) -> pa.ListArray:
+    offsets = np.cumsum([0, *map(len, ids)]).astype(np.int32)
+    return pa.ListArray.from_arrays(pa.array(offsets), pa.array(np.concatenate([*ids, np.zeros(0, np.uint32)]).astype(np.int32)))
+
+
 def encode_documents(docs: DataFrame, path: str) -> DataFrame:
     """(doc_id, ids array<int>) of every document."""
 
     def run(part: pa.RecordBatch) -> pa.RecordBatch:
         c = codec(path)
-        ids = [c.encode(x) for x in part["text"].to_pylist()]
-        offsets = np.cumsum([0, *map(len, ids)]).astype(np.int32)
-        flat = np.concatenate([*ids, np.zeros(0, np.uint32)]).astype(np.int32)
-        return pa.RecordBatch.from_arrays([part["doc_id"], pa.ListArray.from_arrays(pa.array(offsets), pa.array(flat))], ["doc_id", "ids"])
+        return pa.RecordBatch.from_arrays([part["doc_id"], _lists([c.encode(x) for x in part["text"].to_pylist()])], ["doc_id", "ids"])
 
     return map_arrow(docs.select("doc_id", "text"), run, "doc_id long, ids array<int>")
 
@@ -231,17 +233,21 @@ def decode_documents(encoded: DataFrame, path: str) -> DataFrame:
     return encoded.mapInArrow(run, "doc_id long, text string")
 
 
-def digest_documents(docs: DataFrame, path: str) -> DataFrame:
-    """(doc_id, n_tokens, ids_sha256, decoded_sha256): encode, decode the ids again, and digest both."""
+def digest_documents(docs: DataFrame, path: str, with_ids: bool = False) -> DataFrame:
+    """(doc_id, n_tokens, ids_sha256, decoded_sha256[, ids]): encode, decode the ids again, and digest both."""
+    schema = "doc_id long, n_tokens long, ids_sha256 string, decoded_sha256 string" + ", ids array<int>" * with_ids
 
     def run(part: pa.RecordBatch) -> pa.RecordBatch:
         c = codec(path)
-        n, a, b = [], [], []
-        for text in part["text"].to_pylist():
-            ids = c.encode(text)
-            n.append(len(ids))
-            a.append(hashlib.sha256(c.joined(ids, c.numbers)).hexdigest())
-            b.append(hashlib.sha256(c.joined(ids, c.names)).hexdigest())
-        return pa.RecordBatch.from_arrays([part["doc_id"], pa.array(n, pa.int64()), pa.array(a), pa.array(b)], ["doc_id", "n_tokens", "ids_sha256", "decoded_sha256"])
-
-    return map_arrow(docs.select("doc_id", "text"), run, "doc_id long, n_tokens long, ids_sha256 string, decoded_sha256 string")
+        ids = [c.encode(text) for text in part["text"].to_pylist()]
+        columns = {
+            "doc_id": part["doc_id"],
+            "n_tokens": pa.array([len(x) for x in ids], pa.int64()),
+            "ids_sha256": pa.array([hashlib.sha256(c.joined(x, c.numbers)).hexdigest() for x in ids], pa.string()),
+            "decoded_sha256": pa.array([hashlib.sha256(c.joined(x, c.names)).hexdigest() for x in ids], pa.string()),
+        }
+        if with_ids:
+            columns["ids"] = _lists(ids)
+        return pa.RecordBatch.from_pydict(columns)
+
+    return map_arrow(docs.select("doc_id", "text"), run, schema)
