@@ -1,6 +1,8 @@
-"""Registry of the event-analytics queries and of the SQL that checks them."""
+"""All event-analytics queries and the SQL that checks them."""
 
 from __future__ import annotations
 
-QUERIES: dict = {}
-ORACLE_SQL: dict[str, str] = {}
+from . import basic
+from .registry import ORACLE_SQL, QUERIES, run
+
+__all__ = ["ORACLE_SQL", "QUERIES", "basic", "run"]
