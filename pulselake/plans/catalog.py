@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from . import basic
+from . import basic, bursting
 from .registry import ORACLE_SQL, QUERIES, run
 
-__all__ = ["ORACLE_SQL", "QUERIES", "basic", "run"]
+__all__ = ["ORACLE_SQL", "QUERIES", "basic", "bursting", "run"]
