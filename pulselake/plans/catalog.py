@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from . import basic, bursting, evolving, pairwise, signals
+from . import basic, bursting, composites, evolving, pairwise, signals, streams
 from .registry import ORACLE_SQL, QUERIES, run
 
-__all__ = ["ORACLE_SQL", "QUERIES", "basic", "bursting", "evolving", "pairwise", "run", "signals"]
+__all__ = ["ORACLE_SQL", "QUERIES", "basic", "bursting", "composites", "evolving", "pairwise", "run", "signals", "streams"]
