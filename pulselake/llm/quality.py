@@ -44,7 +44,7 @@ def hashed(column: pa.Array) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.nda
     raw, n = words.bytes.astype(np.uint32), len(words.bytes)
     follow = [np.zeros(n, np.uint32) for _ in range(3)]
     for k, x in enumerate(follow, 1):
-        x[: n - k] = raw[k:]
+        x[: max(n - k, 0)] = raw[k:]
         ends = words.offsets[1:]
         for back in range(1, k + 1):
             x[np.maximum(ends[ends > 0] - back, 0)] = 0
