@@ -10,8 +10,9 @@ training documents under estimates from the others. The final counts use all
 training documents.
 
 Plan. Words and pairs are 64-bit hashes. Each task cuts its documents into
-blocks, numbers a block's distinct keys, and writes the block's token stream in
-those numbers and its sorted keys with counts, the latter dealt by hash range.
+blocks, numbers a block's distinct words, and writes the block's token stream in
+those numbers. From the streams each block's sorted keys of words and pairs go
+out with their counts, dealt by hash range.
 The ranges are summed over all blocks, and each block gets back the corpus counts
 of its own keys only. So corpus counts of any size are used without a broadcast,
 and no task holds more than a block or one range.
@@ -63,6 +64,15 @@ def _pack_keys(keys: np.ndarray) -> bytes:
     return _zip(step.view(np.uint8).reshape(-1, 8).T)
 
 
+def _planes(x: np.ndarray) -> bytes:
+    """32-bit integers with their byte planes apart."""
+    return _zip(x.view(np.uint8).reshape(-1, 4).T)
+
+
+def _unplanes(raw: bytes) -> np.ndarray:
+    return np.ascontiguousarray(_unzip(raw, np.uint8).reshape(4, -1).T).view(np.uint32).ravel()
+
+
 def _unpack_keys(raw: bytes) -> np.ndarray:
     planes = _unzip(raw, np.uint8).reshape(8, -1)
     return np.cumsum(np.ascontiguousarray(planes.T).view(np.uint64).ravel(), dtype=np.uint64)
@@ -126,45 +136,53 @@ class _Numbered:
         return one[self.number], one[self.before[self.pair]], two[self.pair]
 
 
-def _blocks(buckets: int):
-    """Token streams (bucket -1) and keys with counts (bucket from 0 on) of each block.
-
-    Keys of words are even, of pairs odd; counts are (learned, learned but not tuned).
-    """
-    names = ["block", "bucket", "docs", "stream", "keys", "counts"]
-    types = [pa.int64(), pa.int32(), pa.binary(), pa.binary(), pa.binary(), pa.binary()]
+def _blocks(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Token streams of blocks: documents (id, valid, use, tokens), word hashes, and each token's place among them."""
 
-    def close(block: _Block, name: int) -> Iterator[pa.RecordBatch]:
-        sizes, docs = np.concatenate(block.sizes), np.concatenate(block.docs, axis=1)
+    def close(block: _Block, name: int) -> pa.RecordBatch:
+        docs = np.concatenate([np.concatenate(block.docs, axis=1), np.concatenate(block.sizes)[None]])
         words, number = np.unique(np.concatenate(block.hashes), return_inverse=True)
         block.hashes.clear()
-        use = np.repeat(docs[2], sizes)
-        k = _Numbered(words, number, sizes)
-        counts = np.stack([k.count(use >= LEARNED, (docs[2] >= LEARNED).sum()), k.count(use == LEARNED, (docs[2] == LEARNED).sum())])
-        place = (k.keys >> np.uint64(32)).astype(np.int64) * buckets >> 32
-        edges = np.searchsorted(place, np.arange(buckets + 1))
-        rows = [(name, -1, _zip(np.concatenate([docs, sizes[None]])), _zip(number.astype(np.int32)), _pack_keys(words), None)]
-        rows += [(name, b, None, None, _pack_keys(k.keys[x:y]), _zip(counts[:, x:y])) for b, (x, y) in enumerate(zip(edges, edges[1:], strict=False)) if y > x]
-        yield pa.RecordBatch.from_arrays([pa.array(x, t) for x, t in zip(zip(*rows, strict=True), types, strict=True)], names)
+        row = (name, _zip(docs), _planes(number.astype(np.uint32)), _pack_keys(words))
+        return pa.RecordBatch.from_arrays([pa.array([x], t) for x, t in zip(row, (pa.int64(), pa.binary(), pa.binary(), pa.binary()), strict=True)], ["block", "docs", "stream", "words"])
+
+    task, n = TaskContext.get().partitionId(), 0
+    # tuned documents have blocks of their own, so that the weights' fit reads no other block
+    held = {False: _Block(), True: _Block()}
+    for batch in batches:
+        for part in slices(batch):
+            tuned = part["use"].to_numpy() == TUNED
+            for kind in (False, True):
+                own = part.filter(pa.array(tuned == kind))
+                if own.num_rows:
+                    held[kind].add(own)
+                    if held[kind].bytes >= BLOCK_BYTES:
+                        yield close(held[kind], ((task << 24) + n) * 2 + kind)
+                        held[kind], n = _Block(), n + 1
+    for kind, block in held.items():
+        if block.docs:
+            yield close(block, ((task << 24) + n) * 2 + kind)
+            n += 1
+
+
+def _numbered(docs: bytes, stream: bytes, words: bytes) -> tuple[np.ndarray, _Numbered]:
+    table = _unzip(docs, np.int64).reshape(4, -1)
+    return table, _Numbered(_unpack_keys(words), _unplanes(stream).astype(np.int64), table[3])
+
+
+def _keys(buckets: int):
+    """Keys and counts of each stored block by hash range. Keys of words are even, of pairs odd; counts are (learned, learned but not tuned)."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        task, n = TaskContext.get().partitionId(), 0
-        # tuned documents have blocks of their own, so that the weights' fit reads no other block
-        held = {False: _Block(), True: _Block()}
         for batch in batches:
-            for part in slices(batch):
-                tuned = part["use"].to_numpy() == TUNED
-                for kind in (False, True):
-                    own = part.filter(pa.array(tuned == kind))
-                    if own.num_rows:
-                        held[kind].add(own)
-                        if held[kind].bytes >= BLOCK_BYTES:
-                            yield from close(held[kind], ((task << 24) + n) * 2 + kind)
-                            held[kind], n = _Block(), n + 1
-        for kind, block in held.items():
-            if block.docs:
-                yield from close(block, ((task << 24) + n) * 2 + kind)
-                n += 1
+            for block, docs, stream, words in zip(*(batch[c].to_pylist() for c in ("block", "docs", "stream", "words")), strict=True):
+                (_, _, use_of, sizes), k = _numbered(docs, stream, words)
+                use = np.repeat(use_of, sizes)
+                counts = np.stack([k.count(use >= LEARNED, (use_of >= LEARNED).sum()), k.count(use == LEARNED, (use_of == LEARNED).sum())])
+                place = (k.keys >> np.uint64(32)).astype(np.int64) * buckets >> 32
+                edges = np.searchsorted(place, np.arange(buckets + 1))
+                rows = [(block, b, _pack_keys(k.keys[x:y]), _zip(counts[:, x:y])) for b, (x, y) in enumerate(zip(edges, edges[1:], strict=False)) if y > x]
+                yield pa.RecordBatch.from_arrays([pa.array(x, t) for x, t in zip(zip(*rows, strict=True), (pa.int64(), pa.int32(), pa.binary(), pa.binary()), strict=True)], ["block", "bucket", "keys", "counts"])
 
     return run
 
@@ -177,7 +195,9 @@ def _sum_range(table: pa.Table) -> pa.Table:
     total = np.stack([np.bincount(place, weights=np.concatenate([c[i] for c in counts]), minlength=len(every)).astype(np.int64) for i in (0, 1)])
     words = (every & np.uint64(1) == 0) & (every != _START & ~np.uint64(1))
     edges = np.cumsum([0, *map(len, keys)])
-    out = {"block": table["block"], "bucket": table["bucket"], "counts": pa.array([_zip(total[:, place[a:b]]) for a, b in zip(edges, edges[1:], strict=False)], pa.binary())}
+    # only the blocks of tuned documents, which are odd, need the second kind of count
+    back = [_zip(total[: 1 + block % 2, place[a:b]]) for block, a, b in zip(table["block"].to_pylist(), edges, edges[1:], strict=False)]
+    out = {"block": table["block"], "bucket": table["bucket"], "counts": pa.array(back, pa.binary())}
     for name, i, kind in (("n_all", 0, "sum"), ("v_all", 0, "any"), ("n_kept", 1, "sum"), ("v_kept", 1, "any")):
         own = total[i][words]
         out[name] = pa.array([int(own.sum() if kind == "sum" else (own > 0).sum())] + [0] * (len(keys) - 1), pa.int64())
@@ -186,11 +206,10 @@ def _sum_range(table: pa.Table) -> pa.Table:
 
 def _opened(stream: pa.Table, ranges: pa.Table, which: int):
     """Documents, their token bounds, and the corpus counts of each token, its predecessor and the pair."""
-    ids, valid, use, sizes = _unzip(stream["docs"][0].as_py(), np.int64).reshape(4, -1)
-    number = _unzip(stream["stream"][0].as_py(), np.int32).astype(np.int64)
-    k = _Numbered(_unpack_keys(stream["keys"][0].as_py()), number, sizes)
+    (ids, valid, use, sizes), k = _numbered(*(stream[c][0].as_py() for c in ("docs", "stream", "words")))
     blobs, order = ranges["counts"].to_pylist(), np.argsort(ranges["bucket"].to_numpy(), kind="stable")
-    total = np.concatenate([_unzip(blobs[i], np.int64).reshape(2, -1)[which] for i in order])
+    kinds = 1 + stream["block"][0].as_py() % 2
+    total = np.concatenate([_unzip(blobs[i], np.int64).reshape(kinds, -1)[which] for i in order])
     return ids, valid, use, sizes, k.spread(total)
 
 
@@ -270,9 +289,8 @@ def score_documents(docs: DataFrame, folds: int = 10, held_out: int = 0, tuned:
     fold = F.pmod(F.crc32(F.col("doc_id").cast("string").cast("binary")), F.lit(folds))
     use = F.coalesce(F.when(fold == held_out, SCORED).when(fold == tuned, TUNED).when(fold.isNotNull(), LEARNED), F.lit(SCORED))
     made = docs.select("doc_id", "text", use.cast("int").alias("use"))
-    made = stored(made.mapInArrow(_blocks(partitions(spark)), "block long, bucket int, docs binary, stream binary, keys binary, counts binary"), "tokens", by="bucket_kind", kind=F.when(F.col("bucket") < 0, "stream").otherwise("keys"))
-    streams = made.where("bucket_kind = 'stream'").select("block", "docs", "stream", "keys")
-    keys = made.where("bucket_kind = 'keys'").select("block", "bucket", "keys", "counts")
+    streams = stored(made.mapInArrow(_blocks, "block long, docs binary, stream binary, words binary"), "tokens")
+    keys = streams.mapInArrow(_keys(partitions(spark)), "block long, bucket int, keys binary, counts binary")
     ranges = stored(keys.groupBy("bucket").applyInArrow(_sum_range, "block long, bucket int, counts binary, n_all long, v_all long, n_kept long, v_kept long"), "ranges")
     n_all, v_all, n_kept, v_kept = (int(x or 0) for x in ranges.agg(*[F.sum(c) for c in ("n_all", "v_all", "n_kept", "v_kept")]).first())
     back = ranges.select(F.col("block").alias("of"), "bucket", "counts")
