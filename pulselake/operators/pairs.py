@@ -194,9 +194,9 @@ def entropy_words(df: DataFrame, width: int, length: int = 4) -> DataFrame:
     return entropy_of(words, "electrode").select("electrode", r6("h").alias("h_words"), F.col("kinds").alias("n_words"))
 
 
-def states(df: DataFrame, width: int, channels: int = 32) -> DataFrame:
-    """(bin, state) of every bin: occupied channels packed into bits."""
-    x = binned(df, width).where(F.col("electrode") < channels)
+def states(df: DataFrame, width: int) -> DataFrame:
+    """(bin, state) of every bin: occupied channels, 63 at most, packed into bits."""
+    x = binned(df, width)
     packed = x.groupBy("bin").agg(F.bit_or(F.expr("shiftleft(1L, electrode)")).alias("s"))
     every = n_bins(df, width).select(F.explode(F.sequence(F.lit(0).cast("long"), F.col("n_bins") - 1)).alias("bin"))
     return every.join(packed, "bin", "left").select("bin", F.coalesce("s", F.lit(0).cast("long")).alias("state"))
@@ -206,18 +206,18 @@ def joint_entropy(df: DataFrame, width: int) -> DataFrame:
     return entropy_of(states(df, width).groupBy("state").agg(F.count(F.lit(1)).alias("n"))).select(r6("h").alias("h"), F.col("kinds").alias("n_states"))
 
 
-def transitions(df: DataFrame, width: int, channels: int) -> DataFrame:
+def transitions(df: DataFrame, width: int) -> DataFrame:
     """(s, f, n): counts of a state and its follower."""
-    x = states(df, width, channels)
+    x = states(df, width)
     after = x.select((F.col("bin") - 1).alias("bin"), F.col("state").alias("f"))
     return x.withColumnRenamed("state", "s").join(after, "bin").groupBy("s", "f").agg(F.count(F.lit(1)).alias("n"))
 
 
-def transition_mi(df: DataFrame, widths: list[int], channels: int) -> DataFrame:
+def transition_mi(df: DataFrame, widths: list[int]) -> DataFrame:
     """Per width: information that a state holds on the next, entropy of the next, and the rest."""
     out = None
     for width in widths:
-        t = transitions(df, width, channels)
+        t = transitions(df, width)
         h = entropy_of(t).select(F.col("h").alias("joint"))
         hs = entropy_of(t.groupBy("s").agg(F.sum("n").alias("n"))).select(F.col("h").alias("cause"), F.col("kinds").alias("n_states"))
         hf = entropy_of(t.groupBy("f").agg(F.sum("n").alias("n"))).select(F.col("h").alias("effect"))
@@ -228,9 +228,9 @@ def transition_mi(df: DataFrame, widths: list[int], channels: int) -> DataFrame:
     return out
 
 
-def transfer_entropy(df: DataFrame, width: int, history: int, channels: int) -> DataFrame:
+def transfer_entropy(df: DataFrame, width: int, history: int) -> DataFrame:
     """Transfer entropy of each ordered pair of channels, with ``history`` binary bins on both sides."""
-    x = bits(df, width).where(F.col("electrode") < channels).withColumn("h", _code(history, 1)).where("h is not null")
+    x = bits(df, width).withColumn("h", _code(history, 1)).where("h is not null")
     src = x.select(F.col("electrode").alias("e1"), "bin", F.col("h").alias("xh"))
     dst = x.select(F.col("electrode").alias("e2"), F.col("bin").alias("bin"), F.col("h").alias("yh"), F.col("bit").alias("yf"))
     c = src.join(dst, "bin").where("e1 <> e2").groupBy("e1", "e2", "yf", "yh", "xh").agg(F.count(F.lit(1)).alias("n"))
@@ -240,8 +240,8 @@ def transfer_entropy(df: DataFrame, width: int, history: int, channels: int) ->
     return t.groupBy("e1", "e2").agg(r6(te).alias("te"))
 
 
-def net_te(df: DataFrame, width: int, history: int, channels: int) -> DataFrame:
-    x = transfer_entropy(df, width, history, channels)
+def net_te(df: DataFrame, width: int, history: int) -> DataFrame:
+    x = transfer_entropy(df, width, history)
     back = x.select(F.col("e1").alias("e2"), F.col("e2").alias("e1"), F.col("te").alias("back"))
     return x.where("e1 < e2").join(back, ["e1", "e2"]).select("e1", "e2", r6(F.col("te") - F.col("back")).alias("net"))
 
@@ -255,9 +255,9 @@ def digitised(df: DataFrame, width: int, levels: int = 4) -> DataFrame:
     return x.join(F.broadcast(q), "electrode").select("electrode", "bin", level.alias("level"))
 
 
-def mi_quantile(df: DataFrame, width: int, channels: int) -> DataFrame:
+def mi_quantile(df: DataFrame, width: int) -> DataFrame:
     """Mutual information of digitised counts, and its share of the smaller entropy."""
-    x = digitised(df, width).where(F.col("electrode") < channels)
+    x = digitised(df, width)
     a, b = x.select(F.col("electrode").alias("e1"), "bin", F.col("level").alias("x")), x.select(F.col("electrode").alias("e2"), F.col("bin").alias("bin"), F.col("level").alias("y"))
     c = a.join(b, "bin").where("e1 < e2").groupBy("e1", "e2", "x", "y").agg(F.count(F.lit(1)).alias("n"))
     h = lambda k, name: entropy_of(c.groupBy("e1", "e2", *k).agg(F.sum("n").alias("n")), "e1", "e2").select("e1", "e2", F.col("h").alias(name))
@@ -266,14 +266,14 @@ def mi_quantile(df: DataFrame, width: int, channels: int) -> DataFrame:
     return y.select("e1", "e2", r6(mi).alias("mi"), r6(F.when(F.least("hx", "hy") > 1e-12, mi / F.least("hx", "hy")).otherwise(0.0)).alias("nmi"))
 
 
-def population_codes(df: DataFrame, width: int, channels: int) -> DataFrame:
-    """Joint levels of a few channels as one label: how often each occurs."""
-    x = digitised(df, width).where(F.col("electrode") < channels)
-    label = F.sum(F.col("level") * F.pow(F.lit(4.0), F.col("electrode"))).cast("long")
-    return x.groupBy("bin").agg(label.alias("label")).groupBy("label").agg(F.count(F.lit(1)).alias("n"))
+def population_codes(df: DataFrame, width: int) -> DataFrame:
+    """The levels of all channels as one label, a digit each in the channels' order: how often each occurs."""
+    row = F.array_sort(F.collect_list(F.struct("electrode", F.col("level").cast("string").alias("level"))))
+    label = F.array_join(F.transform(row, lambda x: x["level"]), "")
+    return digitised(df, width).groupBy("bin").agg(label.alias("label")).groupBy("label").agg(F.count(F.lit(1)).alias("n"))
 
 
-def channel_capacity(df: DataFrame, width: int, channels: int) -> DataFrame:
+def channel_capacity(df: DataFrame, width: int) -> DataFrame:
     """Entropy of the labels and its share of the largest possible."""
-    x = entropy_of(population_codes(df, width, channels))
+    x = entropy_of(population_codes(df, width))
     return x.select(r6("h").alias("bits"), F.col("kinds").alias("n_labels"), r6(F.col("h") / F.greatest(F.log2(F.col("kinds").cast("double")), F.lit(1e-10))).alias("efficiency"))

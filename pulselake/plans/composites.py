@@ -22,7 +22,7 @@ select round(spread, 6) as spread, round(variability, 6) as variability, round(c
 register("welfare_report", lambda df: scores.welfare(df, DAY))
 register(
     "report", lambda df: scores.report(df, H),
-    f""", c as (select count(*) / ((select dur from d) / 1e6) as rate from s group by e), {dense_sql(H)}, pp as (select b, cast(sum(n) as double) as n from dn group by 1), {states_sql(H, 32)}, sc as (select st, count(*) as n from stt group by 1),
+    f""", c as (select count(*) / ((select dur from d) / 1e6) as rate from s group by e), {dense_sql(H)}, pp as (select b, cast(sum(n) as double) as n from dn group by 1), {states_sql(H)}, sc as (select st, count(*) as n from stt group by 1),
 ac as (select avg(cast(n / ((select dur from d) / 1e6) > 0.0001 as integer)) from (select count(*) as n from s group by e)),
 x as (select n / 3600 as y, cos(b * {W24}) as c, sin(b * {W24}) as s from pp), a as (select covar_pop(c, c) as cc, covar_pop(s, s) as ss, covar_pop(c, s) as cs, covar_pop(c, y) as cy, covar_pop(s, y) as sy, avg(y) as my, avg(c) as mc, avg(s) as ms from x),
 b as (select *, (cy * ss - sy * cs) / (cc * ss - cs * cs) as b, (sy * cc - cy * cs) / (cc * ss - cs * cs) as g from a), ent as (select count(*) / (select n from d) as p from s group by e)

@@ -92,41 +92,41 @@ select e as electrode, round({ENT}, 6) as h_words, count(*) as n_words from c gr
 )
 
 
-def states_sql(width: int, channels: int, name: str = "stt") -> str:
+def states_sql(width: int, name: str = "stt") -> str:
     nb = f"(select greatest(1, (dur + {width - 1}) // {width}) from d)"
-    return f"""{name} as (select x.b, coalesce(p.st, 0) as st from (select unnest(range(0, {nb})) as b) x left join (select b, cast(sum(1::bigint << e) as bigint) as st from (select distinct e, least(t // {width}, {nb} - 1) as b from s where e < {channels}) group by 1) p on p.b = x.b)"""
+    return f"""{name} as (select x.b, coalesce(p.st, 0) as st from (select unnest(range(0, {nb})) as b) x left join (select b, cast(sum(1::bigint << e) as bigint) as st from (select distinct e, least(t // {width}, {nb} - 1) as b from s) group by 1) p on p.b = x.b)"""
 
 
-register("joint_entropy", lambda df: op.joint_entropy(df, H), f", {states_sql(H, 32)}, c as (select st, count(*) as n from stt group by 1) select round({ENT}, 6) as h, count(*) as n_states from c")
+register("joint_entropy", lambda df: op.joint_entropy(df, H), f", {states_sql(H)}, c as (select st, count(*) as n from stt group by 1) select round({ENT}, 6) as h, count(*) as n_states from c")
 
 
-def transition_sql(widths: list[int], channels: int) -> str:
+def transition_sql(widths: list[int]) -> str:
     parts, selects = [], []
     for w in widths:
         k = w // 1_000_000
-        parts += [states_sql(w, channels, f"s{k}"), f"t{k} as (select a.st as x, b.st as f, count(*) as n from s{k} a join s{k} b on b.b = a.b + 1 group by 1, 2)"]
+        parts += [states_sql(w, f"s{k}"), f"t{k} as (select a.st as x, b.st as f, count(*) as n from s{k} a join s{k} b on b.b = a.b + 1 group by 1, 2)"]
         h = lambda g, k=k: f"(select {ENT} from (select cast(sum(n) as double) as n from t{k} group by {g}))"
         selects.append(f"select cast({k} as integer) as width_s, round({h('x')} + {h('f')} - {h('x, f')}, 6) as mi, round({h('f')}, 6) as h_effect, round({h('x, f')} - {h('x')}, 6) as h_conditional, (select count(distinct x) from t{k}) as n_states")
     return ", " + ", ".join(parts) + " " + " union all ".join(selects)
 
 
-register("transition_mi", lambda df: op.transition_mi(df, [H], 8), transition_sql([H], 8))
-register("effective_information", lambda df: op.transition_mi(df, [H, 2 * H, 4 * H], 4), transition_sql([H, 2 * H, 4 * H], 4))
-register("ais_multiscale", lambda df: op.transition_mi(df, [10 * M, 30 * M, H, 6 * H], 6), transition_sql([10 * M, 30 * M, H, 6 * H], 6))
-TE = f"""{BITS}, hx as (select e, b, bit, lag(bit) over v + 2 * lag(bit, 2) over v as h from bt where e < 8 window v as (partition by e order by b)),
+register("transition_mi", lambda df: op.transition_mi(df, [H]), transition_sql([H]))
+register("effective_information", lambda df: op.transition_mi(df, [H, 2 * H, 4 * H]), transition_sql([H, 2 * H, 4 * H]))
+register("ais_multiscale", lambda df: op.transition_mi(df, [10 * M, 30 * M, H, 6 * H]), transition_sql([10 * M, 30 * M, H, 6 * H]))
+TE = f"""{BITS}, hx as (select e, b, bit, lag(bit) over v + 2 * lag(bit, 2) over v as h from bt window v as (partition by e order by b)),
 c as (select x.e as e1, y.e as e2, y.bit as yf, y.h as yh, x.h as xh, count(*) as n from hx x join hx y on x.b = y.b and x.e <> y.e where x.h is not null and y.h is not null group by all),
 t as (select *, sum(n) over (partition by e1, e2) as al, sum(n) over (partition by e1, e2, yh) as a, sum(n) over (partition by e1, e2, yh, xh) as b, sum(n) over (partition by e1, e2, yf, yh) as dd from c),
 te as (select e1, e2, round(sum(n / al * log2(n * a / (b * dd))), 6) as te from t group by 1, 2)"""
-register("transfer_entropy", lambda df: op.transfer_entropy(df, H, 2, 8), f"{TE} select * from te")
-register("net_te", lambda df: op.net_te(df, H, 2, 8), f"{TE} select x.e1, x.e2, round(x.te - y.te, 6) as net from te x join te y on x.e1 = y.e2 and x.e2 = y.e1 where x.e1 < x.e2")
+register("transfer_entropy", lambda df: op.transfer_entropy(df, H, 2), f"{TE} select * from te")
+register("net_te", lambda df: op.net_te(df, H, 2), f"{TE} select x.e1, x.e2, round(x.te - y.te, 6) as net from te x join te y on x.e1 = y.e2 and x.e2 = y.e1 where x.e1 < x.e2")
 DG = f""", {dense_sql(6 * H)}, q as (select e, quantile_cont(n, 0.25) as q1, quantile_cont(n, 0.5) as q2, quantile_cont(n, 0.75) as q3 from dn group by 1),
 dg as (select e, b, cast(n > q1 as integer) + cast(n > q2 as integer) + cast(n > q3 as integer) as lv from dn join q using (e))"""
 register(
-    "mi_quantile", lambda df: op.mi_quantile(df, 6 * H, 8),
-    f"""{DG}, c as (select x.e as e1, y.e as e2, x.lv as x, y.lv as y, count(*) as n from dg x join dg y on x.b = y.b and x.e < y.e where y.e < 8 group by all),
+    "mi_quantile", lambda df: op.mi_quantile(df, 6 * H),
+    f"""{DG}, c as (select x.e as e1, y.e as e2, x.lv as x, y.lv as y, count(*) as n from dg x join dg y on x.b = y.b and x.e < y.e group by all),
 hj as (select e1, e2, {ENT} as h from c group by 1, 2), hx as (select e1, e2, {ENT} as h from (select e1, e2, x, cast(sum(n) as double) as n from c group by all) group by 1, 2), hy as (select e1, e2, {ENT} as h from (select e1, e2, y, cast(sum(n) as double) as n from c group by all) group by 1, 2)
 select e1, e2, round(hx.h + hy.h - hj.h, 6) as mi, round(case when least(hx.h, hy.h) > 1e-12 then (hx.h + hy.h - hj.h) / least(hx.h, hy.h) else 0 end, 6) as nmi from hj join hx using (e1, e2) join hy using (e1, e2)""",
 )
-CODE = f"{DG}, lb as (select b, cast(sum(lv * pow(4, e)) as bigint) as label from dg where e < 4 group by 1), lc as (select label, count(*) as n from lb group by 1)"
-register("population_codes", lambda df: op.population_codes(df, 6 * H, 4), f"{CODE} select label, n from lc")
-register("channel_capacity", lambda df: op.channel_capacity(df, 6 * H, 4), f"{CODE} select round({ENT}, 6) as bits, count(*) as n_labels, round(({ENT}) / greatest(log2(count(*)), 1e-10), 6) as efficiency from lc")
+CODE = f"{DG}, lb as (select b, string_agg(cast(lv as varchar), '' order by e) as label from dg group by 1), lc as (select label, count(*) as n from lb group by 1)"
+register("population_codes", lambda df: op.population_codes(df, 6 * H), f"{CODE} select label, n from lc")
+register("channel_capacity", lambda df: op.channel_capacity(df, 6 * H), f"{CODE} select round({ENT}, 6) as bits, count(*) as n_labels, round(({ENT}) / greatest(log2(count(*)), 1e-10), 6) as efficiency from lc")

@@ -69,7 +69,7 @@ def test_independent_channels_share_little(spark):
     df = make(spark, sorted(rows))
     assert abs(pairs.cofiring_phi(df, S, 3.29).first().phi) < 0.08
     assert pairs.mi_pairs(df, S).first().mi < 0.01
-    assert all(r.te < 0.02 for r in pairs.transfer_entropy(df, S, 2, 2).collect())
+    assert all(r.te < 0.02 for r in pairs.transfer_entropy(df, S, 2).collect())
 
 
 def test_planted_artifacts(spark):
