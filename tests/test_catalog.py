@@ -13,7 +13,7 @@ SF = "/root/testdata/sf0.001"
 NAMES = [
     "firing_rates", "isi_stats", "amplitude_histogram", "downsample_even", "quality_gaps", "suffering_flags", "rate_forecast", "bursts_max_interval", "bursts_per_electrode",
     "network_bursts", "avalanches", "powerlaw_mle", "updown_epochs", "ccg_counts", "stdp_pairs", "stim_trials", "cofiring_phi", "lagged_corr", "transition_mi", "transfer_entropy",
-    "evolution_windows", "critical_moments", "phase_windows", "artifact_flags", "sequence_motifs", "cosinor_24h", "triad_census", "rich_club", "stream_rates", "stream_bursts",
+    "evolution_windows", "critical_moments", "phase_windows", "artifact_flags", "sequence_motifs", "burst_profiles", "mea_bins", "forgetting", "state_landscape", "snapshot", "dense_buckets", "surprise", "cosinor_24h", "triad_census", "rich_club", "stream_rates", "stream_bursts",
 ]
 
 
