@@ -111,7 +111,7 @@ def transition_sql(widths: list[int]) -> str:
 
 
 register("transition_mi", lambda df: op.transition_mi(df, [H]), transition_sql([H]))
-register("effective_information", lambda df: op.transition_mi(df, [H, 2 * H, 4 * H]), transition_sql([H, 2 * H, 4 * H]))
+register("transition_scales", lambda df: op.transition_mi(df, [H, 2 * H, 4 * H]), transition_sql([H, 2 * H, 4 * H]))
 register("ais_multiscale", lambda df: op.transition_mi(df, [10 * M, 30 * M, H, 6 * H]), transition_sql([10 * M, 30 * M, H, 6 * H]))
 TE = f"""{BITS}, hx as (select e, b, bit, lag(bit) over v + 2 * lag(bit, 2) over v as h from bt window v as (partition by e order by b)),
 c as (select x.e as e1, y.e as e2, y.bit as yf, y.h as yh, x.h as xh, count(*) as n from hx x join hx y on x.b = y.b and x.e <> y.e where x.h is not null and y.h is not null group by all),

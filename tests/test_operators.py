@@ -127,3 +127,15 @@ def test_degenerate_inputs(spark, op):
     assert op(empty).count() == 0
     op(make(spark, [(0, 0)])).collect()
     op(make(spark, [(0, 0), (5 * S, 0)])).collect()
+
+
+def test_spikes_in_a_raw_signal(spark):
+    from pulselake.operators.emergence import detect_in_signal
+
+    rng = np.random.default_rng(2)
+    x = rng.normal(0, 1, 4000)
+    for at in (500, 1500, 3000):
+        x[at] -= 40
+    raw = spark.createDataFrame([(3, 10_000, x.tolist())], "electrode int, start long, samples array<double>")
+    got = detect_in_signal(raw, factor=8.0).collect()
+    assert [(r.electrode, r.sample) for r in got] == [(3, 10_500), (3, 11_500), (3, 13_000)] and all(len(r.waveform) == 90 for r in got)
