@@ -10,9 +10,9 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 #: Accepted names of each column, in order of preference.
-TIME_NAMES = ["time", "times", "timestamp", "t", "spike_time", "spike_times", "_time"]
-ELECTRODE_NAMES = ["electrode", "electrodes", "channel", "channels", "ch", "electrode_id", "index"]
-AMPLITUDE_NAMES = ["amplitude", "amplitudes", "amp", "peak", "voltage", "_value"]
+TIME_NAMES = ["time", "timestamp", "t", "time_s", "time_sec", "_time", "times"]
+ELECTRODE_NAMES = ["electrode", "channel", "ch", "electrode_id", "chan", "index", "electrodes", "channels"]
+AMPLITUDE_NAMES = ["amplitude", "amp", "voltage", "value", "amplitude_uv", "_value", "amplitudes"]
 
 ELECTRODES = 32
 PER_MEA = 8
@@ -59,7 +59,7 @@ def stimuli(spark: SparkSession, sf_dir: str, kind: str = "purchase", step: floa
 
 
 def _pick(df: DataFrame, names: list[str]) -> str | None:
-    own = {c.lower(): c for c in df.columns}
+    own = {c.lower().strip(): c for c in df.columns}
     return next((own[n] for n in names if n in own), None)
 
 
@@ -73,6 +73,9 @@ def resolve(df: DataFrame) -> DataFrame:
     """
     numeric = [c for c, kind in df.dtypes if kind in ("double", "float", "int", "bigint", "smallint", "tinyint") or kind.startswith("decimal")]
     t, e, a = _pick(df, TIME_NAMES), _pick(df, ELECTRODE_NAMES), _pick(df, AMPLITUDE_NAMES)
+    if t is None and "t_us" in df.columns:  # an export of this engine
+        df = df.withColumn("time", F.col("t_us") / 1e6)
+        t = "time"
     if t is None:
         if len(numeric) < 2:
             raise ValueError(f"no time column among {df.columns}")

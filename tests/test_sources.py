@@ -35,9 +35,13 @@ def test_json_of_arrays_and_rows(spark, tmp_path):
 
 def test_round_trip(spark, tmp_path):
     x = src.spikes(spark, SF).limit(50)
-    for kind in ("csv", "parquet"):
+    x = x.cache()
+    t0 = min(r.t_us for r in x.collect())
+    want = sorted((r.t_us - t0, r.electrode, round(r.amplitude, 6)) for r in x.collect())
+    for kind in ("csv", "parquet", "json"):
         src.write_spikes(x, f"{tmp_path}/o.{kind}")
-        assert src.read_spikes(spark, f"{tmp_path}/o.{kind}").count() == 50 if kind == "csv" else spark.read.parquet(f"{tmp_path}/o.{kind}").count() == 50
+        back = src.resolve(spark.read.json(f"{tmp_path}/o.json")) if kind == "json" else src.read_spikes(spark, f"{tmp_path}/o.{kind}")
+        assert sorted((r.t_us, r.electrode, round(r.amplitude, 6)) for r in back.collect()) == want
     with pytest.raises(ValueError):
         src.read_spikes(spark, "x.xyz")
 
