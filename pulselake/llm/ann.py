@@ -33,7 +33,7 @@ from .shared import stored
 #: Vectors that the centroids are fitted on, at most about.
 FIT_ROWS = 20_000
 #: Vectors of a list, about; lists at most; probed lists at least, and as a share of all.
-LIST_ROWS, LISTS, PROBES, PROBE_SHARE = 256, 1024, 24, 0.6
+LIST_ROWS, LISTS, PROBES, PROBE_SHARE = 256, 1024, 24, 0.7
 #: Members of one part of a list, about, and members tested at once.
 PART_ROWS, STEP_ROWS = 8192, 256
 COLUMNS = 16
