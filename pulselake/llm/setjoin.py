@@ -16,8 +16,9 @@ whole sequence. Two documents link if |A and B| * 100 >= percent * |A or B|.
    again over the whole sets, and only a qualifying block is opened: exact
    overlaps with all its members by an inverted index.
 5. Links only matter between components, so a first round compares within blocks
-   and between neighbours of one group; its components, blocks anew, leave to
-   the second round the queries of a smaller component to a larger one.
+   and between neighbours of one group. In the second round a large component has
+   blocks of its own and only smaller ones query them; small components of a
+   group share blocks, which small components query.
 
 Nothing is capped: a block that many queries reach is copied for runs of them.
 Null and empty texts, and those without a word, have an empty set and no link. A
@@ -41,6 +42,8 @@ from .text import Words, mix, shingle_sets, slices
 #: Members of a block and queries that meet one copy of it, about.
 BLOCK = 512
 QUERIES = 2048
+#: Classes of a component that shares its blocks with others, at most.
+SMALL = 8
 #: Tokens in this many documents of one slice are candidates for the list of frequent tokens, of which so many are kept.
 FREQUENT_IN_SLICE = 4
 FREQUENT_TOKENS = 1 << 16
@@ -215,6 +218,7 @@ def _open_groups(width: int, percent: int):
 
 def _links(asked: DataFrame, members: DataFrame, texts: DataFrame, width: int, percent: int) -> DataFrame:
     """Links of asked (cid, block) in members (cid, block)."""
+    texts = texts.hint("merge")  # the same plan at every size
     runs = asked.groupBy("block").agg(F.ceil(F.count(F.lit(1)) / QUERIES).cast("int").alias("runs"))
     queries = asked.join(runs, "block").withColumn("run", F.pmod(F.xxhash64("cid"), F.col("runs")).cast("int")).join(texts, "cid").select(F.col("block").alias("to"), F.col("run").alias("part"), F.col("cid").alias("asks"), F.col("text").alias("text"))
     held = members.join(runs, "block").withColumn("run", F.explode(F.sequence(F.lit(0), F.col("runs") - 1))).join(texts, "cid").select("block", "run", "cid", "text")
@@ -235,10 +239,9 @@ def join_components(docs: DataFrame, width: int = 5, percent: int = 80) -> DataF
     described = stored(texts.mapInArrow(_describe(width), "doc_id long, n long, cid long, g long, token long, docs long"), "sets")
     rows = described.where("n is not null")
 
-    top = described.where("token is not null").groupBy("token").agg(F.sum("docs").alias("docs")).orderBy(F.desc("docs"), "token").limit(FREQUENT_TOKENS).collect()
-    often = np.array([r["token"] for r in top], np.int64).view(np.uint64)
+    top = described.where("token is not null").groupBy("token").agg(F.sum("docs").alias("docs")).orderBy(F.desc("docs"), "token").limit(FREQUENT_TOKENS).toPandas()
+    often, rank = top.token.to_numpy(np.int64).view(np.uint64), top.docs.to_numpy(np.int64)
     order = np.argsort(often)
-    rank = np.array([r["docs"] for r in top], np.int64)
     shared = spark.sparkContext.broadcast((often[order], rank[order]))  # at most FREQUENT_TOKENS pairs of longs
 
     packed = stored(texts.mapInArrow(_prefixes(width, percent, partitions(spark), shared), "bucket int, tokens binary, classes binary"), "prefixes")
@@ -247,9 +250,11 @@ def join_components(docs: DataFrame, width: int = 5, percent: int = 80) -> DataF
     matrix = stored(light.unionByName(heavy), "matrix")
 
     sized = rows.where("n > 0").groupBy("cid", "n", "g").agg(F.min("doc_id").alias("doc_id"))
-    classes = stored(sized.join(matrix.select("cid").distinct(), "cid", "left_semi"), "classes")
-    one = texts.where("text is not null").join(classes.select("cid", "doc_id"), "doc_id")
-    held = stored(one.select("cid", "text").mapInArrow(_own(width), "cid long, text string").dropDuplicates(["cid"]), "texts")
+    # a set with a link shares so many of its rarest tokens with the other, which has percent of its size at least
+    met = matrix.groupBy("cid").agg(F.count(F.lit(1)).alias("met"))
+    classes = stored(sized.join(met, "cid").where(F.col("met") >= 1 + F.floor(F.col("n") * percent / 100 / 32)).drop("met"), "classes")
+    one = texts.where("text is not null").join(classes.select("cid", "doc_id").hint("merge"), "doc_id")
+    held = stored(one.select("cid", "text").mapInArrow(_own(width), "cid long, text string"), "texts")
 
     # first round: within blocks, and the next block of the same group
     blocks = stored(_blocks(classes, "g"), "blocks")
@@ -263,14 +268,17 @@ def join_components(docs: DataFrame, width: int = 5, percent: int = 80) -> DataF
     known = components(first)
     named = classes.join(known.withColumnRenamed("node", "cid"), "cid", "left").withColumn("component", F.coalesce("component", "cid"))
     weight = named.groupBy("component").agg(F.count(F.lit(1)).alias("weight"))
-    again = stored(_blocks(named.join(weight, "component"), "g", "component"), "blocks")
+    # a large component has blocks of its own; small ones of one group share blocks, so that many of them are few blocks
+    named = named.join(weight, "component").withColumn("at", F.when(F.col("weight") > SMALL, F.col("component")))
+    again = stored(_blocks(named.withColumn("at", F.coalesce("at", F.lit(0))).withColumn("large", F.col("weight") > SMALL), "g", "at", "large"), "blocks")
     lead = F.lit(1) + F.floor(F.col("n") / 32)
-    about = again.groupBy("block").agg(F.min("n").alias("least"), F.max("n").alias("most"), F.min(lead).alias("lead"), F.first("component").alias("at"), F.first("weight").alias("at_weight"))
+    about = again.groupBy("block").agg(F.min("n").alias("least"), F.max("n").alias("most"), F.min(lead).alias("lead"), F.first("at").alias("at"), F.first("large").alias("large"), F.max("weight").alias("at_weight"))
     rare = matrix.join(again.select("cid", "n", "block", "component", "weight"), "cid")
     rows_of = rare.select("token", "block").distinct().join(about, "block")
     smaller = (F.col("weight") < F.col("at_weight")) | ((F.col("weight") == F.col("at_weight")) & (F.col("component") < F.col("at")))
+    asks = F.when(F.col("large"), smaller).otherwise(F.col("weight") <= SMALL)
     fits = (F.col("most") * 100 >= F.col("n") * percent) & (F.col("least") * percent <= F.col("n") * 100)
-    met = rare.drop("block").join(rows_of, "token").where(smaller & fits).groupBy("cid", "block", "n", "lead").agg(F.count(F.lit(1)).alias("common"))
+    met = rare.drop("block").join(rows_of, "token").where(asks & fits).groupBy("cid", "block", "n", "lead").agg(F.count(F.lit(1)).alias("common"))
     asked = stored(met.where(F.col("common") >= F.least(lead, F.col("lead"))).select("cid", "block"), "asked")
     second = stored(_links(asked, again.select("cid", "block"), held, width, percent), "second")
 
