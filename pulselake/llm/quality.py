@@ -22,7 +22,7 @@ from .sparse import Rows, sums, training_sample
 from .text import Words, map_arrow, mix
 
 #: Rows that the fit may see; a documented bound of the fit alone.
-FIT_ROWS = 2500
+FIT_ROWS = 2000
 BITS = 17
 DIM = 12
 

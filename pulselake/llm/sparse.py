@@ -26,18 +26,19 @@ class Rows:
         return cls(np.searchsorted(keys // width, np.arange(n_rows + 1)), keys % width, counts.astype(float), width)
 
     @classmethod
-    def in_slices(cls, texts: list[str], features, width: int, limit: int = 1 << 20) -> Rows:
+    def in_slices(cls, texts: list[str], features, width: int, limit: int = 1 << 18) -> Rows:
         """Rows of ``features(column)`` over runs of texts of bounded size, so that working memory is bounded too."""
         parts, start, total = [], 0, 0
         for i, text in enumerate([*texts, None]):
             size = limit if text is None else len(text)
             if i > start and total + size > limit:
-                parts.append(features(pa.array(texts[start:i], pa.large_string())))
+                rows = features(pa.array(texts[start:i], pa.large_string()))
+                parts.append(cls(rows.indptr, rows.columns.astype(np.int32), rows.values.astype(np.float32), width))
                 start, total = i, 0
             total += size
         sizes = np.concatenate([np.zeros(1, np.int64), *(np.diff(x.indptr) for x in parts)])
-        columns = np.concatenate([np.zeros(0, np.int32), *(x.columns.astype(np.int32) for x in parts)])
-        return cls(np.cumsum(sizes), columns, np.concatenate([np.zeros(0), *(x.values for x in parts)]), width)
+        columns = np.concatenate([np.zeros(0, np.int32), *(x.columns for x in parts)])
+        return cls(np.cumsum(sizes), columns, np.concatenate([np.zeros(0, np.float32), *(x.values for x in parts)]), width)
 
     def dot(self, w: np.ndarray) -> np.ndarray:
         return np.bincount(self.row, weights=self.values * w[self.columns], minlength=len(self))
