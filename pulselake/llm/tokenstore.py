@@ -16,7 +16,7 @@ A frame holds the ids as little-endian unsigned 32-bit integers. One document is
 read by its offsets alone, without the rest of the payload's frames.
 
 Null texts count as empty: the end id alone. Rows with a null doc_id come first.
-Rows that repeat a doc_id are stored each, ordered by text. An empty table gives
+Rows that repeat a doc_id are stored each, in the order of their frames. An empty table gives
 a store without segments.
 """
 
@@ -27,6 +27,7 @@ import os
 import re
 import struct
 import zlib
+from array import array
 from collections.abc import Iterator
 
 import numpy as np
@@ -42,12 +43,14 @@ from .text import slices
 #: Documents whose ids train the dictionary, and the dictionary's largest size.
 SAMPLE_DOCS = 2000
 DICTIONARY_BYTES = 64 << 10
-LEVEL = 3
+LEVEL = 1
+#: Chunks up to this length stay when a full cache is emptied; short words are the frequent ones.
+KEPT_LENGTH = 6
 #: Documents and payload bytes in a segment, at most (one document may be larger).
 SEGMENT_DOCS = 512
 SEGMENT_BYTES = 4 << 20
 #: Chunks of text kept with their ids in one Python worker, and the longest such chunk.
-CACHE_CHUNKS = 700_000
+CACHE_CHUNKS = 900_000
 CACHE_LENGTH = 64
 
 SEGMENTS = "shard int, segment int, start long, total long, dictionary_hash string, doc_ids array<long>, counts array<int>, offsets array<long>, payload binary"
@@ -61,14 +64,17 @@ class ByteEncoder:
     """
 
     _IRREGULAR = re.compile(r" \s|\s ")
-    #: A run of letters and what follows it from another ASCII character on: no token spans that border.
-    _WORD = re.compile("([A-Za-zÀ-ÖØ-öø-ÿ]+)([^A-Za-z\x80-\U0010ffff].*)", re.S)
+    _OTHER = "\t\x0b\x0c\r\x1c\x1d\x1e\x1f"
+    #: A run of letters, and what may follow it from another ASCII character on: no token spans that border.
+    _WORD = re.compile("([A-Za-zÀ-ÖØ-öø-ÿ]+)([^A-Za-z\x80-\U0010ffff].*)?", re.S)
 
     def __init__(self, path: str):
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
         from tokenizers import Tokenizer
 
         self._library = Tokenizer.from_file(path)
+        self._tokenize = self._library.model.tokenize
+        self._symbols = self._library.pre_tokenizer.pre_tokenize_str
         self._special = [t.content for t in self._library.get_added_tokens_decoder().values()]
         #: ids of a chunk with a space before it, by the chunk
         self._spaced: dict[str, bytes] = {}
@@ -76,28 +82,28 @@ class ByteEncoder:
         self._rests: dict[str, bytes] = {}
 
     def _ids(self, chunks: list[str]) -> list[bytes]:
-        return [struct.pack(f"<{len(e.ids)}I", *e.ids) for e in self._library.encode_batch_fast(chunks, add_special_tokens=False)]
+        return [array("I", e.ids).tobytes() for e in self._library.encode_batch_fast(chunks, add_special_tokens=False)]
 
     def encode(self, texts: list[str]) -> list[bytes]:
         """Little-endian 32-bit ids of each text."""
+        if len(self._spaced) > CACHE_CHUNKS:
+            self._spaced = {k: v for k, v in self._spaced.items() if len(k) <= KEPT_LENGTH}
         spaced = self._spaced
-        if len(spaced) > CACHE_CHUNKS:
-            spaced.clear()
         heads, tails = [], []
         missing: set[str] = set()
         for text in texts:
             pieces = [text] if any(s in text for s in self._special) else text.split(" ")
-            if len(pieces) > 1 and self._IRREGULAR.search(text):
+            if len(pieces) > 1 and not self._regular(text):
                 pieces = self._joined(pieces)
             heads.append(pieces[0])
             tails.append(pieces[1:])
-            missing.update(x for x in tails[-1] if x not in spaced)
+            missing.update(set(tails[-1]).difference(spaced))
         fresh = list(missing)
         self._learn(fresh)
         out = [head + b"".join(map(spaced.__getitem__, tail)) for head, tail in zip(self._ids(heads), tails, strict=True)]
         for x in fresh:
             if len(x) > CACHE_LENGTH:
-                del spaced[x]
+                spaced.pop(x, None)
         return out
 
     def _learn(self, chunks: list[str]) -> None:
@@ -106,17 +112,33 @@ class ByteEncoder:
         if len(rests) > CACHE_CHUNKS // 4:
             rests.clear()
         found = [(x, self._WORD.fullmatch(x)) for x in chunks]
-        cut = [(x, m) for x, m in found if m]
-        words = list({m[1] for _, m in cut if m[1] not in spaced})
         whole = [x for x, m in found if not m]
-        tails = list({m[2] for _, m in cut if m[2] not in rests})
-        spaced.update(zip([*whole, *words], self._ids([" " + x for x in (*whole, *words)]), strict=True))
+        spaced.update(zip(whole, self._ids([" " + x for x in whole]), strict=True))
+        tails = list({m[2] for _, m in found if m and m[2] and m[2] not in rests})
         rests.update(zip(tails, self._ids(tails), strict=True))
-        spaced.update([(x, spaced[m[1]] + rests[m[2]]) for x, m in cut])
+        for x, m in found:
+            if m:
+                letters, rest = m.groups()
+                head = spaced.get(letters)
+                if head is None:
+                    head = spaced[letters] = self._one(letters)
+                if rest:
+                    spaced[x] = head + rests[rest]
         for x in tails:
             if len(x) > CACHE_LENGTH:
                 del rests[x]
 
+    def _one(self, letters: str) -> bytes:
+        """Ids of a space and a run of letters, which is one pre-token: straight from the library's model."""
+        piece = "Ġ" + letters if letters.isascii() else self._symbols(" " + letters)[0][0]
+        return array("I", [x.id for x in self._tokenize(piece)]).tobytes()
+
+    def _regular(self, text: str) -> bool:
+        """Whether no space stands beside white space; the common case is told by substring searches alone."""
+        if text.isascii() and not any(x in text for x in self._OTHER):
+            return not ("  " in text or " \n" in text or "\n " in text)
+        return not self._IRREGULAR.search(text)
+
     @staticmethod
     def _joined(pieces: list[str]) -> list[str]:
         """The pieces of a text with runs of white space, joined again wherever the cut is beside white space."""
@@ -166,14 +188,13 @@ def write(docs: DataFrame, path: str, vocabulary: str, end_id: int) -> None:
         for batch in batches:
             for part in slices(batch):
                 ids = [x + last for x in e.encode(pc.fill_null(part["text"], "").to_pylist())]
-                sums = [hashlib.md5(x).hexdigest() for x in ids]
                 yield pa.RecordBatch.from_arrays(
-                    [part["doc_id"], pa.array(sums), pa.array([len(x) // 4 for x in ids], pa.int32()), pa.array([packer.compress(x) for x in ids], pa.binary())],
-                    ["doc_id", "digest", "n", "frame"],
+                    [part["doc_id"], pa.array([len(x) // 4 for x in ids], pa.int32()), pa.array([packer.compress(x) for x in ids], pa.binary())],
+                    ["doc_id", "n", "frame"],
                 )
 
-    frames = stored(docs.select("doc_id", "text").mapInArrow(encode, "doc_id long, digest string, n int, frame binary"), "frames")
-    ordered = frames.repartitionByRange(partitions(spark), "doc_id", "digest").sortWithinPartitions("doc_id", "digest").withColumn("shard", F.spark_partition_id())
+    frames = stored(docs.select("doc_id", "text").mapInArrow(encode, "doc_id long, n int, frame binary"), "frames")
+    ordered = frames.repartitionByRange(partitions(spark), "doc_id", "frame").sortWithinPartitions("doc_id", "frame").withColumn("shard", F.spark_partition_id())
 
     def pack(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held: list[tuple] = []
