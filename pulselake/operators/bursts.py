@@ -105,7 +105,7 @@ def burst_similarity(df: DataFrame, **p) -> DataFrame:
     """Cosine of the channel counts of each pair of network bursts."""
     x = network_bursts(df, **p).groupBy("burst", "electrode").agg(F.count(F.lit(1)).alias("n"))
     norm = x.groupBy("burst").agg(F.sqrt(F.sum(F.col("n") * F.col("n"))).alias("norm"))
-    x = x.join(F.broadcast(norm), "burst")
+    x = x.join(norm, "burst")
     a, b = x.select(F.col("burst").alias("i"), "electrode", F.col("n").alias("x"), F.col("norm").alias("nx")), x.select(F.col("burst").alias("j"), F.col("electrode").alias("electrode"), F.col("n").alias("y"), F.col("norm").alias("ny"))
     return a.join(b, "electrode").where("i < j").groupBy("i", "j").agg(r6(F.sum(F.col("x") * F.col("y")) / F.first("nx") / F.first("ny")).alias("cosine"))
 
@@ -149,7 +149,7 @@ def powerlaw_mle(df: DataFrame, width: int, least: int = 30) -> DataFrame:
     cuts = x.select(F.col("size").alias("xmin"))
     tail = cuts.join(x, F.col("size") >= F.col("xmin"))
     fit = tail.groupBy("xmin").agg(F.sum("n").alias("k"), F.sum(F.col("n") * F.log(F.col("size") / (F.col("xmin") - 0.5))).alias("l")).where(F.col("k") >= least).withColumn("alpha", 1 + F.col("k") / F.col("l"))
-    y = tail.join(F.broadcast(fit), "xmin")
+    y = tail.join(fit, "xmin")
     upto = F.sum("n").over(Window.partitionBy("xmin").orderBy("size"))
     model = 1 - F.pow(F.col("size") / F.col("xmin"), 1 - F.col("alpha"))
     y = y.withColumn("hi", upto / F.col("k")).withColumn("lo", (upto - F.col("n") + 1) / F.col("k")).withColumn("cdf", model)

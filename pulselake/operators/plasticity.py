@@ -58,7 +58,7 @@ def pattern_replay(df: DataFrame, width: int, least: float, k: int = 20) -> Data
     size = c.groupBy("bin").agg(F.sum("n").alias("total"), F.sqrt(F.sum(F.col("n") * F.col("n"))).alias("norm"))
     bar = F.broadcast(size.agg(F.expr("percentile(total, 0.9)").alias("bar")))
     busy = size.join(bar).where("total >= bar").select(F.col("bin").alias("template"), F.col("norm").alias("norm0"))
-    t = c.join(F.broadcast(busy), c.bin == busy.template).select("template", "norm0", "electrode", F.col("n").alias("n0"))
+    t = c.join(busy, c.bin == busy.template).select("template", "norm0", "electrode", F.col("n").alias("n0"))
     other = c.join(size, "bin").select(F.col("bin").alias("bin"), F.col("electrode").alias("electrode"), F.col("n").alias("n"), F.col("norm").alias("norm"))
     sim = F.sum(F.col("n") * F.col("n0")) / (F.first("norm") * F.first("norm0"))
     x = t.join(other, "electrode").where("bin > template").groupBy("template", "bin").agg(F.round(sim, 6).alias("similarity"))
