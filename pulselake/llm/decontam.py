@@ -8,8 +8,10 @@ sum(min of counts) / sum(max of counts); ``min_similarity`` or more is a leak.
 
 Plan, all in DataFrame functions:
 
-1. Windows. A window that is similar to an item at all shares a shingle with it,
-   so windows are laid where a shared shingle lines the two up. The item
+1. Windows. Every start counts, wherever the shared shingles stand in the item.
+   Similarity t of a window of w shingles and an item of p needs t (w + p) / (1 + t)
+   shared ones, so a window is laid at each start that covers so many positions
+   with a shingle of the items of that size; all others are below t. The item
    shingles reach the scan as a broadcast only below ``BROADCAST_ITEMS`` rows, by
    a shuffled join beyond.
 2. Fingerprints. Each window and item gets the 64-bit SimHash of its weighted
@@ -78,6 +80,19 @@ def weighted_similarity(a: Column, b: Column) -> Column:
     return common / (F.size(a) + F.size(b) - common)
 
 
+def least_shared(a: Column, b: Column, min_similarity: float) -> Column:
+    """Shingles that two sets of a and b shingles share at least, at that similarity; rounding errors go down."""
+    return F.greatest(F.lit(1), F.ceil((a + b) * F.lit(min_similarity / (1 + min_similarity)) - F.lit(1e-6))).cast("int")
+
+
+def _starts() -> Column:
+    """Starts of all windows that cover ``need`` of the sorted positions ``hits`` at least."""
+    last = F.col("n_words") - F.col("k")
+    end = lambda i: F.get("hits", i + F.col("need") - 1)
+    runs = F.transform(F.sequence(F.lit(0), F.size("hits") - F.col("need")), lambda i: F.struct(F.greatest(F.lit(0), end(i) - last).alias("a"), F.least(F.get("hits", i), F.col("n") - F.col("n_words")).alias("b")))
+    return F.array_distinct(F.flatten(F.transform(F.filter(runs, lambda r: r["a"] <= r["b"]), lambda r: F.sequence(r["a"], r["b"]))))
+
+
 def blocks(radius: int) -> list[tuple[int, int]]:
     """(shift, width) of each of radius + 1 blocks of a 64-bit fingerprint."""
     n = min(radius + 1, 64)
@@ -105,17 +120,18 @@ def leaks(docs: DataFrame, benchmark: DataFrame, min_similarity: float = MIN_SIM
     size = items.agg(F.coalesce(F.sum(F.size("shingles")), F.lit(0)).alias("rows"), F.collect_set("k").alias("ks")).first()  # ks: 1 to width
     texts = docs.where("doc_id is not null and text is not null").select("doc_id", words_of(F.col("text")).alias("words"))
 
-    # 1. where a shared shingle lines a document up with an item
+    # 1. starts of the windows that hold enough shingles of the items of one size
     rows = reduce(DataFrame.unionByName, [texts.select("doc_id", F.size("words").alias("n"), F.lit(k).alias("k"), F.posexplode(_shingles(F.col("words"), k)).alias("pos", "h")) for k in sorted(size["ks"]) or [width]])
-    probes = items.select("k", "n_words", F.posexplode("shingles").alias("at", "h")).distinct()
+    probes = items.select("k", "n_words", F.explode("shingles").alias("h")).distinct()
     probes = F.broadcast(probes) if size["rows"] <= BROADCAST_ITEMS else probes
-    start = F.greatest(F.lit(0), F.least(F.col("pos") - F.col("at"), F.col("n") - F.col("n_words")))
-    laid = rows.join(probes, ["k", "h"]).where("n >= n_words").select("doc_id", "k", "n_words", start.alias("start")).distinct()
-    spots = laid.groupBy("doc_id").agg(F.collect_set(F.struct("k", "n_words", "start")).alias("spots"))
+    hits = rows.join(probes, ["k", "h"]).where("n >= n_words").groupBy("doc_id", "n", "k", "n_words").agg(F.sort_array(F.collect_set("pos")).alias("hits"))
+    bound = hits.withColumn("need", least_shared(F.col("n_words") - F.col("k") + 1, F.col("n_words") - F.col("k") + 1, min_similarity)).where(F.size("hits") >= F.col("need"))
+    laid = bound.select("doc_id", F.transform(_starts(), lambda s: F.struct("n", "k", "n_words", s.alias("start"))).alias("laid"))
+    spots = laid.groupBy("doc_id").agg(F.flatten(F.collect_list("laid")).alias("spots"))
 
-    # 2. windows of the documents with such spots, and their fingerprints
+    # 2. those windows, and their fingerprints; rows that repeat a doc_id are told apart by their size
     held = spots.join(docs.where("text is not null").select("doc_id", "text"), "doc_id").select("doc_id", words_of(F.col("text")).alias("words"), "spots")
-    one = held.select("doc_id", "words", F.explode("spots").alias("s")).where(F.size("words") >= F.col("s.start") + F.col("s.n_words"))
+    one = held.select("doc_id", "words", F.explode("spots").alias("s")).where(F.size("words") == F.col("s.n"))
     count = F.col("s.n_words") - F.col("s.k") + 1
     shingles = F.transform(F.sequence(F.lit(1), count), lambda i: F.xxhash64(F.slice(F.col("words"), i + F.col("s.start"), F.col("s.k"))))
     windows = one.select("doc_id", F.col("s.start").alias("start"), F.col("s.n_words").alias("n_words"), shingles.alias("window"))

@@ -115,6 +115,27 @@ def test_decontamination_catches_planted_and_leaves_clean(spark):
     assert left == set(range(len(texts))) - {d for d, _ in want}
 
 
+def test_decontamination_tries_every_start(spark):
+    items = [prose(400 + i, n) for i, n in enumerate((60, 60, 94, 60, 40))]
+    w = [x.split(" ") for x in items]
+    edited = [
+        w[0][15:] + w[0][:15],  # the first 15 words moved to the end
+        w[1][30:] + w[1][:30],  # halves swapped
+        w[2][47:] + w[2][:47],
+        ["p1", "p2", *w[3][2:30], "in1", "in2", "in3", "in4", *w[3][30:58], "p3", "p4"],  # changed ends, words inserted in the middle
+        w[4][:20] + ["in5"] + w[4][20:],
+    ]
+    texts = [f"{prose(420 + i, 35)} {' '.join(e)} {prose(440 + i, 35)}" for i, e in enumerate(edited)] + [prose(460 + i, 150) for i in range(4)]
+    got = {(r.doc_id, r.item_id): r.similarity for r in decontam.leaks(documents(spark, texts), _benchmark(spark, items), min_similarity=0.7).collect()}
+    want = {(d, i): leaked(t, x) for d, t in enumerate(texts) for i, x in enumerate(items) if leaked(t, x) >= 0.7}
+    assert set(want) == {(i, i) for i in range(5)}
+    assert got == pytest.approx(want)
+    caught = {d for (d, _), x in want.items() if x >= 0.8}
+    assert {0, 1, 2} <= caught
+    left = {r.doc_id for r in decontam.clean(documents(spark, texts), _benchmark(spark, items)).collect()}
+    assert left == set(range(len(texts))) - caught
+
+
 def test_decontamination_odd_tables(spark):
     none = _benchmark(spark, [])
     docs = documents(spark, ["a b c d e f", None])
