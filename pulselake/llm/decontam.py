@@ -1,7 +1,8 @@
 """Benchmark decontamination by SimHash over item-sized windows.
 
 Words are runs of letters and digits in lower case. A document's window for a
-benchmark item has as many words as the item. The weighted shingles of a window
+benchmark item has as many words as the item; a document with fewer words is one
+window, the whole of it. The weighted shingles of a window
 or item are its distinct 5-word shingles with their counts (with fewer than five
 words, the whole sequence is the one shingle). The similarity of the two is
 sum(min of counts) / sum(max of counts); ``min_similarity`` or more is a leak.
@@ -87,9 +88,9 @@ def least_shared(a: Column, b: Column, min_similarity: float) -> Column:
 
 def _starts() -> Column:
     """Starts of all windows that cover ``need`` of the sorted positions ``hits`` at least."""
-    last = F.col("n_words") - F.col("k")
+    last = F.col("length") - F.col("k")
     end = lambda i: F.get("hits", i + F.col("need") - 1)
-    runs = F.transform(F.sequence(F.lit(0), F.size("hits") - F.col("need")), lambda i: F.struct(F.greatest(F.lit(0), end(i) - last).alias("a"), F.least(F.get("hits", i), F.col("n") - F.col("n_words")).alias("b")))
+    runs = F.transform(F.sequence(F.lit(0), F.size("hits") - F.col("need")), lambda i: F.struct(F.greatest(F.lit(0), end(i) - last).alias("a"), F.least(F.get("hits", i), F.col("n") - F.col("length")).alias("b")))
     return F.array_distinct(F.flatten(F.transform(F.filter(runs, lambda r: r["a"] <= r["b"]), lambda r: F.sequence(r["a"], r["b"]))))
 
 
@@ -115,7 +116,7 @@ def items_of(benchmark: DataFrame, width: int = WIDTH) -> DataFrame:
 
 
 def leaks(docs: DataFrame, benchmark: DataFrame, min_similarity: float = MIN_SIMILARITY, radius: int = RADIUS, width: int = WIDTH) -> DataFrame:
-    """(doc_id, item_id, start, n_words, similarity): the best window of each leaked item in each document."""
+    """(doc_id, item_id, start, n_words, similarity): the best window of each leaked item in each document, and its words."""
     items = items_of(benchmark, width).cache()
     size = items.agg(F.coalesce(F.sum(F.size("shingles")), F.lit(0)).alias("rows"), F.collect_set("k").alias("ks")).first()  # ks: 1 to width
     texts = docs.where("doc_id is not null and text is not null").select("doc_id", words_of(F.col("text")).alias("words"))
@@ -124,17 +125,17 @@ def leaks(docs: DataFrame, benchmark: DataFrame, min_similarity: float = MIN_SIM
     rows = reduce(DataFrame.unionByName, [texts.select("doc_id", F.size("words").alias("n"), F.lit(k).alias("k"), F.posexplode(_shingles(F.col("words"), k)).alias("pos", "h")) for k in sorted(size["ks"]) or [width]])
     probes = items.select("k", "n_words", F.explode("shingles").alias("h")).distinct()
     probes = F.broadcast(probes) if size["rows"] <= BROADCAST_ITEMS else probes
-    hits = rows.join(probes, ["k", "h"]).where("n >= n_words").groupBy("doc_id", "n", "k", "n_words").agg(F.sort_array(F.collect_set("pos")).alias("hits"))
-    bound = hits.withColumn("need", least_shared(F.col("n_words") - F.col("k") + 1, F.col("n_words") - F.col("k") + 1, min_similarity)).where(F.size("hits") >= F.col("need"))
-    laid = bound.select("doc_id", F.transform(_starts(), lambda s: F.struct("n", "k", "n_words", s.alias("start"))).alias("laid"))
+    hits = rows.join(probes, ["k", "h"]).groupBy("doc_id", "n", "k", "n_words").agg(F.sort_array(F.collect_set("pos")).alias("hits")).withColumn("length", F.least("n", "n_words"))
+    bound = hits.withColumn("need", least_shared(F.col("length") - F.col("k") + 1, F.col("n_words") - F.col("k") + 1, min_similarity)).where(F.size("hits") >= F.col("need"))
+    laid = bound.select("doc_id", F.transform(_starts(), lambda s: F.struct("n", "k", "n_words", "length", s.alias("start"))).alias("laid"))
     spots = laid.groupBy("doc_id").agg(F.flatten(F.collect_list("laid")).alias("spots"))
 
     # 2. those windows, and their fingerprints; rows that repeat a doc_id are told apart by their size
     held = spots.join(docs.where("text is not null").select("doc_id", "text"), "doc_id").select("doc_id", words_of(F.col("text")).alias("words"), "spots")
     one = held.select("doc_id", "words", F.explode("spots").alias("s")).where(F.size("words") == F.col("s.n"))
-    count = F.col("s.n_words") - F.col("s.k") + 1
+    count = F.col("s.length") - F.col("s.k") + 1
     shingles = F.transform(F.sequence(F.lit(1), count), lambda i: F.xxhash64(F.slice(F.col("words"), i + F.col("s.start"), F.col("s.k"))))
-    windows = one.select("doc_id", F.col("s.start").alias("start"), F.col("s.n_words").alias("n_words"), shingles.alias("window"))
+    windows = one.select("doc_id", F.col("s.start").alias("start"), F.col("s.n_words").alias("n_words"), F.col("s.length").alias("length"), shingles.alias("window"))
     windows = windows.withColumn("print", simhash(F.col("window")))
 
     # 3. candidates within the radius, by blocks; 4. the exact similarity of those
@@ -144,7 +145,7 @@ def leaks(docs: DataFrame, benchmark: DataFrame, min_similarity: float = MIN_SIM
     apart = F.bit_count(F.col("print").bitwiseXOR(F.col("fingerprint")))
     first = F.array_min(F.array(*[F.when(F.shiftrightunsigned(F.col("print").bitwiseXOR(F.col("fingerprint")), s).bitwiseAND(F.lit((1 << w) - 1)) == 0, F.lit(i)) for i, (s, w) in enumerate(blocks(radius))]))
     near = left.join(right, ["n_words", "key"]).where((apart <= radius) & (F.col("key.block") == first))
-    scored = near.select("doc_id", "item_id", "start", "n_words", weighted_similarity(F.col("window"), F.col("shingles")).alias("similarity"))
+    scored = near.select("doc_id", "item_id", "start", F.col("length").alias("n_words"), weighted_similarity(F.col("window"), F.col("shingles")).alias("similarity"))
     best = F.max_by(F.struct("start", "n_words", "similarity"), F.struct("similarity", -F.col("start")))
     found = scored.where(F.col("similarity") >= min_similarity).groupBy("doc_id", "item_id").agg(best.alias("b"))
     return found.select("doc_id", "item_id", F.col("b.start").alias("start"), F.col("b.n_words").alias("n_words"), F.col("b.similarity").alias("similarity"))

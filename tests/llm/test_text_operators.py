@@ -2,6 +2,7 @@
 
 import hashlib
 import random
+from collections import Counter
 
 import pytest
 from helpers import DOCS, components, deduplicated, documents, leaked, prose, shingles
@@ -136,6 +137,27 @@ def test_decontamination_tries_every_start(spark):
     assert left == set(range(len(texts))) - caught
 
 
+def test_decontamination_of_documents_shorter_than_the_item(spark):
+    items = [prose(500, 60), prose(501, 100), prose(502, 40), "one two three four five six", "seven eight nine"]
+    w = [x.split(" ") for x in items]
+    short = [w[0][:-2], w[1][:50] + w[1][51:], w[2][1:], w[2][:30], w[3][:5], w[4][:2], w[0][:4]]
+    texts = [" ".join(x) for x in short]
+
+    def whole(text, item, width=5):  # the document is the only window
+        k = min(width, len(item.split(" ")))
+        a, b = (Counter(tuple(x[i : i + k]) for i in range(len(x) - k + 1)) for x in (text.split(" "), item.split(" ")))
+        return sum((a & b).values()) / sum((a | b).values())
+
+    for least in (0.8, 0.45):
+        want = {(d, i): whole(t, x) for d, t in enumerate(texts) for i, x in enumerate(items) if len(short[d]) < len(w[i]) and whole(t, x) >= least}
+        rows = decontam.leaks(documents(spark, texts), _benchmark(spark, items), min_similarity=least).collect()
+        got = {(r.doc_id, r.item_id): r.similarity for r in rows if len(short[r.doc_id]) < len(w[r.item_id])}
+        assert {(0, 0), (1, 1), (2, 2)} <= set(want) and got == pytest.approx(want)
+        assert all((r.start, r.n_words) == (0, len(short[r.doc_id])) for r in rows if (r.doc_id, r.item_id) in want)
+    left = {r.doc_id for r in decontam.clean(documents(spark, texts), _benchmark(spark, items)).collect()}
+    assert not left & {0, 1, 2} and {3, 4, 5, 6} <= left
+
+
 def test_decontamination_odd_tables(spark):
     none = _benchmark(spark, [])
     docs = documents(spark, ["a b c d e f", None])
