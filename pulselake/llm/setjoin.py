@@ -23,7 +23,7 @@ whole sequence. Two documents link if |A and B| * 100 >= percent * |A or B|.
 Nothing is capped: a block that many queries reach is copied for runs of them.
 Null and empty texts, and those without a word, have an empty set and no link. A
 null doc_id is a document of its own row. Rows that repeat a doc_id are compared
-each; one doc_id then ends in the smallest component of its rows.
+each, and each has the component of its own text; ``keep_one`` decides per text too.
 """
 
 from __future__ import annotations
@@ -69,7 +69,7 @@ def _lead(n: int, percent: int) -> tuple[int, int]:
 
 
 def _describe(width: int):
-    """One row per document; and one per token that is frequent within the slice."""
+    """One row per document, with its ``row`` where it has one; and one per token that is frequent within the slice."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         names = ["doc_id", "n", "cid", "g", "token", "docs"]
@@ -79,11 +79,12 @@ def _describe(width: int):
                 sets = shingle_sets(Words(part["text"]), width)
                 rows = [part["doc_id"], [len(s) for s in sets], [_class_of(s) for s in sets], [int(_signed(mix(s ^ _ALT).min(keepdims=True))[0]) if len(s) else 0 for s in sets]]
                 none = [None] * len(sets)
-                yield pa.RecordBatch.from_arrays([*(pa.array(x, t) for x, t in zip([*rows, none, none], types, strict=True))], names)
+                tag = [part["row"]] if "row" in part.schema.names else []
+                yield pa.RecordBatch.from_arrays([*(pa.array(x, t) for x, t in zip([*rows, none, none], types, strict=True)), *tag], names + ["row"] * len(tag))
                 token, count = np.unique(np.concatenate([*sets, np.zeros(0, np.uint64)]), return_counts=True)
                 often = count >= FREQUENT_IN_SLICE
                 none = [None] * int(often.sum())
-                yield pa.RecordBatch.from_arrays([*(pa.array(x, t) for x, t in zip([none, none, none, none, _signed(token[often]), count[often]], types, strict=True))], names)
+                yield pa.RecordBatch.from_arrays([*(pa.array(x, t) for x, t in zip([none, none, none, none, _signed(token[often]), count[often]], types, strict=True)), *(pa.array(none, pa.int64()) for _ in tag)], names + ["row"] * len(tag))
 
     return run
 
@@ -232,11 +233,12 @@ def _blocks(classes: DataFrame, *keys: str) -> DataFrame:
     return salted.withColumn("block", F.xxhash64(*keys, "salt"))
 
 
-def join_components(docs: DataFrame, width: int = 5, percent: int = 80) -> DataFrame:
-    """(doc_id, n_shingles, component_id) of every row; the smallest doc_id names a component."""
+def _assigned(docs: DataFrame, width: int, percent: int, *tag: str) -> DataFrame:
+    """(doc_id, n, cid, component) of every row; with the tag "row" also the hash of its text."""
     spark = docs.sparkSession
     texts = docs.select("doc_id", "text")
-    described = stored(texts.mapInArrow(_describe(width), "doc_id long, n long, cid long, g long, token long, docs long"), "sets")
+    tagged = texts.select("*", *[F.xxhash64("text").alias(x) for x in tag])
+    described = stored(tagged.mapInArrow(_describe(width), ", ".join(["doc_id long, n long, cid long, g long, token long, docs long", *[f"{x} long" for x in tag]])), "sets")
     rows = described.where("n is not null")
 
     top = described.where("token is not null").groupBy("token").agg(F.sum("docs").alias("docs")).orderBy(F.desc("docs"), "token").limit(FREQUENT_TOKENS).toPandas()
@@ -283,13 +285,33 @@ def join_components(docs: DataFrame, width: int = 5, percent: int = 80) -> DataF
     second = stored(_links(asked, again.select("cid", "block"), held, width, percent), "second")
 
     final = components(first.unionByName(second)).withColumnRenamed("node", "cid")
-    of = rows.select("doc_id", "n", "cid").join(final, "cid", "left").withColumn("component", F.coalesce("component", "cid"))
+    return rows.select("doc_id", "n", "cid", *tag).join(final, "cid", "left").withColumn("component", F.coalesce("component", "cid"))
+
+
+def join_components(docs: DataFrame, width: int = 5, percent: int = 80) -> DataFrame:
+    """(doc_id, n_shingles, component_id) of every row; the smallest doc_id names a component."""
+    of = _assigned(docs, width, percent)
     name = of.where("n > 0").groupBy("component").agg(F.min("doc_id").alias("component_id"))
     out = of.join(name, "component", "left")
     return out.select("doc_id", F.col("n").alias("n_shingles"), F.when(F.col("n") > 0, F.coalesce("component_id", "doc_id")).otherwise(F.col("doc_id")).alias("component_id"))
 
 
 def keep_one(docs: DataFrame, width: int = 5, percent: int = 80) -> DataFrame:
-    """The documents, with all their columns, without those that a smaller doc_id of their component stands for."""
-    lost = join_components(docs, width, percent).where("component_id <> doc_id").select("doc_id").distinct()
-    return docs.join(lost, "doc_id", "left_anti").select(*docs.columns)
+    """The documents, with all their columns, without those that another row of their component stands for.
+
+    The row with the smallest doc_id stands for a component, of several the one with
+    the smallest hash of the text, of equal ones any. Rows without a word or a doc_id stay.
+    """
+    of = _assigned(docs, width, percent, "row").where("n > 0 and doc_id is not null")
+    stands = of.groupBy("component").agg(F.min(F.struct("doc_id", "row")).alias("first"))
+    lost = of.join(stands, "component").where(F.struct("doc_id", "row") != F.col("first")).select("doc_id", "row").distinct()
+    twice = stored(of.groupBy("doc_id", "row").agg(F.count(F.lit(1)).alias("rows")).where("rows > 1").select("doc_id", "row"), "twice")
+
+    def at(keys: DataFrame, how: str) -> DataFrame:
+        keys = keys.withColumnsRenamed({"doc_id": "__doc", "row": "__row"})
+        return docs.join(keys, (F.col("doc_id") == F.col("__doc")) & (F.xxhash64("text") == F.col("__row")), how).select(*docs.columns)
+
+    if twice.isEmpty():
+        return at(lost, "left_anti")
+    once = at(twice.join(lost, ["doc_id", "row"], "left_anti"), "left_semi").dropDuplicates(["doc_id", "text"])
+    return at(lost.unionByName(twice).distinct(), "left_anti").unionByName(once)

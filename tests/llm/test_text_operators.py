@@ -97,6 +97,22 @@ def test_jaccard_join_odd_tables(spark):
     assert sorted(r.doc_id for r in kept.collect()) == [0, 2, 3]
 
 
+def test_keep_one_decides_repeated_doc_ids_per_text(spark):
+    a, b, c, d, e = (prose(600 + i, 50) for i in range(5))
+    rows = [(1, a), (5, a), (5, b), (1, c), (7, c)]  # 5 copies 1 with one text only; 1 holds two unlike texts
+    rows += [(8, d), (8, d), (8, d + " more"), (9, d)]  # copies within one doc_id
+    rows += [(4, e), (6, e), (6, e), (2, ""), (2, ""), (3, None), (None, b), (None, b)]
+    kept = [(r.doc_id, r.text) for r in setjoin.keep_one(documents(spark, rows)).collect()]
+    assert sum(i == 8 for i, _ in kept) == 1 and {t for i, t in kept if i == 8} <= {d, d + " more"}
+    rest = [(1, a), (5, b), (1, c), (4, e), (2, ""), (2, ""), (3, None), (None, b), (None, b)]
+    assert sorted((x for x in kept if x[0] != 8), key=str) == sorted(rest, key=str)
+
+
+def test_keep_one_of_exact_repeated_rows(spark):
+    for t in (prose(610, 40), "two words"):
+        assert [(r.doc_id, r.text) for r in setjoin.keep_one(documents(spark, [(3, t), (3, t), (3, t)])).collect()] == [(3, t)]
+
+
 def _benchmark(spark, items):
     return spark.createDataFrame(list(enumerate(items)), "item_id long, text string")
 
