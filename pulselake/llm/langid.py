@@ -8,7 +8,11 @@ a text is one table lookup per byte and the whole text counts.
 
 A null text, or one without a letter, gets ``und`` and score 0. A language code
 without an entry in FAMILIES is a family of its own. Without training rows every
-text gets ``und``.
+text gets ``und``. Rows that repeat a doc_id are predicted each; a null doc_id is
+predicted and in no fold. Ties go to the first language in alphabetical order. An
+empty table gives an empty result. Very long texts are predicted whole, a slice of
+their own each. Columns beside doc_id, text and lang are not read, whatever their
+names.
 """
 
 from __future__ import annotations
@@ -21,7 +25,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .sparse import Rows, sums, training_sample
+from .sparse import Rows, fitted, sums, training_sample
 from .text import _LOWER, buffer_of, map_arrow
 
 #: Language families by code.
@@ -144,8 +148,7 @@ class LanguageModel:
 
 
 def fit(docs: DataFrame, keep, limit: int = FIT_ROWS) -> LanguageModel:
-    rows = training_sample(docs, docs.select("doc_id", "lang"), "lang", keep, limit)
-    return LanguageModel(rows.text.tolist(), rows.lang.tolist())
+    return fitted(training_sample(docs, docs.select("doc_id", "lang"), "lang", keep, limit), lambda rows: LanguageModel(rows.text.tolist(), rows.lang.tolist()))
 
 
 def predict(docs: DataFrame, model: LanguageModel) -> DataFrame:

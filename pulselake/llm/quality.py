@@ -7,8 +7,13 @@ in NumPy. As the output is linear in the average, scoring looks up one number pe
 feature (its vector times the softmax layer), which is the same sum in another
 order. A word equal to its predecessor makes the pair feature of any repetition.
 
-Null and empty texts have no feature and get the score of the bias alone, or 0
-if ``empty_score`` is not changed. Letter case counts.
+Null and empty texts have no feature and get the score of the bias alone; a text
+of blanks has its character features. Letter case counts. Rows that repeat a
+doc_id are scored each; a null doc_id is scored and in no fold. An empty table
+gives an empty result; without two kinds of label every text has the labels'
+share of 1. Very long texts are scored whole, a slice of their own each. Columns
+beside doc_id and text are not read by ``score`` and pass by in ``keep_good``,
+whatever their names.
 """
 
 from __future__ import annotations
@@ -18,7 +23,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .sparse import Rows, sums, training_sample
+from .sparse import Rows, fitted, sums, training_sample
 from .text import Words, map_arrow, mix
 
 #: Rows that the fit may see; a documented bound of the fit alone.
@@ -102,7 +107,7 @@ class QualityModel:
         margin = emb @ (out[:, 1] - out[:, 0])
         self.table, self.bias = margin.astype(np.float32), float(bias[1] - bias[0])
 
-    def score(self, column: pa.Array, empty_score: float | None = 0.0) -> np.ndarray:
+    def score(self, column: pa.Array) -> np.ndarray:
         """Chance of label 1."""
         one, two, third, fourth, bounds, offsets = hashed(column)
         total = sums(self.table[one] + self.table[two], bounds) + sums(self.table[third] + self.table[fourth], offsets)
@@ -110,14 +115,11 @@ class QualityModel:
         out = 1 / (1 + np.exp(-np.clip(total / np.maximum(n, 1) + self.bias, -60, 60)))
         if not self.table.any():
             out[:] = self.prior
-        if empty_score is not None:
-            out[np.diff(bounds) == 0] = empty_score
         return out
 
 
 def fit(docs: DataFrame, labels: DataFrame, keep, label: str = "quality", limit: int = FIT_ROWS) -> QualityModel:
-    rows = training_sample(docs, labels, label, keep, limit)
-    return QualityModel(rows.text.tolist(), rows[label].astype(int).tolist())
+    return fitted(training_sample(docs, labels, label, keep, limit), lambda rows: QualityModel(rows.text.tolist(), rows[label].astype(int).tolist()))
 
 
 def score(docs: DataFrame, model: QualityModel) -> DataFrame:

@@ -7,6 +7,7 @@ import tempfile
 import uuid
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 _written: list[tuple[SparkSession, str]] = []
 
@@ -55,6 +56,42 @@ def stored(df: DataFrame, name: str) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+def mark() -> int:
+    """Where the list of written tables stands now, for ``settled``."""
+    return len(_written)
+
+
+def release(since: int, keep: int = 0) -> None:
+    """Delete the tables written since ``since`` but the last ``keep``."""
+    done = _written[since : len(_written) - keep]
+    for spark, path in done:
+        drop(spark, path)
+    del _written[since : since + len(done)]
+
+
+def settled(df: DataFrame, name: str, since: int) -> DataFrame:
+    """``stored``, and the tables written since ``since``, which only these rows needed, go at once."""
+    out = stored(df, name)
+    release(since, keep=1)
+    return out
+
+
 def partitions(spark: SparkSession) -> int:
     """The session's number of shuffle partitions, which follows the size of the input."""
     return max(1, int(spark.conf.get("spark.sql.shuffle.partitions")))
+
+
+def even_labels(spark: SparkSession, copies: int = 1) -> list[int]:
+    """Different integers, ``copies`` for each of the session's shuffle partitions, that a shuffle by hash deals evenly.
+
+    Label i goes to the same partition as label i + the number of partitions. Groups
+    named 0, 1, 2, ... would fall on the partitions at random, many on some and none
+    on others. Only the balance hangs on this, no result.
+    """
+    n = partitions(spark)
+    found = spark.range(n * copies * 16).select(F.col("id").cast("int").alias("label")).withColumn("at", F.pmod(F.hash("label"), F.lit(n)))
+    by: dict[int, list[int]] = {}
+    for label, at in found.collect():  # 16 rows a label
+        by.setdefault(at, []).append(label)
+    own = [(by.get(at, [])[i : i + 1] or [-1 - at - n * i])[0] for i in range(copies) for at in range(n)]
+    return own

@@ -2,12 +2,17 @@
 
 from __future__ import annotations
 
+import pickle
+from collections.abc import Callable, Iterator
+
 import numpy as np
 import pandas as pd
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from .shared import stored
+
 
 class Rows:
     """Sparse rows: ``indptr`` bounds each row's ``columns`` and ``values``."""
@@ -60,16 +65,51 @@ def sums(values: np.ndarray, bounds: np.ndarray) -> np.ndarray:
     return total[bounds[1:]] - total[bounds[:-1]]
 
 
-def training_sample(docs: DataFrame, labels: DataFrame, label: str, keep: Column, limit: int) -> pd.DataFrame:
-    """At most about ``limit`` labelled rows (doc_id, text, label), chosen by a hash of doc_id.
+#: Text bytes that a fit may see, and those of one of its documents; documented bounds of the fits alone.
+FIT_BYTES, FIT_DOC_BYTES = 12 << 20, 256 << 10
+_DRAWS = 1 << 40
+
+
+def draw(key: Column, salt: int) -> Column:
+    """A number below 2^40 that the key alone decides."""
+    return F.pmod(F.xxhash64(key, F.lit(salt)), F.lit(_DRAWS))
+
+
+def bounded(rows: DataFrame, limit: int, max_bytes: int = FIT_BYTES) -> DataFrame:
+    """The rows (draw, text, ...) with the smallest ``draw``: at most ``limit`` and of ``max_bytes`` of text.
+
+    The rows are written once; the driver sees a draw and a size of each, not a text.
+    """
+    rows = stored(rows.where(F.octet_length("text") <= FIT_DOC_BYTES), "sample")
+    sizes = rows.select("draw", F.octet_length("text").alias("size")).toPandas().sort_values("draw").iloc[:limit]
+    fits = sizes[sizes["size"].cumsum() <= max_bytes]
+    return rows.where(F.col("draw") <= (int(fits.draw.iloc[-1]) if len(fits) else -1))
+
 
-    The bound is a parameter of the fit only; every document is scored.
-    Null labels, null texts and repeated doc_ids beyond the first label are left out.
+def training_sample(docs: DataFrame, labels: DataFrame, label: str, keep: Column, limit: int) -> DataFrame:
+    """At most ``limit`` labelled rows (draw, doc_id, text, label) of FIT_BYTES at most, chosen by a hash of doc_id.
+
+    The bounds are parameters of the fit only; every document is scored. Null labels
+    and null texts are left out. A repeated doc_id counts once, with its smallest text
+    and label, before anything is gathered.
     """
     known = labels.where(F.col(label).isNotNull() & F.col("doc_id").isNotNull() & keep).groupBy("doc_id").agg(F.min(label).alias(label))
-    n = known.count()
-    share = min(1.0, limit / max(n, 1))
-    bar = int(share * (1 << 40))
-    draw = lambda d: d.where(F.pmod(F.xxhash64("doc_id", F.lit(17)), F.lit(1 << 40)) <= bar)
-    rows = draw(docs.select("doc_id", "text")).where("text is not null").join(draw(known), "doc_id")
-    return rows.toPandas().sort_values("doc_id", kind="stable").drop_duplicates("doc_id").reset_index(drop=True)
+    bar = int(min(1.0, limit / max(known.count(), 1)) * _DRAWS)
+    drawn = lambda d: d.where(draw(F.col("doc_id"), 17) <= bar)
+    texts = drawn(docs.select("doc_id", "text")).where("text is not null").join(drawn(known).select("doc_id"), "doc_id", "left_semi")
+    one = texts.groupBy("doc_id").agg(F.min("text").alias("text")).join(drawn(known), "doc_id")
+    return bounded(one.withColumn("draw", draw(F.col("doc_id"), 17)), limit)
+
+
+def fitted(rows: DataFrame, fit: Callable[[pd.DataFrame], object]):
+    """``fit`` on all rows, which are bounded, in one task; only the model comes to the driver."""
+    names = rows.columns
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held = [b.to_pandas() for b in batches]
+        frame = pd.concat(held, ignore_index=True) if held else pd.DataFrame(columns=names)
+        model = pickle.dumps(fit(frame.sort_values("draw", kind="stable").reset_index(drop=True)))
+        yield pa.RecordBatch.from_arrays([pa.array([model], pa.binary())], ["model"])
+
+    got = rows.repartition(1).mapInArrow(run, "model binary").collect()
+    return pickle.loads(got[0]["model"]) if got else fit(pd.DataFrame(columns=names))

@@ -10,14 +10,17 @@ Spark writes to and a failed write leaves no half file behind.
   zstandard frame per document, compressed separately with the shared
   dictionary; ``offsets`` says where each frame starts and the last ends;
   ``doc_ids`` and ``counts`` (ids with the end id) go with it, ``dictionary_hash``
-  names the dictionary, ``start`` is the number of ids before the segment.
+  names the dictionary, ``start`` is the number of ids before the segment in its
+  shard, ``first_id`` and ``last_id`` bound its doc_ids for look-ups.
 
 A frame holds the ids as little-endian unsigned 32-bit integers. One document is
 read by its offsets alone, without the rest of the payload's frames.
 
 Null texts count as empty: the end id alone. Rows with a null doc_id come first.
-Rows that repeat a doc_id are stored each, in the order of their frames. An empty table gives
-a store without segments.
+Rows that repeat a doc_id are stored each, in the order of a hash of their
+frames. An empty table gives a store without segments. A very long text is a frame
+and, over SEGMENT_BYTES, a segment of its own. Other columns are not read,
+whatever their names.
 """
 
 from __future__ import annotations
@@ -31,13 +34,16 @@ from array import array
 from collections.abc import Iterator
 
 import numpy as np
+import pandas as pd
 import pyarrow as pa
 import pyarrow.compute as pc
 import zstandard
+from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .shared import new_path, partitions, stored
+from .shared import mark, new_path, partitions, release, stored
+from .sparse import bounded, draw, fitted
 from .text import slices
 
 #: Documents whose ids train the dictionary, and the dictionary's largest size.
@@ -53,7 +59,29 @@ SEGMENT_BYTES = 4 << 20
 CACHE_CHUNKS = 900_000
 CACHE_LENGTH = 64
 
-SEGMENTS = "shard int, segment int, start long, total long, dictionary_hash string, doc_ids array<long>, counts array<int>, offsets array<long>, payload binary"
+#: Size of a Parquet row group of segments, the unit that a look-up reads.
+ROW_GROUP_BYTES = 8 << 20
+
+SEGMENTS = "shard int, segment int, start long, total long, first_id long, last_id long, dictionary_hash string, doc_ids array<long>, counts array<int>, offsets array<long>, payload binary"
+
+
+class _Chunks(dict):
+    """Ids by chunk; ``learn`` makes those of an unknown one, and short chunks stay."""
+
+    def __init__(self, learn):
+        self.learn = learn
+
+    def __missing__(self, chunk: str) -> bytes:
+        found = self.learn(chunk)
+        if len(chunk) <= CACHE_LENGTH:
+            self[chunk] = found
+        return found
+
+    def trim(self, limit: int) -> None:
+        if len(self) > limit:
+            kept = [(k, v) for k, v in self.items() if len(k) <= KEPT_LENGTH]
+            self.clear()
+            self.update(kept)
 
 
 class ByteEncoder:
@@ -74,64 +102,50 @@ class ByteEncoder:
 
         self._library = Tokenizer.from_file(path)
         self._tokenize = self._library.model.tokenize
-        self._symbols = self._library.pre_tokenizer.pre_tokenize_str
         self._special = [t.content for t in self._library.get_added_tokens_decoder().values()]
+        self._four = [struct.pack("<I", i) for i in range(self._library.get_vocab_size() + 1)]
+        #: the model's symbol of each byte of the letters that _WORD takes
+        self._symbol = {}
+        for letter in map(chr, [*range(65, 91), *range(97, 123), *range(0xC0, 0x100)]):
+            self._symbol.update(zip(letter.encode(), self._library.pre_tokenizer.pre_tokenize_str(letter)[0][0], strict=True))
         #: ids of a chunk with a space before it, by the chunk
-        self._spaced: dict[str, bytes] = {}
+        self._spaced = _Chunks(self._learn)
         #: ids of what follows a word without a space, by that rest
-        self._rests: dict[str, bytes] = {}
+        self._rests = _Chunks(lambda rest: self._ids([rest])[0])
 
     def _ids(self, chunks: list[str]) -> list[bytes]:
         return [array("I", e.ids).tobytes() for e in self._library.encode_batch_fast(chunks, add_special_tokens=False)]
 
     def encode(self, texts: list[str]) -> list[bytes]:
         """Little-endian 32-bit ids of each text."""
-        if len(self._spaced) > CACHE_CHUNKS:
-            self._spaced = {k: v for k, v in self._spaced.items() if len(k) <= KEPT_LENGTH}
-        spaced = self._spaced
+        self._spaced.trim(CACHE_CHUNKS)
+        self._rests.trim(CACHE_CHUNKS // 4)
+        spaced = self._spaced.__getitem__
         heads, tails = [], []
-        missing: set[str] = set()
         for text in texts:
             pieces = [text] if any(s in text for s in self._special) else text.split(" ")
             if len(pieces) > 1 and not self._regular(text):
                 pieces = self._joined(pieces)
             heads.append(pieces[0])
-            tails.append(pieces[1:])
-            missing.update(set(tails[-1]).difference(spaced))
-        fresh = list(missing)
-        self._learn(fresh)
-        out = [head + b"".join(map(spaced.__getitem__, tail)) for head, tail in zip(self._ids(heads), tails, strict=True)]
-        for x in fresh:
-            if len(x) > CACHE_LENGTH:
-                spaced.pop(x, None)
-        return out
-
-    def _learn(self, chunks: list[str]) -> None:
-        """Put the ids of the chunks into the cache; a chunk in two parts needs only the parts that are new."""
-        spaced, rests = self._spaced, self._rests
-        if len(rests) > CACHE_CHUNKS // 4:
-            rests.clear()
-        found = [(x, self._WORD.fullmatch(x)) for x in chunks]
-        whole = [x for x, m in found if not m]
-        spaced.update(zip(whole, self._ids([" " + x for x in whole]), strict=True))
-        tails = list({m[2] for _, m in found if m and m[2] and m[2] not in rests})
-        rests.update(zip(tails, self._ids(tails), strict=True))
-        for x, m in found:
-            if m:
-                letters, rest = m.groups()
-                head = spaced.get(letters)
-                if head is None:
-                    head = spaced[letters] = self._one(letters)
-                if rest:
-                    spaced[x] = head + rests[rest]
-        for x in tails:
-            if len(x) > CACHE_LENGTH:
-                del rests[x]
-
-    def _one(self, letters: str) -> bytes:
-        """Ids of a space and a run of letters, which is one pre-token: straight from the library's model."""
-        piece = "Ġ" + letters if letters.isascii() else self._symbols(" " + letters)[0][0]
-        return array("I", [x.id for x in self._tokenize(piece)]).tobytes()
+            tails.append(b"".join(map(spaced, pieces[1:])))
+        return [head + tail for head, tail in zip(self._ids(heads), tails, strict=True)]
+
+    def _learn(self, chunk: str) -> bytes:
+        """Ids of a space and the chunk; one in two parts needs only the parts that are new."""
+        if chunk.isascii() and chunk.isalpha():
+            return self._one("Ġ" + chunk)
+        parts = self._WORD.fullmatch(chunk)
+        if not parts:
+            return self._ids([" " + chunk])[0]
+        letters, rest = parts.groups()
+        if rest:
+            return self._spaced[letters] + self._rests[rest]
+        return self._one("Ġ" + chunk.encode().decode("latin-1").translate(self._symbol))
+
+    def _one(self, symbols: str) -> bytes:
+        """Ids of one pre-token, straight from the library's model."""
+        four = self._four
+        return b"".join([four[x.id] for x in self._tokenize(symbols)])
 
     def _regular(self, text: str) -> bool:
         """Whether no space stands beside white space; the common case is told by substring searches alone."""
@@ -161,21 +175,29 @@ def encoder(path: str) -> ByteEncoder:
 
 
 def train_dictionary(docs: DataFrame, vocabulary: str, end_id: int) -> bytes:
-    """A dictionary trained on the serialized ids of at most SAMPLE_DOCS documents; empty if they are too few."""
-    n = docs.select(F.count("text")).first()[0]
-    share = int(min(1.0, SAMPLE_DOCS / max(n, 1)) * (1 << 40))
-    drawn = docs.where(F.pmod(F.xxhash64("doc_id", F.lit(29)), F.lit(1 << 40)) <= share)
-    texts = [r[0] for r in drawn.select("text").where("text is not null").collect()]
-    samples = [x + struct.pack("<I", end_id) for x in encoder(vocabulary).encode(texts)]
-    try:
-        return zstandard.train_dictionary(DICTIONARY_BYTES, samples).as_bytes()
-    except zstandard.ZstdError:
-        return b""
+    """A dictionary trained, in one task, on the serialized ids of at most SAMPLE_DOCS different texts of FIT_BYTES.
+
+    Samples too few or too alike to train on are the dictionary themselves, as raw
+    content, its end first to be matched; without a text it is the end id.
+    """
+    texts = docs.select("text").where("text is not null").withColumn("draw", draw(F.col("text"), 29))
+    n = texts.agg(F.approx_count_distinct("draw")).first()[0]
+    drawn = texts.where(F.col("draw") <= int(min(1.0, SAMPLE_DOCS / max(n, 1)) * (1 << 40)))
+
+    def fit(rows: pd.DataFrame) -> bytes:
+        last = struct.pack("<I", end_id)
+        samples = [x + last for x in encoder(vocabulary).encode(rows.text.tolist())] if len(rows) else []
+        try:
+            return zstandard.train_dictionary(DICTIONARY_BYTES, samples).as_bytes()
+        except zstandard.ZstdError:
+            return (b"".join(samples) or last * 2)[-DICTIONARY_BYTES:]
+
+    return fitted(bounded(drawn.groupBy("draw").agg(F.min("text").alias("text")), SAMPLE_DOCS), fit)
 
 
 def write(docs: DataFrame, path: str, vocabulary: str, end_id: int) -> None:
     """Encode every document and write the store in ascending doc_id order."""
-    spark = docs.sparkSession
+    spark, since = docs.sparkSession, mark()
     dictionary = train_dictionary(docs, vocabulary, end_id)
     name = hashlib.sha256(dictionary).hexdigest()
     spark.createDataFrame([(name, bytearray(dictionary))], "hash string, dictionary binary").coalesce(1).write.parquet(f"{path}/dictionary")
@@ -183,7 +205,7 @@ def write(docs: DataFrame, path: str, vocabulary: str, end_id: int) -> None:
 
     def encode(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         e = encoder(vocabulary)
-        packer = zstandard.ZstdCompressor(level=LEVEL, dict_data=zstandard.ZstdCompressionDict(shared.value), write_content_size=True) if shared.value else zstandard.ZstdCompressor(level=LEVEL)
+        packer = zstandard.ZstdCompressor(level=LEVEL, dict_data=zstandard.ZstdCompressionDict(shared.value), write_content_size=True)
         last = struct.pack("<I", end_id)
         for batch in batches:
             for part in slices(batch):
@@ -194,34 +216,38 @@ def write(docs: DataFrame, path: str, vocabulary: str, end_id: int) -> None:
                 )
 
     frames = stored(docs.select("doc_id", "text").mapInArrow(encode, "doc_id long, n int, frame binary"), "frames")
-    ordered = frames.repartitionByRange(partitions(spark), "doc_id", "frame").sortWithinPartitions("doc_id", "frame").withColumn("shard", F.spark_partition_id())
+    # the range partitioner samples these keys to the driver, so a frame enters by its hash; the row's own number parts equal ones
+    keyed = frames.withColumn("hash", F.xxhash64("frame")).withColumn("own", F.monotonically_increasing_id())
+    ordered = keyed.repartitionByRange(partitions(spark), "doc_id", "hash", "own").sortWithinPartitions("doc_id", "hash", "own")
 
     def pack(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held: list[tuple] = []
+        shard, held = TaskContext.get().partitionId(), []
         size = before = segment = 0
 
         def flush() -> pa.RecordBatch:
             nonlocal held, size, before, segment
-            counts = [x[2] for x in held]
-            offsets = np.cumsum([0, *(len(x[3]) for x in held)]).tolist()
+            docs, counts = [x[0] for x in held], [x[1] for x in held]
+            offsets = np.cumsum([0, *(len(x[2]) for x in held)]).tolist()
             row = {
-                "shard": [held[0][0]], "segment": [segment], "start": [before], "total": [sum(counts)], "dictionary_hash": [name],
-                "doc_ids": [[x[1] for x in held]], "counts": [counts], "offsets": [offsets], "payload": [b"".join(x[3] for x in held)],
+                "shard": [shard], "segment": [segment], "start": [before], "total": [sum(counts)], "first_id": [docs[0]], "last_id": [docs[-1]], "dictionary_hash": [name],
+                "doc_ids": [docs], "counts": [counts], "offsets": [offsets], "payload": [b"".join(x[2] for x in held)],
             }
             before, segment, held, size = before + sum(counts), segment + 1, [], 0
-            types = [pa.int32(), pa.int32(), pa.int64(), pa.int64(), pa.string(), pa.list_(pa.int64()), pa.list_(pa.int32()), pa.list_(pa.int64()), pa.binary()]
+            types = [pa.int32(), pa.int32(), pa.int64(), pa.int64(), pa.int64(), pa.int64(), pa.string(), pa.list_(pa.int64()), pa.list_(pa.int32()), pa.list_(pa.int64()), pa.binary()]
             return pa.RecordBatch.from_arrays([pa.array(v, t) for v, t in zip(row.values(), types, strict=True)], list(row))
 
         for batch in batches:
-            for row in zip(*(batch[c].to_pylist() for c in ("shard", "doc_id", "n", "frame")), strict=True):
-                if held and (len(held) >= SEGMENT_DOCS or size + len(row[3]) > SEGMENT_BYTES):
+            for row in zip(*(batch[c].to_pylist() for c in ("doc_id", "n", "frame")), strict=True):
+                # a segment of null doc_ids holds no others, so that the ids bound the rest
+                if held and (len(held) >= SEGMENT_DOCS or size + len(row[2]) > SEGMENT_BYTES or (row[0] is None) != (held[0][0] is None)):
                     yield flush()
                 held.append(row)
-                size += len(row[3])
+                size += len(row[2])
         if held:
             yield flush()
 
-    ordered.mapInArrow(pack, SEGMENTS).write.option("compression", "none").parquet(f"{path}/segments")
+    ordered.select("doc_id", "n", "frame").mapInArrow(pack, SEGMENTS).write.option("compression", "none").option("parquet.block.size", ROW_GROUP_BYTES).parquet(f"{path}/segments")
+    release(since)
 
 
 def starts(spark: SparkSession, path: str) -> DataFrame:
@@ -241,7 +267,7 @@ def read(spark: SparkSession, path: str) -> DataFrame:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         name, raw = shared.value
-        reader = zstandard.ZstdDecompressor(dict_data=zstandard.ZstdCompressionDict(raw)) if raw else zstandard.ZstdDecompressor()
+        reader = zstandard.ZstdDecompressor(dict_data=zstandard.ZstdCompressionDict(raw))
         for batch in batches:
             for shard, start, found, docs, counts, offsets, payload in zip(*(batch[c].to_pylist() for c in ("shard", "start", "dictionary_hash", "doc_ids", "counts", "offsets", "payload")), strict=True):
                 if found != name:
@@ -259,11 +285,11 @@ def read(spark: SparkSession, path: str) -> DataFrame:
 
 
 def lookup(spark: SparkSession, path: str, doc_id: int) -> list[np.ndarray]:
-    """Ids of one document (one array per stored row), by its offsets alone."""
+    """Ids of one document (one array per stored row), by its offsets; only row groups whose ids reach it are read."""
     dictionary = bytes(spark.read.parquet(f"{path}/dictionary").first()["dictionary"])
-    reader = zstandard.ZstdDecompressor(dict_data=zstandard.ZstdCompressionDict(dictionary)) if dictionary else zstandard.ZstdDecompressor()
+    reader = zstandard.ZstdDecompressor(dict_data=zstandard.ZstdCompressionDict(dictionary))
     at = F.explode(F.filter(F.sequence(F.lit(0), F.size("doc_ids") - 1), lambda i: F.get("doc_ids", i) == doc_id))
-    cut = spark.read.parquet(f"{path}/segments").where(F.array_contains("doc_ids", F.lit(doc_id).cast("long"))).withColumn("i", at)
+    cut = spark.read.parquet(f"{path}/segments").where((F.col("first_id") <= doc_id) & (F.col("last_id") >= doc_id)).withColumn("i", at)
     begin, end = F.get("offsets", F.col("i")), F.get("offsets", F.col("i") + 1)
     frames = cut.select(F.substring("payload", (begin + 1).cast("int"), (end - begin).cast("int")).alias("frame")).collect()
     return [np.frombuffer(reader.decompress(bytes(r[0])), "<u4") for r in frames]

@@ -7,6 +7,10 @@ of grades, and the grade whose cut it passes.
 
 A null or empty text, and one without a chosen word, has the severity of the
 cuts alone. With fewer than two grades in training every text has the lowest.
+Rows that repeat a doc_id are graded each; a null doc_id is graded and in no
+fold. An empty table gives an empty result. Very long texts are graded whole, a
+slice of their own each. Columns beside doc_id and text are not read, whatever
+their names.
 """
 
 from __future__ import annotations
@@ -16,7 +20,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .sparse import Rows, training_sample
+from .sparse import Rows, fitted, training_sample
 from .text import Words, map_arrow
 
 #: Rows that the fit may see; a documented bound of the fit alone.
@@ -134,6 +138,6 @@ def score(docs: DataFrame, model: SeverityModel) -> DataFrame:
 def grade_documents(docs: DataFrame, labels: DataFrame, label: str = "toxic", limit: int = FIT_ROWS, folds: int = 5, held_out: int = 0) -> DataFrame:
     """(doc_id, held_out, severity, grade, toxic): learn from the labels outside one fold, grade every document."""
     fold = F.pmod(F.crc32(F.col("doc_id").cast("string").cast("binary")), F.lit(folds))
-    rows = training_sample(docs, labels, label, fold != held_out, limit)
-    out = score(docs, SeverityModel(rows.text.tolist(), rows[label].astype(int).tolist()))
+    sample = training_sample(docs, labels, label, fold != held_out, limit)
+    out = score(docs, fitted(sample, lambda rows: SeverityModel(rows.text.tolist(), rows[label].astype(int).tolist())))
     return out.select("doc_id", F.coalesce(fold == held_out, F.lit(False)).alias("held_out"), "severity", "grade", (F.col("severity") >= 0.5).cast("int").alias("toxic"))

@@ -8,7 +8,6 @@ import zlib
 from collections import Counter
 
 import numpy as np
-import pandas as pd
 import pyarrow as pa
 import pytest
 from helpers import documents, prose
@@ -16,7 +15,7 @@ from pyspark.sql import functions as F
 from tokenizers import Tokenizer
 
 from pulselake.llm import ann, bpe, langid, ngramlm, quality, queries, tokenstore, toxicity
-from pulselake.llm.sparse import training_sample
+from pulselake.llm.sparse import bounded, fitted, training_sample
 
 SF = "/root/testdata/sf0.01"
 ODD = [None, "", " ", "\n", "a", "ÉÀ ß 日本 😀", "x" * 300, "=" * 2000, "a\x1cb c", "İΣ ΑΣ", "don't <|endoftext|> we're", "<|startoftext|>", "two  spaces \n and\tmore ", "word " * 3000]
@@ -110,7 +109,7 @@ def test_quality_odd_rows(spark):
     assert len(got) == len(ODD) and all(0 <= r.score <= 1 for r in got)
     one = quality.QualityModel(["a b c"] * 3 + ["!!! ???"] * 3, [1] * 3 + [0] * 3, epochs=40)
     s = one.score(pa.array(["a b c", "!!! ???", "", None], pa.string()))
-    assert s[0] > s[1] and s[2] == s[3] == 0
+    assert s[0] > s[1] and s[2] == s[3] == 1 / (1 + np.exp(-one.bias))
 
 
 def test_toxicity_grades(spark):
@@ -198,8 +197,19 @@ def test_search_ties_and_bad_vectors(spark):
     assert ann.search(_vectors(spark, [])).count() == 0 and ann.search(_vectors(spark, bad)).count() in (0, 1)
 
 
-def test_training_sample_is_bounded(spark):
+def test_training_sample_is_bounded(spark, monkeypatch):
     docs = documents(spark, [prose(i, 5) for i in range(300)])
     labels = spark.createDataFrame([(i, i % 2) for i in range(300)] + [(5, 1), (6, None)], "doc_id long, quality int")
-    got = training_sample(docs, labels, "quality", F.lit(True), 100)
-    assert isinstance(got, pd.DataFrame) and 50 < len(got) < 160 and got.doc_id.is_unique
+    got = training_sample(docs, labels, "quality", F.lit(True), 100).toPandas()
+    assert 50 < len(got) <= 100 and got.doc_id.is_unique
+    assert fitted(training_sample(docs, labels, "quality", F.lit(True), 100), len) == len(got)
+    twice = documents(spark, [(i % 2, prose(i % 7, 5)) for i in range(20_000)])
+    got = training_sample(twice, labels, "quality", F.lit(True), 1000).toPandas()
+    assert sorted(got.doc_id) == [0, 1]  # repeats go before anything is gathered
+    rows = docs.withColumn("draw", F.col("doc_id"))
+    few = bounded(rows, 100, max_bytes=200).toPandas()
+    assert 0 < len(few) < 20 and few.text.map(len).sum() <= 200
+    assert bounded(rows.where("false"), 100).count() == 0 and fitted(rows.where("false"), len) == 0
+    nulls = documents(spark, [(None, "the very same text here")] * 2000 + [(None, prose(i, 20)) for i in range(50)])
+    assert tokenstore.train_dictionary(nulls, queries.vocabulary("byte_bpe_50k.json"), 2)
+    assert tokenstore.train_dictionary(documents(spark, []), queries.vocabulary("byte_bpe_50k.json"), 2) == b"\x02\0\0\0" * 2
