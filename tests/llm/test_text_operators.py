@@ -2,6 +2,7 @@
 
 import hashlib
 import random
+import time
 from collections import Counter
 
 import pytest
@@ -53,6 +54,25 @@ def test_line_dedup_uses_no_python(spark, tmp_path):
     assert not any(x in plan for x in ("Python", "Arrow", "Pandas"))
 
 
+def test_first_occurrences_stream_from_sorted_ranges(spark):
+    docs = documents(spark, ["a line that is long enough for a key\n" * 3] * 40)
+    runs = linededup.sorted_runs(linededup.occurrences(docs))
+    plan = runs._jdf.queryExecution().executedPlan().toString()
+    order = [plan.index(x) for x in ("Window [lag(pos", "Sort [a#", "Exchange rangepartitioning(a#")]
+    assert order == sorted(order) and "hashpartitioning" not in plan  # the sort feeds the window, nothing is dealt again
+    got = runs.collect()
+    assert len({r.range for r in got}) > 1 and sum(r.first for r in got) == 40  # one key, several tasks
+
+
+def test_line_dedup_of_a_long_document_is_linear(spark):
+    line = "this very line stands in every document"
+    texts = ["\n".join(f"line number {i} of the long one" if i % 2 else line for i in range(200_000)), line, line, line]
+    began = time.time()
+    got = {r.doc_id: r for r in linededup.deduplicate(documents(spark, texts)).select("doc_id", "n_lines", "n_dropped", F.length("text").alias("chars")).collect()}
+    assert time.time() - began < 30
+    assert (got[0].n_lines, got[0].n_dropped) == (200_000, 100_000) and got[0].chars == len("\n".join(texts[0].split("\n")[1::2]))
+
+
 @pytest.mark.parametrize(("width", "percent"), [(4, 85), (5, 80)])
 def test_jaccard_join_matches_brute_force(spark, width, percent):
     rng = random.Random(width)
@@ -203,6 +223,17 @@ def test_simhash_counts_votes(spark):
     for r, g in zip(rows, got, strict=True):
         want = sum(1 << k for k in range(64) if 2 * sum((x >> k) & 1 for x in r) > len(r))
         assert g & ((1 << 64) - 1) == want
+    many = spark.range(1).select(F.array_repeat(F.lit(-1), 70_000).cast("array<long>").alias("h"))  # more than a narrow lane holds
+    assert many.select(decontam.simhash(F.col("h"))).first()[0] == -1
+
+
+@pytest.mark.parametrize("bound", [0, decontam.BROADCAST_ITEMS])
+def test_broadcast_bound_changes_no_result(spark, monkeypatch, bound):
+    monkeypatch.setattr(decontam, "BROADCAST_ITEMS", bound)
+    items = [prose(900 + i, 12 + i) for i in range(4)]
+    texts = [prose(i, 20) + " " + items[i % 4] + " " + prose(50 + i, 9) if i % 2 else prose(i, 40) for i in range(12)]
+    got = {(r.doc_id, r.item_id) for r in decontam.leaks(documents(spark, texts), _benchmark(spark, items)).collect()}
+    assert got == {(i, i % 4) for i in range(1, 12, 2)}
 
 
 def test_line_query_digest(spark, tmp_path):
