@@ -18,7 +18,10 @@ of its own keys only. So corpus counts of any size are used without a broadcast,
 and no task holds more than a block or one range.
 
 A null or empty text is one end token. A null doc_id is in no fold but scored and
-never learned from. With no training document every count is 0.
+never learned from. With no training document every count is 0. Rows that repeat
+a doc_id are learned from and scored each. An empty table gives an empty result. A
+very long text is a block of its own. Other columns are not read, whatever their
+names.
 """
 
 from __future__ import annotations
@@ -32,11 +35,13 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .shared import partitions, stored
+from .shared import even_labels, partitions, stored
 from .text import Words, mix, slices
 
 #: Text bytes of a block, about.
 BLOCK_BYTES = 8 << 20
+#: Tokens whose keys meet in one hash range, on average at most.
+RANGE_TOKENS = 4 << 20
 ADD = 0.1
 BUCKETS = 24
 #: Bins of log2(pair estimate / unigram estimate) for the weights' fit: 32 a unit, -24 to 40.
@@ -143,8 +148,8 @@ def _blocks(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         docs = np.concatenate([np.concatenate(block.docs, axis=1), np.concatenate(block.sizes)[None]])
         words, number = np.unique(np.concatenate(block.hashes), return_inverse=True)
         block.hashes.clear()
-        row = (name, _zip(docs), _planes(number.astype(np.uint32)), _pack_keys(words))
-        return pa.RecordBatch.from_arrays([pa.array([x], t) for x, t in zip(row, (pa.int64(), pa.binary(), pa.binary(), pa.binary()), strict=True)], ["block", "docs", "stream", "words"])
+        row = (name, len(number), _zip(docs), _planes(number.astype(np.uint32)), _pack_keys(words))
+        return pa.RecordBatch.from_arrays([pa.array([x], t) for x, t in zip(row, (pa.int64(), pa.int64(), pa.binary(), pa.binary(), pa.binary()), strict=True)], ["block", "tokens", "docs", "stream", "words"])
 
     task, n = TaskContext.get().partitionId(), 0
     # tuned documents have blocks of their own, so that the weights' fit reads no other block
@@ -170,8 +175,9 @@ def _numbered(docs: bytes, stream: bytes, words: bytes) -> tuple[np.ndarray, _Nu
     return table, _Numbered(_unpack_keys(words), _unplanes(stream).astype(np.int64), table[3])
 
 
-def _keys(buckets: int):
-    """Keys and counts of each stored block by hash range. Keys of words are even, of pairs odd; counts are (learned, learned but not tuned)."""
+def _keys(labels: list[int]):
+    """Keys and counts of each stored block by hash range; labels name the ranges for the shuffle. Keys of words are even, of pairs odd; counts are (learned, learned but not tuned)."""
+    buckets = len(labels)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -181,8 +187,8 @@ def _keys(buckets: int):
                 counts = np.stack([k.count(use >= LEARNED, (use_of >= LEARNED).sum()), k.count(use == LEARNED, (use_of == LEARNED).sum())])
                 place = (k.keys >> np.uint64(32)).astype(np.int64) * buckets >> 32
                 edges = np.searchsorted(place, np.arange(buckets + 1))
-                rows = [(block, b, _pack_keys(k.keys[x:y]), _zip(counts[:, x:y])) for b, (x, y) in enumerate(zip(edges, edges[1:], strict=False)) if y > x]
-                yield pa.RecordBatch.from_arrays([pa.array(x, t) for x, t in zip(zip(*rows, strict=True), (pa.int64(), pa.int32(), pa.binary(), pa.binary()), strict=True)], ["block", "bucket", "keys", "counts"])
+                rows = [(block, b, labels[b], _pack_keys(k.keys[x:y]), _zip(counts[:, x:y])) for b, (x, y) in enumerate(zip(edges, edges[1:], strict=False)) if y > x]
+                yield pa.RecordBatch.from_arrays([pa.array(x, t) for x, t in zip(zip(*rows, strict=True), (pa.int64(), pa.int32(), pa.int32(), pa.binary(), pa.binary()), strict=True)], ["block", "bucket", "label", "keys", "counts"])
 
     return run
 
@@ -289,9 +295,11 @@ def score_documents(docs: DataFrame, folds: int = 10, held_out: int = 0, tuned:
     fold = F.pmod(F.crc32(F.col("doc_id").cast("string").cast("binary")), F.lit(folds))
     use = F.coalesce(F.when(fold == held_out, SCORED).when(fold == tuned, TUNED).when(fold.isNotNull(), LEARNED), F.lit(SCORED))
     made = docs.select("doc_id", "text", use.cast("int").alias("use"))
-    streams = stored(made.mapInArrow(_blocks, "block long, docs binary, stream binary, words binary"), "tokens")
-    keys = streams.mapInArrow(_keys(partitions(spark)), "block long, bucket int, keys binary, counts binary")
-    ranges = stored(keys.groupBy("bucket").applyInArrow(_sum_range, "block long, bucket int, counts binary, n_all long, v_all long, n_kept long, v_kept long"), "ranges")
+    streams = stored(made.mapInArrow(_blocks, "block long, tokens long, docs binary, stream binary, words binary"), "tokens")
+    # a range holds no more than RANGE_TOKENS tokens' keys on average, whatever the session's number of partitions
+    copies = -(-(streams.agg(F.sum("tokens")).first()[0] or 0) // (RANGE_TOKENS * partitions(spark))) or 1
+    keys = streams.mapInArrow(_keys(even_labels(spark, copies)), "block long, bucket int, label int, keys binary, counts binary")
+    ranges = stored(keys.groupBy("label").applyInArrow(_sum_range, "block long, bucket int, counts binary, n_all long, v_all long, n_kept long, v_kept long"), "ranges")
     n_all, v_all, n_kept, v_kept = (int(x or 0) for x in ranges.agg(*[F.sum(c) for c in ("n_all", "v_all", "n_kept", "v_kept")]).first())
     back = ranges.select(F.col("block").alias("of"), "bucket", "counts")
     meet = lambda s, r: s.groupBy("block").cogroup(r.groupBy("of"))
