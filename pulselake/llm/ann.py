@@ -9,13 +9,17 @@ that the distance is at most r, sqrt(D / d) times the partial distance exceeds
 r (1 + EPSILON / sqrt(d)) only with small probability; such candidates are
 abandoned. Those that stay get their exact distance on the original vectors.
 
-Lists are split into parts of bounded size, so a vector that a third of all rows
-share is no hot spot, and each part meets the queries that probe its list. A
-query that finds fewer than k candidates in its lists probes all of them.
+The nearest lists come first: their k-th best distance goes along to all other
+lists, so that there most candidates fall at their first block of columns. Lists
+are split into parts of bounded size, so a vector that a third of all rows share is
+no hot spot, and a part meets the queries that probe its list in runs of bounded
+size. A query that finds fewer than k candidates in its lists probes all of them.
 
 Vectors that are null or zero, hold null or non-finite components, or have
 another dimension than most, take no part, nor do rows with a null id. Rows that
-repeat an id are candidates each. Ties go to the smaller id.
+repeat an id are candidates each; as a query, a repeated id asks with the smallest
+of its vectors in byte order. Ties go to the smaller id. An empty table gives an
+empty result. Other columns are not read, whatever their names.
 """
 
 from __future__ import annotations
@@ -28,14 +32,17 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from .shared import stored
+from .shared import mark, settled, stored
+from .sparse import draw, fitted
 
 #: Vectors that the centroids are fitted on, at most about.
 FIT_ROWS = 20_000
 #: Vectors of a list, about; lists at most; probed lists at least, and as a share of all.
-LIST_ROWS, LISTS, PROBES, PROBE_SHARE = 256, 1024, 24, 0.7
-#: Members of one part of a list, about, and members tested at once.
-PART_ROWS, STEP_ROWS = 8192, 256
+LIST_ROWS, LISTS, PROBES, PROBE_SHARE = 256, 1024, 24, 0.55
+#: Nearest lists that a query probes before it knows a bound.
+FIRST_PROBES = 8
+#: Members of one part of a list and queries of one run, about, and members tested at once.
+PART_ROWS, RUN_ROWS, STEP_ROWS = 8192, 4096, 256
 COLUMNS = 16
 EPSILON = 2.1
 
@@ -93,12 +100,12 @@ def _scan(k: int, rotation: np.ndarray):
         order = np.argsort(ids, kind="stable")
         ids, x = ids[order], x[order]
         turned, d = x @ rotation, x.shape[1]
-        asks, y = queries["query"].to_numpy(), _matrix(queries["qv"].combine_chunks())
+        asks, y, bounds = queries["query"].to_numpy(), _matrix(queries["qv"].combine_chunks()), queries["bound"].to_numpy()
         turned_y = y @ rotation
         edges = [*range(0, d, COLUMNS), d]
         out = []
-        for q, point, spun in zip(asks.tolist(), y, turned_y, strict=True):
-            best, best_ids, bar = np.zeros(0), np.zeros(0, np.int64), np.inf
+        for q, point, spun, bar in zip(asks.tolist(), y, turned_y, bounds.tolist(), strict=True):
+            best, best_ids, known = np.zeros(0), np.zeros(0, np.int64), bar
             for at in range(0, len(ids), STEP_ROWS):
                 live = np.arange(at, min(at + STEP_ROWS, len(ids)))
                 live = live[ids[live] != q]
@@ -116,7 +123,7 @@ def _scan(k: int, rotation: np.ndarray):
                     best, best_ids = np.concatenate([best, near]), np.concatenate([best_ids, ids[live]])
                     top = np.lexsort((best_ids, best))[:k]
                     best, best_ids = best[top], best_ids[top]
-                    bar = best[-1] if len(best) == k else np.inf
+                    bar = min(known, best[-1]) if len(best) == k else known
             out.append((np.full(len(best), q), best_ids, best))
         arrays = [np.concatenate([o[i] for o in out]) if out else np.zeros(0, kind) for i, kind in enumerate((np.int64, np.int64, np.float64))]
         return pa.table(dict(zip(schema, arrays, strict=True)))
@@ -126,48 +133,70 @@ def _scan(k: int, rotation: np.ndarray):
 
 def search(table: DataFrame, every: int = 100, k: int = 10, id_column: str = "vec_id", vector: str = "embedding", probes: int = PROBES, share: float = PROBE_SHARE) -> DataFrame:
     """(query_id, rank, vec_id, score): the k nearest found of each row whose id is divisible by ``every``."""
-    spark = table.sparkSession
+    spark, since = table.sparkSession, mark()
     vectors = stored(valid_vectors(table, id_column, vector), "vectors")
     n = vectors.count()
     empty = spark.createDataFrame([], "query_id long, rank int, vec_id long, score double")
     if not n:
         return empty
-    draw = F.pmod(F.xxhash64("id", F.lit(41)), F.lit(1 << 40)) <= int(min(1.0, FIT_ROWS / n) * (1 << 40))
-    sample = vectors.where(draw).select("v").collect() or vectors.select("v").limit(1).collect()
-    model = ListModel(np.stack([np.frombuffer(r["v"], np.float64) for r in sample]), max(1, min(LISTS, n // LIST_ROWS)))
+    # different vectors by their own hash: neither a repeated id nor a repeated vector weighs more
+    drawn = vectors.select("v", draw(F.col("v"), 41).alias("draw"))
+    kinds = drawn.agg(F.approx_count_distinct("draw")).first()[0]
+    sample = drawn.where(F.col("draw") <= int(min(1.0, FIT_ROWS / kinds) * (1 << 40))).groupBy("draw").agg(F.min("v").alias("v")).orderBy("draw").limit(FIT_ROWS)
+    lists = max(1, min(LISTS, n // LIST_ROWS))
+    model = fitted(sample, lambda rows: ListModel(np.stack([np.frombuffer(v, np.float64) for v in rows.v]), lists))
     lists = len(model.centroids)
     shared = spark.sparkContext.broadcast(model.centroids)  # at most LISTS vectors
 
-    def near(width: int):
+    def near(first: int, last: int):
+        """The lists from the first to the last nearest of each vector."""
+
         def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             for batch in batches:
-                if not batch.num_rows:
-                    continue
-                d = _distances(_matrix(batch["v"]), shared.value)
-                top = np.argsort(d, axis=1, kind="stable")[:, :width].astype(np.int32)
-                rows = np.repeat(np.arange(batch.num_rows), top.shape[1])
-                yield pa.RecordBatch.from_arrays([pa.array(top.ravel()), batch["id"].take(pa.array(rows)), batch["v"].take(pa.array(rows))], ["list", "id", "v"])
+                for at in range(0, batch.num_rows, 1024):
+                    part = batch.slice(at, 1024)
+                    d = _distances(_matrix(part["v"]), shared.value)
+                    top = np.argsort(d, axis=1, kind="stable")[:, first:last].astype(np.int32)
+                    rows = pa.array(np.repeat(np.arange(part.num_rows), top.shape[1]))
+                    rest = [c for c in part.schema.names if c not in ("id", "v")]
+                    yield pa.RecordBatch.from_arrays([pa.array(top.ravel()), *(part[c].take(rows) for c in ["id", "v", *rest])], ["list", "id", "v", *rest])
 
         return run
 
-    placed = stored(vectors.mapInArrow(near(1), "list int, id long, v binary"), "lists")
+    placed = stored(vectors.mapInArrow(near(0, 1), "list int, id long, v binary"), "lists")
     parts = placed.groupBy("list").agg(F.ceil(F.count(F.lit(1)) / PART_ROWS).cast("int").alias("parts"))
-    members = placed.join(F.broadcast(parts), "list").withColumn("part", F.pmod(F.xxhash64("id"), F.col("parts")).cast("int"))
-    asked = vectors.where(F.pmod(F.col("id"), F.lit(every)) == 0)
 
-    def probe(queries: DataFrame, width: int) -> DataFrame:
-        reach = queries.mapInArrow(near(width), "list int, id long, v binary").withColumnsRenamed({"list": "to", "id": "query", "v": "qv"})
-        sent = reach.join(F.broadcast(parts.select(F.col("list").alias("to"), F.col("parts").alias("copies"))), "to").withColumn("at", F.explode(F.sequence(F.lit(0), F.col("copies") - 1)))
-        found = members.groupBy("list", "part").cogroup(sent.groupBy("to", "at")).applyInArrow(_scan(k, model.rotation), "query long, id long, score double")
+    def probe(queries: DataFrame, first: int, last: int) -> DataFrame:
+        """(query, id, score): candidates of queries (id, v, bound) in their lists from the first to the last nearest."""
+        reach = stored(queries.mapInArrow(near(first, last), "list int, id long, v binary, bound double"), "probes")
+        size = F.broadcast(reach.groupBy("list").agg(F.ceil(F.count(F.lit(1)) / RUN_ROWS).cast("int").alias("runs")).join(parts, "list"))  # a row a list
+        every = lambda c: F.explode(F.sequence(F.lit(0), F.col(c) - 1))
+        members = placed.join(size, "list").withColumn("part", F.pmod(F.xxhash64("id", "v"), F.col("parts")).cast("int")).withColumn("run", every("runs"))
+        sent = reach.join(size, "list").withColumn("run", F.pmod(F.xxhash64("id"), F.col("runs")).cast("int")).withColumn("part", every("parts"))
+        sent = sent.select(F.col("list").alias("to"), F.col("part").alias("at"), F.col("run").alias("with"), F.col("id").alias("query"), F.col("v").alias("qv"), "bound")
+        return members.groupBy("list", "part", "run").cogroup(sent.groupBy("to", "at", "with")).applyInArrow(_scan(k, model.rotation), "query long, id long, score double")
+
+    def ranked(found: DataFrame) -> DataFrame:
         order = Window.partitionBy("query").orderBy("score", "id")
         return found.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= k)
 
+    def bounds(found: DataFrame) -> DataFrame:
+        return found.where(F.col("rank") == k).select(F.col("query").alias("id"), F.col("score").alias("bound"))
+
+    def go(queries: DataFrame, found: DataFrame, first: int, last: int) -> DataFrame:
+        """The best of found and of the further lists, which get the k-th best distance along."""
+        known = queries.join(bounds(found), "id", "left").withColumn("bound", F.coalesce("bound", F.lit(float("inf"))))
+        return stored(ranked(found.select("query", "id", "score").unionByName(probe(known, first, last))), "found")
+
     width = min(lists, max(probes, int(np.ceil(share * lists))))
-    asked = asked.dropDuplicates(["id"])
-    found = stored(probe(asked, width), "found")
-    short = found.groupBy("query").agg(F.count(F.lit(1)).alias("c")).where(F.col("c") >= k).select(F.col("query").alias("id"))
-    short = asked.join(short, "id", "left_anti")
-    if width < lists and short.limit(1).count():
-        more = probe(short, lists)
-        found = found.join(short.select(F.col("id").alias("query")), "query", "left_anti").unionByName(more.select(*found.columns))
-    return found.select(F.col("query").alias("query_id"), F.col("rank").cast("int").alias("rank"), F.col("id").alias("vec_id"), "score")
+    asked = stored(vectors.where(F.pmod(F.col("id"), F.lit(every)) == 0).groupBy("id").agg(F.min("v").alias("v")), "asked")
+    start = min(FIRST_PROBES, width)
+    found = stored(ranked(probe(asked.withColumn("bound", F.lit(float("inf"))), 0, start)), "found")
+    if start < width:
+        found = go(asked, found, start, width)
+    if width < lists:
+        short = stored(asked.join(bounds(found), "id", "left_anti"), "short")
+        if not short.isEmpty():
+            own = found.join(short.select(F.col("id").alias("query")), "query", "left_semi")
+            found = found.join(short.select(F.col("id").alias("query")), "query", "left_anti").unionByName(go(short, own, width, lists).select(*found.columns))
+    return settled(found.select(F.col("query").alias("query_id"), F.col("rank").cast("int").alias("rank"), F.col("id").alias("vec_id"), "score"), "nearest", since)
