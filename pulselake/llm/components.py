@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .shared import stored
+from .shared import mark, settled, stored
 
 
 def _small_star(e: DataFrame) -> DataFrame:
@@ -29,12 +29,13 @@ def components(links: DataFrame) -> DataFrame:
     is written to the shared folder, so nothing is computed twice and no link
     comes to the driver. Null ends and links of a node to itself count for nothing.
     """
+    since = mark()
     e = stored(links.where("u <> v").select(F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v")).distinct(), "links")
-    mark = F.struct(F.count(F.lit(1)).alias("n"), F.bit_xor(F.xxhash64("u", "v")).alias("x"))
-    before = e.agg(mark.alias("m")).first()["m"]
+    digest = F.struct(F.count(F.lit(1)).alias("n"), F.bit_xor(F.xxhash64("u", "v")).alias("x"))
+    before = e.agg(digest.alias("m")).first()["m"]
     while before["n"]:
-        e = stored(_small_star(_large_star(e)), "links")
-        now = e.agg(mark.alias("m")).first()["m"]
+        e = settled(_small_star(_large_star(e)), "links", since)  # the round before is not read again
+        now = e.agg(digest.alias("m")).first()["m"]
         if now == before:
             break
         before = now

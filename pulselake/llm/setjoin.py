@@ -36,12 +36,12 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .components import components
-from .shared import partitions, stored
+from .shared import even_labels, mark, settled, stored
 from .text import Words, mix, shingle_sets, slices
 
-#: Members of a block and queries that meet one copy of it, about.
-BLOCK = 512
-QUERIES = 2048
+#: Members of a block and queries that meet one copy of it, about; and the shingles of either, which bound their texts' bytes.
+BLOCK, BLOCK_SHINGLES = 512, 1 << 20
+QUERIES, QUERY_SHINGLES = 2048, 4 << 20
 #: Classes of a component that shares its blocks with others, at most.
 SMALL = 8
 #: Tokens in this many documents of one slice are candidates for the list of frequent tokens, of which so many are kept.
@@ -89,8 +89,9 @@ def _describe(width: int):
     return run
 
 
-def _prefixes(width: int, percent: int, buckets: int, shared):
-    """Rarest tokens of each set with the set's class, sorted into hash ranges; ranges from ``buckets`` on hold frequent tokens."""
+def _prefixes(width: int, percent: int, labels: list[int], shared):
+    """Rarest tokens of each set with the set's class, sorted into hash ranges with the given labels; bucket null holds frequent tokens."""
+    buckets = len(labels)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         often, rank = shared.value
@@ -118,10 +119,10 @@ def _prefixes(width: int, percent: int, buckets: int, shared):
                 t, c = t[order], c[order]
                 place = (t >> np.uint64(32)).astype(np.int64) * buckets >> 32
                 edges = np.searchsorted(place, np.arange(buckets + 1))
-                out = [(b, t[x:y].tobytes(), c[x:y].tobytes()) for b, (x, y) in enumerate(zip(edges, edges[1:], strict=False)) if y > x]
+                out = [(labels[b], t[x:y].tobytes(), c[x:y].tobytes()) for b, (x, y) in enumerate(zip(edges, edges[1:], strict=False)) if y > x]
                 t, c = np.concatenate(heavy_tokens), np.concatenate(heavy_classes)
                 if len(t):
-                    out.append((-1, t.tobytes(), c.tobytes()))
+                    out.append((None, t.tobytes(), c.tobytes()))
                 yield pa.RecordBatch.from_arrays([pa.array([x[0] for x in out], pa.int32()), pa.array([x[1] for x in out], pa.binary()), pa.array([x[2] for x in out], pa.binary())], ["bucket", "tokens", "classes"])
 
     return run
@@ -218,24 +219,24 @@ def _open_groups(width: int, percent: int):
 
 
 def _links(asked: DataFrame, members: DataFrame, texts: DataFrame, width: int, percent: int) -> DataFrame:
-    """Links of asked (cid, block) in members (cid, block)."""
+    """Links of asked (cid, block, n) in members (cid, block)."""
     texts = texts.hint("merge")  # the same plan at every size
-    runs = asked.groupBy("block").agg(F.ceil(F.count(F.lit(1)) / QUERIES).cast("int").alias("runs"))
+    runs = asked.groupBy("block").agg(F.ceil(F.greatest(F.count(F.lit(1)) / QUERIES, F.sum("n") / QUERY_SHINGLES)).cast("int").alias("runs"))
     queries = asked.join(runs, "block").withColumn("run", F.pmod(F.xxhash64("cid"), F.col("runs")).cast("int")).join(texts, "cid").select(F.col("block").alias("to"), F.col("run").alias("part"), F.col("cid").alias("asks"), F.col("text").alias("text"))
     held = members.join(runs, "block").withColumn("run", F.explode(F.sequence(F.lit(0), F.col("runs") - 1))).join(texts, "cid").select("block", "run", "cid", "text")
     return held.groupBy("block", "run").cogroup(queries.groupBy("to", "part")).applyInArrow(_open_groups(width, percent), "u long, v long")
 
 
 def _blocks(classes: DataFrame, *keys: str) -> DataFrame:
-    """(cid, n, keys, block, salt, salts): blocks of about BLOCK classes of one group."""
-    groups = classes.groupBy(*keys).agg(F.ceil(F.count(F.lit(1)) / BLOCK).cast("int").alias("salts"))
+    """(cid, n, keys, block, salt, salts): blocks of about BLOCK classes and BLOCK_SHINGLES shingles of one group."""
+    groups = classes.groupBy(*keys).agg(F.ceil(F.greatest(F.count(F.lit(1)) / BLOCK, F.sum("n") / BLOCK_SHINGLES)).cast("int").alias("salts"))
     salted = classes.join(groups, list(keys)).withColumn("salt", F.pmod(F.xxhash64("cid", F.lit(3)), F.col("salts")).cast("int"))
     return salted.withColumn("block", F.xxhash64(*keys, "salt"))
 
 
 def _assigned(docs: DataFrame, width: int, percent: int, *tag: str) -> DataFrame:
     """(doc_id, n, cid, component) of every row; with the tag "row" also the hash of its text."""
-    spark = docs.sparkSession
+    spark, since = docs.sparkSession, mark()
     texts = docs.select("doc_id", "text")
     tagged = texts.select("*", *[F.xxhash64("text").alias(x) for x in tag])
     described = stored(tagged.mapInArrow(_describe(width), ", ".join(["doc_id long, n long, cid long, g long, token long, docs long", *[f"{x} long" for x in tag]])), "sets")
@@ -246,9 +247,9 @@ def _assigned(docs: DataFrame, width: int, percent: int, *tag: str) -> DataFrame
     order = np.argsort(often)
     shared = spark.sparkContext.broadcast((often[order], rank[order]))  # at most FREQUENT_TOKENS pairs of longs
 
-    packed = stored(texts.mapInArrow(_prefixes(width, percent, partitions(spark), shared), "bucket int, tokens binary, classes binary"), "prefixes")
-    light = packed.where("bucket >= 0").groupBy("bucket").applyInArrow(_shared_tokens, "token long, cid long")
-    heavy = packed.where("bucket < 0").mapInArrow(_unpack, "token long, cid long").distinct()
+    packed = stored(texts.mapInArrow(_prefixes(width, percent, even_labels(spark), shared), "bucket int, tokens binary, classes binary"), "prefixes")
+    light = packed.where("bucket is not null").groupBy("bucket").applyInArrow(_shared_tokens, "token long, cid long")
+    heavy = packed.where("bucket is null").mapInArrow(_unpack, "token long, cid long").distinct()
     matrix = stored(light.unionByName(heavy), "matrix")
 
     sized = rows.where("n > 0").groupBy("cid", "n", "g").agg(F.min("doc_id").alias("doc_id"))
@@ -263,7 +264,7 @@ def _assigned(docs: DataFrame, width: int, percent: int, *tag: str) -> DataFrame
     several = blocks.groupBy("g").agg(F.count(F.lit(1)).alias("c")).where("c > 1").select("g")
     inside = blocks.join(several, "g", "left_semi")
     after = F.xxhash64("g", F.pmod(F.col("salt") + 1, F.col("salts")).cast("int"))
-    asked = inside.select("cid", "block").unionByName(inside.where("salts > 1").select("cid", after.alias("block")))
+    asked = inside.select("cid", "block", "n").unionByName(inside.where("salts > 1").select("cid", after.alias("block"), "n"))
     first = stored(_links(asked, inside.select("cid", "block"), held, width, percent), "first")
 
     # second round: between components
@@ -281,11 +282,12 @@ def _assigned(docs: DataFrame, width: int, percent: int, *tag: str) -> DataFrame
     asks = F.when(F.col("large"), smaller).otherwise(F.col("weight") <= SMALL)
     fits = (F.col("most") * 100 >= F.col("n") * percent) & (F.col("least") * percent <= F.col("n") * 100)
     met = rare.drop("block").join(rows_of, "token").where(asks & fits).groupBy("cid", "block", "n", "lead").agg(F.count(F.lit(1)).alias("common"))
-    asked = stored(met.where(F.col("common") >= F.least(lead, F.col("lead"))).select("cid", "block"), "asked")
+    asked = stored(met.where(F.col("common") >= F.least(lead, F.col("lead"))).select("cid", "block", "n"), "asked")
     second = stored(_links(asked, again.select("cid", "block"), held, width, percent), "second")
 
     final = components(first.unionByName(second)).withColumnRenamed("node", "cid")
-    return rows.select("doc_id", "n", "cid", *tag).join(final, "cid", "left").withColumn("component", F.coalesce("component", "cid"))
+    named = rows.select("doc_id", "n", "cid", *tag).join(final, "cid", "left").withColumn("component", F.coalesce("component", "cid"))
+    return settled(named, "assigned", since)
 
 
 def join_components(docs: DataFrame, width: int = 5, percent: int = 80) -> DataFrame:
