@@ -16,7 +16,11 @@ Plan, all in DataFrame functions:
    shingles reach the scan as a broadcast only below ``BROADCAST_ITEMS`` rows, by
    a shuffled join beyond.
 2. Fingerprints. Each window and item gets the 64-bit SimHash of its weighted
-   shingles, with the 64 vote counters packed four to a long.
+   shingles, with the 64 vote counters packed into the lanes of longs.
+   Fingerprints of all windows of all item sizes would be 64 counters at each word
+   and size; and at this similarity no block is selective (two random fingerprints
+   agree in some block of two or three bits almost always), so every window would
+   meet every item. Step 1 leaves out only windows below t, by an exact bound.
 3. Multi-index blocks. Fingerprints are cut into RADIUS + 1 blocks; two that
    differ in RADIUS bits at most agree in one block, so joining on (size, block
    number, block bits) finds every window and item within the radius.
@@ -34,14 +38,18 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from .shared import stored
+
 WIDTH = 5
 MIN_SIMILARITY = 0.8
-#: Hamming radius; at similarity 0.8 about 10 of 64 bits differ.
-RADIUS = 20
+#: Hamming radius. At similarity 0.8 the two share 8/9 of their weight, so a bit differs with chance acos(8/9) / pi = 0.15:
+#: 9.7 of 64 bits, with a deviation of 2.9, and more than 24 in less than one of 100,000 such windows.
+RADIUS = 24
 #: Shingle rows of the benchmark that may be broadcast (16 bytes each).
 BROADCAST_ITEMS = 2_000_000
 
-_LANES = 0x0001000100010001
+#: Two vote counters of 32 bits in a long.
+_LANES = 0x0000000100000001
 
 
 def words_of(text: Column) -> Column:
@@ -57,8 +65,8 @@ def _shingles(words: Column, width: int) -> Column:
 def simhash(hashes: Column) -> Column:
     """64-bit SimHash of an array of shingle hashes, each occurrence with weight 1.
 
-    Counter j of lane word k counts hashes with bit 16 j + k set. Lanes of 16 bits
-    hold up to 65,535 shingles, far above the length of an item.
+    Counter j of lane word k counts hashes with bit 32 j + k set; a counter holds
+    more than the longest array can have.
     """
     n = F.size(hashes)
     bits = []
@@ -66,11 +74,11 @@ def simhash(hashes: Column) -> Column:
     def votes(k: int) -> Column:
         return F.aggregate(hashes, F.lit(0).cast("long"), lambda a, h: a + F.shiftrightunsigned(h, k).bitwiseAND(F.lit(_LANES)))
 
-    for k in range(16):
+    for k in range(32):
         lanes = votes(k)
-        for j in range(4):
-            count = F.shiftrightunsigned(lanes, 16 * j).bitwiseAND(F.lit(0xFFFF))
-            bits.append(F.when(count * 2 > n, F.shiftleft(F.lit(1).cast("long"), 16 * j + k)).otherwise(F.lit(0).cast("long")))
+        for j in range(2):
+            count = F.shiftrightunsigned(lanes, 32 * j).bitwiseAND(F.lit(0xFFFFFFFF))
+            bits.append(F.when(count * 2 > n, F.shiftleft(F.lit(1).cast("long"), 32 * j + k)).otherwise(F.lit(0).cast("long")))
     return reduce(lambda a, b: a.bitwiseOR(b), bits)
 
 
@@ -117,7 +125,7 @@ def items_of(benchmark: DataFrame, width: int = WIDTH) -> DataFrame:
 
 def leaks(docs: DataFrame, benchmark: DataFrame, min_similarity: float = MIN_SIMILARITY, radius: int = RADIUS, width: int = WIDTH) -> DataFrame:
     """(doc_id, item_id, start, n_words, similarity): the best window of each leaked item in each document, and its words."""
-    items = items_of(benchmark, width).cache()
+    items = stored(items_of(benchmark, width), "items")
     size = items.agg(F.coalesce(F.sum(F.size("shingles")), F.lit(0)).alias("rows"), F.collect_set("k").alias("ks")).first()  # ks: 1 to width
     texts = docs.where("doc_id is not null and text is not null").select("doc_id", words_of(F.col("text")).alias("words"))
 
