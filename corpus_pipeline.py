@@ -12,7 +12,7 @@ from pyspark.sql import functions as F
 
 from pulselake.llm import bpe, decontam, linededup, quality, setjoin
 from pulselake.llm.queries import vocabulary
-from pulselake.llm.shared import stored
+from pulselake.llm.shared import mark, settled
 from pulselake.session import ship
 
 
@@ -57,7 +57,7 @@ ORACLE_SQL = None
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
     """All stages over ``documents``."""
     ship(spark)
-    docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
+    docs, since = spark.read.parquet(f"{sf_dir}/documents.parquet"), mark()
     for name, stage in STAGES[:-1]:
-        docs = stored(stage(spark, docs, sf_dir), name)
+        docs = settled(stage(spark, docs, sf_dir), name, since)  # the stage before and all between go
     return STAGES[-1][1](spark, docs, sf_dir)
