@@ -8,7 +8,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .operators import bursts, dynamics, emergence, evolution, graph, pairs, plasticity, rates, scores, signal
+from .operators import bursts, dynamics, emergence, evolution, graph, pairs, plasticity, rates, scores, signal, structure
 from .sources.events import read_spikes, write_spikes
 
 __all__ = ["analyze", "as_json", "load", "operators", "parameters", "save", "select", "summary"]
@@ -20,7 +20,7 @@ save: Callable[[DataFrame, str], None] = write_spikes
 def operators() -> dict[str, Callable[..., DataFrame]]:
     """Every operator on a recording, by name."""
     found = {}
-    for module in (rates, bursts, pairs, evolution, dynamics, emergence, plasticity, signal, scores):
+    for module in (rates, bursts, pairs, evolution, dynamics, emergence, plasticity, signal, scores, structure):
         for name, fn in vars(module).items():
             if inspect.isfunction(fn) and fn.__module__ == module.__name__ and not name.startswith("_") and next(iter(inspect.signature(fn).parameters), "") == "df":
                 found[name] = fn
@@ -29,7 +29,7 @@ def operators() -> dict[str, Callable[..., DataFrame]]:
 
 def network_operators() -> dict[str, Callable[..., DataFrame]]:
     """Every operator on an edge table (e1, e2, r), by name."""
-    return {n: f for m in (graph, signal) for n, f in vars(m).items() if inspect.isfunction(f) and not n.startswith("_") and next(iter(inspect.signature(f).parameters), "") == "edges"}
+    return {n: f for m in (graph, signal, structure) for n, f in vars(m).items() if inspect.isfunction(f) and not n.startswith("_") and next(iter(inspect.signature(f).parameters), "") == "edges"}
 
 
 def parameters(name: str) -> dict[str, object]:

@@ -126,12 +126,18 @@ def surprise(df: DataFrame, width: int) -> DataFrame:
 
 
 def _poisson_tail(k: int, mean: float) -> float:
-    """P(X >= k) of a Poisson variable."""
-    term, below = math.exp(-mean), 0.0
-    for i in range(k):
-        below += term
-        term *= mean / (i + 1)
-    return max(1 - below, 1e-300)
+    """P(X >= k) of a Poisson variable; beyond the mean the terms from k on fall off fast."""
+    if mean <= 0:
+        return 1.0 if k <= 0 else 1e-300
+    log = lambda i: i * math.log(mean) - mean - math.lgamma(i + 1)
+    if k <= mean:
+        return max(1 - math.fsum(math.exp(log(i)) for i in range(k)), 1e-300)
+    term = total = math.exp(log(k))
+    while term > total * 1e-16 and term > 0:
+        k += 1
+        term *= mean / k
+        total += term
+    return max(total, 1e-300)
 
 
 def _by_channel(df: DataFrame, fn, schema: str) -> DataFrame:
@@ -145,8 +151,8 @@ def _by_channel(df: DataFrame, fn, schema: str) -> DataFrame:
     return df.select("electrode", "t_us").groupBy("electrode").applyInPandas(run, f"electrode int, {schema}")
 
 
-def bursts_poisson_surprise(df: DataFrame, bar: float = 3.0, least: int = 3, reach: int = 500) -> DataFrame:
-    """Bursts grown event by event while the Poisson surprise against the channel's mean rate rises."""
+def bursts_poisson_surprise(df: DataFrame, bar: float = 3.0, least: int = 3) -> DataFrame:
+    """Bursts grown event by event, however many, while the Poisson surprise against the channel's mean rate rises."""
 
     def fn(t: np.ndarray) -> dict:
         out, i = [], 0
@@ -157,7 +163,7 @@ def bursts_poisson_surprise(df: DataFrame, bar: float = 3.0, least: int = 3, rea
                 i += 1
                 continue
             best, end = -1.0, i
-            for j in range(i + least - 1, min(len(t), i + reach)):
+            for j in range(i + least - 1, len(t)):
                 s = -math.log10(_poisson_tail(j - i, rate * (t[j] - t[i])))
                 if s < best:
                     break

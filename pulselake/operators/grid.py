@@ -8,8 +8,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-#: Chunk of time that one task scans in order; chunks are stitched by their edges.
-CHUNK_US = 86_400_000_000
+#: Chunk of time (of one key, if any) that one task scans in order; chunks are stitched by their edges.
+CHUNK_US = 3_600_000_000
 
 
 def r6(c: Column | str) -> Column:
@@ -46,32 +46,35 @@ def dense_counts(df: DataFrame, width: int, *keys: str) -> DataFrame:
     return grid.join(sparse_counts(df, width, *keys), [*keys, "bin"], "left").withColumn("n", F.coalesce("n", F.lit(0).cast("long")))
 
 
-def with_previous(df: DataFrame, *by: str) -> DataFrame:
-    """prev_us: time of the event before, within the channel or, without keys, of all.
+def previous(df: DataFrame, value: str, name: str, *by: str) -> DataFrame:
+    """``value`` of the event before, in time order, within the keys or, without keys, of all.
 
-    Without keys the scan is cut into chunks of time that are ordered apart; the
-    first event of a chunk takes the last time of the chunk before.
+    The scan is cut into chunks of time that are ordered apart, so neither a key nor
+    the recording is one task; the first event of a chunk takes the last value of the
+    chunk before, which comes from one row a chunk.
     """
-    if by:
-        return df.withColumn("prev_us", F.lag("t_us").over(Window.partitionBy(*by).orderBy("t_us", "spike_id")))
+    keys = [*by, "__chunk"]
     cut = df.withColumn("__chunk", F.expr(f"t_us div {CHUNK_US}"))
-    inner = Window.partitionBy("__chunk").orderBy("t_us", "spike_id")
-    edges = cut.groupBy("__chunk").agg(F.max("t_us").alias("__last")).withColumn("__before", F.lag("__last").over(Window.orderBy("__chunk")))
-    own = cut.withColumn("prev_us", F.lag("t_us").over(inner))
-    return own.join(F.broadcast(edges.select("__chunk", "__before")), "__chunk", "left").withColumn("prev_us", F.coalesce("prev_us", "__before")).drop("__chunk", "__before")
+    last = cut.groupBy(*keys).agg(F.max_by(value, F.struct("t_us", "spike_id")).alias("__last"))
+    before = last.select(*keys, F.lag("__last").over(Window.partitionBy(*by).orderBy("__chunk")).alias("__before"))
+    own = cut.withColumn(name, F.lag(value).over(Window.partitionBy(*keys).orderBy("t_us", "spike_id")))
+    return own.join(before, keys).withColumn(name, F.coalesce(name, "__before")).drop("__chunk", "__before")
+
+
+def with_previous(df: DataFrame, *by: str) -> DataFrame:
+    """prev_us: time of the event before."""
+    return previous(df, "t_us", "prev_us", *by)
 
 
 def running_sum(df: DataFrame, value: Column, name: str, *by: str) -> DataFrame:
-    """Running sum in time order, by channel or, without keys, over all in stitched chunks."""
-    if by:
-        order = Window.partitionBy(*by).orderBy("t_us", "spike_id").rowsBetween(Window.unboundedPreceding, 0)
-        return df.withColumn(name, F.sum(value).over(order))
+    """Running sum in time order, within the keys or over all, in stitched chunks."""
+    keys = [*by, "__chunk"]
     cut = df.withColumn("__chunk", F.expr(f"t_us div {CHUNK_US}")).withColumn("__v", value)
-    sums = cut.groupBy("__chunk").agg(F.sum("__v").alias("__s"))
-    before = sums.withColumn("__b", F.coalesce(F.sum("__s").over(Window.orderBy("__chunk").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)))
-    inner = Window.partitionBy("__chunk").orderBy("t_us", "spike_id").rowsBetween(Window.unboundedPreceding, 0)
-    own = cut.withColumn(name, F.sum("__v").over(inner))
-    return own.join(F.broadcast(before.select("__chunk", "__b")), "__chunk").withColumn(name, F.col(name) + F.col("__b")).drop("__chunk", "__v", "__b")
+    sums = cut.groupBy(*keys).agg(F.sum("__v").alias("__s"))
+    earlier = Window.partitionBy(*by).orderBy("__chunk").rowsBetween(Window.unboundedPreceding, -1)
+    before = sums.select(*keys, F.coalesce(F.sum("__s").over(earlier), F.lit(0)).alias("__b"))
+    own = cut.withColumn(name, F.sum("__v").over(Window.partitionBy(*keys).orderBy("t_us", "spike_id").rowsBetween(Window.unboundedPreceding, 0)))
+    return own.join(before, keys).withColumn(name, F.col(name) + F.col("__b")).drop("__chunk", "__v", "__b")
 
 
 def runs(df: DataFrame, flag: Column, order: str, *by: str) -> DataFrame:

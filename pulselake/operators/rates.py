@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .grid import dense_counts, r6, span, with_previous
+from .grid import dense_counts, previous, r6, span, with_previous
 
 
 def firing_rates(df: DataFrame, width: int) -> DataFrame:
@@ -184,8 +184,8 @@ def spatial_entropy(df: DataFrame, active_hz: float) -> DataFrame:
 def organoid_blocks(df: DataFrame, burst_isi: int) -> DataFrame:
     """Per block of eight channels: rate, burst onsets, interval variation, composite score and rank."""
     isi = with_previous(df, "mea").withColumn("isi", F.col("t_us") - F.col("prev_us"))
-    before = F.lag("isi").over(Window.partitionBy("mea").orderBy("t_us", "spike_id"))
-    isi = isi.withColumn("onset", (F.col("isi") < burst_isi) & (F.coalesce(before, F.lit(1 << 60)) >= burst_isi))
+    isi = previous(isi, "isi", "before", "mea")
+    isi = isi.withColumn("onset", (F.col("isi") < burst_isi) & (F.coalesce("before", F.lit(1 << 60)) >= burst_isi))
     x = isi.groupBy("mea").agg(F.count(F.lit(1)).alias("n"), F.count_if("onset").alias("bursts"), (F.stddev_pop("isi") / F.avg("isi")).alias("cv")).join(F.broadcast(span(df).select("dur")))
     x = x.withColumn("rate", F.col("n") / (F.col("dur") / 1e6))
     top = F.broadcast(x.agg(F.max("rate").alias("top")))
