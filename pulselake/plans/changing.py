@@ -79,5 +79,10 @@ register(
     "dense_buckets", lambda df: op.estimated_stimuli(df, 10 * M, 4, 0),
     f"select t // {10 * M} * {10 * M} as t_us, count(*) as n from s group by 1 having count(*) >= 4",
 )
-register("estimated_stimuli", lambda df: op.estimated_stimuli(df, 10 * M, 5, 6 * H))
+register(
+    "estimated_stimuli", lambda df: op.estimated_stimuli(df, 10 * M, 5, 6 * H),
+    f""", hot as (select t // {10 * M} * {10 * M} as t_us, count(*) as n from s group by 1 having count(*) >= 5),
+kp as (with recursive r(t) as (select min(t_us) from hot union all select (select min(h.t_us) from hot h where h.t_us >= r.t + {6 * H}) from r where r.t is not null) select t from r where t is not null)
+select t_us, n from hot where t_us in (select t from kp)""",
+)
 register("betti_curve", lambda df: op.betti_curve(df, 20, 20))

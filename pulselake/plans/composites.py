@@ -7,7 +7,8 @@ from ..sources.events import spikes
 from .bursting import AV
 from .evolving import DAY, W24, H
 from .pairwise import ENT, M, contingency_sql, states_sql
-from .registry import dense_sql, register, register_raw
+from . import basic  # noqa: F401  its SQL is part of some here
+from .registry import BASE, ORACLE_SQL, dense_sql, register, register_raw
 
 register("swarm_coupling", scores.swarm, f", c as (select mea, count(*) as n from s group by 1) select mea, n, round((select avg(n) from c) + (n - (select avg(n) from c)) * {repr(0.7**10)}, 6) as coupled from c")
 SPREAD = "(select -sum(p * log2(p)) / log2(count(*)) from (select count(*) / (select n from d) as p from s group by e))"
@@ -19,7 +20,11 @@ v as (select round({SPREAD}, 6) as spread, exp(-pow((select round(stddev_pop(n /
 1 / (1 + exp(-greatest(least(10 * ((select avg(abs(round((n * x - a * b) / sqrt(a * (n - a) * b * (n - b)), 6))) from ct) - 0.05), 30), -30))) as coupling)
 select round(spread, 6) as spread, round(variability, 6) as variability, round(criticality, 6) as criticality, round(coupling, 6) as coupling, round(100 * (spread + variability + criticality + coupling) / 4, 4) as score from v""",
 )
-register("welfare_report", lambda df: scores.welfare(df, DAY))
+register(
+    "welfare_report", lambda df: scores.welfare(df, DAY),
+    f""", hf as ({ORACLE_SQL['health_flags']}), sf as ({ORACLE_SQL['suffering_flags']}), w as (select any_value(hf.score) as score, least(1.0, avg(n_flags / 4)) as risk from sf cross join hf)
+select score, round(risk, 6) as risk, round(score * (1 - risk), 6) as welfare, case when score * (1 - risk) >= 70 then 'continue' when score * (1 - risk) >= 40 then 'monitor' else 'rest' end as advice from w""",
+)
 register(
     "report", lambda df: scores.report(df, H),
     f""", c as (select count(*) / ((select dur from d) / 1e6) as rate from s group by e), {dense_sql(H)}, pp as (select b, cast(sum(n) as double) as n from dn group by 1), {states_sql(H)}, sc as (select st, count(*) as n from stt group by 1),
@@ -44,4 +49,13 @@ def _profiles(spark, sf_dir):
     return scores.similarity_to_profiles(spikes(spark, sf_dir), spark.createDataFrame(PROFILES, "system string, feature string, value double, weight double"), H)
 
 
-register_raw("similarity_to_profiles", _profiles)
+PROFILE_ROWS = ", ".join(f"('{system}', '{feature}', {value}, {weight})" for system, feature, value, weight in PROFILES)
+register_raw(
+    "similarity_to_profiles", _profiles,
+    f"""{BASE}, {dense_sql(H)}, pp as (select b, cast(sum(n) as double) as n from dn group by 1), pf(system, feature, value, weight) as (values {PROFILE_ROWS}),
+ow as (select 'cv' as feature, round(stddev_pop(n / 3600) / avg(n / 3600), 6) as x from pp union all select 'branching', round(avg(coalesce(y.n, 0) / x.n), 6) from pp x left join pp y on y.b = x.b + 1 where x.n > 0 and x.b < (select max(b) from pp)
+union all select 'uniformity', round(-sum(p * log2(p)) / greatest(log2(count(*)), 1e-10), 6) from (select count(*) / (select n from d) as p from s group by e)),
+sp as (select feature, min(value) - (max(value) - min(value)) * 0.2 as lo, max(value) + (max(value) - min(value)) * 0.2 as hi from pf group by 1),
+ab as (select system, cast(weight as double) as w, greatest(0, least(1, (x - lo) / greatest(hi - lo, 1e-12))) as a, greatest(0, least(1, (value - lo) / greatest(hi - lo, 1e-12))) as b from pf join sp using (feature) join ow using (feature))
+select system, round(sum(a * b * w * w) / sqrt(sum(a * a * w * w) * sum(b * b * w * w)), 6) as cosine, round(sqrt(sum(w * pow(a - b, 2))), 6) as distance from ab group by 1""",
+)

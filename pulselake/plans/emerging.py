@@ -9,7 +9,8 @@ from ..operators.evolution import lif_parameters
 from .bursting import islands_sql
 from .evolving import H
 from .pairwise import TE, M, states_sql
-from .registry import dense_sql, register
+from .registry import dense_sql, register, rounded, waves_sql
+from .signals import KURAMOTO, PHASES
 
 register(
     "effective_information", lambda df: op.effective_information(df, 10 * M),
@@ -30,10 +31,23 @@ register(
 ta as (select period_h as ph, atan2(sum(sin(2 * w * t)), sum(cos(2 * w * t))) / (2 * any_value(w)) as tau from y group by 1), q as (select period_h, z, v, cos(w * (t - tau)) as a, sin(w * (t - tau)) as b from y join ta on ph = period_h)
 select period_h, round((pow(sum(z * a), 2) / sum(a * a) + pow(sum(z * b), 2) / sum(b * b)) / (2 * any_value(v)), 4) as power from q group by 1""",
 )
-register("chimera", lambda df: op.chimera(df, H, 24))
-register("sync_dwell", lambda df: op.sync_dwell(df, H))
+register(
+    "chimera", lambda df: rounded(op.chimera(df, H, 24)),
+    f"""{PHASES}, bl as (select e // 8 as g, b, sqrt(pow(avg(c), 2) + pow(avg(s), 2)) as r from u group by 1, 2), wg as (select b // 24 as win, g, avg(r) as r from bl where b < (select (max(b) + 1) // 24 * 24 from dn) group by 1, 2)
+select win, round(avg(r), 6) as mean_r, round(stddev_pop(r) / greatest(avg(r), 1e-12), 6) as cv, cast(stddev_pop(r) / greatest(avg(r), 1e-12) > 0.3 as bigint) as chimera from wg group by 1""",
+)
+register(
+    "sync_dwell", lambda df: op.sync_dwell(df, H),
+    f"""{KURAMOTO}, sy as (select b, cast(r >= 0.3 as integer) as sync from ku), ru as (select *, row_number() over (order by b) - row_number() over (partition by sync order by b) as run from sy)
+select sync, min(b) as start_bin, count(*) as bins from ru group by sync, run""",
+)
 register("integration", lambda df: op.integration(df, H))
 register("ising_couplings", lambda df: op.ising(df, 10 * M))
 register("information_split", lambda df: op.information_split(df, 10 * M))
-register("phase_amplitude_coupling", lambda df: op.phase_amplitude_coupling(df, H))
+register(
+    "phase_amplitude_coupling", lambda df: rounded(op.phase_amplitude_coupling(df, H)),
+    f""", {dense_sql(H)}, po as (select 0 as e, b, cast(sum(n) as double) as n from dn group by b), {waves_sql('po', 'e', 0.01, 0.1, 'sl')}, {waves_sql('po', 'e', 0.2, 0.9, 'fa')},
+am as (select cast(least(floor((atan2(sl.zi, sl.zr) + pi()) / (2 * pi()) * 18), 17) as integer) as part, avg(sqrt(fa.zr * fa.zr + fa.zi * fa.zi)) as a from sl join fa on sl.b = fa.b group by 1),
+pr as (select a / (select sum(a) from am) as p from am) select round((ln(18) + sum(p * ln(p)) filter (p > 0)) / ln(18), 6) as modulation_index from pr""",
+)
 register("simulate_lif", lambda df: op.simulate_lif(lif_parameters(df)))
