@@ -4,12 +4,21 @@ from __future__ import annotations
 
 import atexit
 import tempfile
+import threading
 import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-_written: list[tuple[SparkSession, str]] = []
+_written: dict[str, SparkSession] = {}  # every table that is still there, for the end of the process
+_own = threading.local()
+
+
+def _mine() -> list[str]:
+    """The tables this thread has written, in order. Callers in other threads have lists of their own, so none drops another's."""
+    if not hasattr(_own, "paths"):
+        _own.paths = []
+    return _own.paths
 
 
 def shared_dir(spark: SparkSession) -> str:
@@ -27,19 +36,21 @@ def shared_dir(spark: SparkSession) -> str:
 
 
 def _clean() -> None:
-    for spark, path in _written:
+    for path, spark in list(_written.items()):
         try:
             drop(spark, path)
         except Exception:  # the session may be gone already
             return
 
 
+atexit.register(_clean)
+
+
 def new_path(spark: SparkSession, name: str) -> str:
     """A path for a table that goes at the end of the process."""
-    if not _written:
-        atexit.register(_clean)
     path = f"{shared_dir(spark).rstrip('/')}/pulselake/{name}-{uuid.uuid4().hex}"
-    _written.append((spark, path))
+    _written[path] = spark
+    _mine().append(path)
     return path
 
 
@@ -57,20 +68,21 @@ def stored(df: DataFrame, name: str) -> DataFrame:
 
 
 def mark() -> int:
-    """Where the list of written tables stands now, for ``settled``."""
-    return len(_written)
+    """Where this thread's list of written tables stands now, for ``settled``."""
+    return len(_mine())
 
 
 def release(since: int, keep: int = 0) -> None:
-    """Delete the tables written since ``since`` but the last ``keep``."""
-    done = _written[since : len(_written) - keep]
-    for spark, path in done:
-        drop(spark, path)
-    del _written[since : since + len(done)]
+    """Delete the tables that this thread has written since ``since`` but the last ``keep``."""
+    mine = _mine()
+    done = mine[since : len(mine) - keep]
+    for path in done:
+        drop(_written.pop(path), path)
+    del mine[since : since + len(done)]
 
 
 def settled(df: DataFrame, name: str, since: int) -> DataFrame:
-    """``stored``, and the tables written since ``since``, which only these rows needed, go at once."""
+    """``stored``, and the tables this thread has written since ``since``, which only these rows needed, go at once."""
     out = stored(df, name)
     release(since, keep=1)
     return out
