@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from . import basic, bursting, changing, composites, emerging, evolving, pairwise, plastic, signals, streams, structure
+from . import basic, bursting, changing, composites, emerging, evolving, nulls, pairwise, plastic, signals, streams, structure
 from .registry import ORACLE_SQL, QUERIES, run
 
-__all__ = ["ORACLE_SQL", "QUERIES", "basic", "bursting", "changing", "composites", "emerging", "evolving", "pairwise", "plastic", "run", "signals", "streams", "structure"]
+__all__ = ["ORACLE_SQL", "QUERIES", "basic", "bursting", "changing", "composites", "emerging", "evolving", "nulls", "pairwise", "plastic", "run", "signals", "streams", "structure"]
