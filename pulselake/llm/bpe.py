@@ -8,7 +8,10 @@ predecessor itself, is tried again. A border found to be a dead end is never
 tried twice, so the walk is linear, and its result is exactly what the merges
 give. Decoding gathers token strings through one offset table.
 
-Nulls count as empty texts (no ids, empty string). Extra columns pass by.
+A null or empty text has no ids and decodes to the empty string. Only doc_id (null or
+not) and text are read; other columns, whatever their names, change nothing and are
+not returned. Repeated rows are encoded each for itself, with equal results. An empty
+table gives an empty result. A very long text is encoded whole by one task.
 """
 
 from __future__ import annotations

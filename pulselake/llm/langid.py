@@ -25,7 +25,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .sparse import Rows, fitted, sums, training_sample
+from .sparse import Bound, Rows, fitted, sums, training_sample
 from .text import _LOWER, buffer_of, map_arrow
 
 #: Language families by code.
@@ -147,7 +147,7 @@ class LanguageModel:
         return lang.tolist(), score
 
 
-def fit(docs: DataFrame, keep, limit: int = FIT_ROWS) -> LanguageModel:
+def fit(docs: DataFrame, keep, limit: int | Bound = FIT_ROWS) -> LanguageModel:
     return fitted(training_sample(docs, docs.select("doc_id", "lang"), "lang", keep, limit), lambda rows: LanguageModel(rows.text.tolist(), rows.lang.tolist()))
 
 
@@ -162,7 +162,7 @@ def predict(docs: DataFrame, model: LanguageModel) -> DataFrame:
     return map_arrow(docs.select("doc_id", "text"), run, "doc_id long, lang_pred string, score double")
 
 
-def identify(docs: DataFrame, limit: int = FIT_ROWS, folds: int = 3, held_out: int = 1) -> DataFrame:
+def identify(docs: DataFrame, limit: int | Bound = FIT_ROWS, folds: int = 3, held_out: int = 1) -> DataFrame:
     """(doc_id, held_out, lang_pred, score): learn from the other folds, predict every document."""
     fold = F.pmod(F.crc32(F.col("doc_id").cast("string").cast("binary")), F.lit(folds))
     out = predict(docs, fit(docs, fold != held_out, limit))

@@ -23,7 +23,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .sparse import Rows, fitted, sums, training_sample
+from .sparse import Bound, Rows, fitted, sums, training_sample
 from .text import Words, map_arrow, mix
 
 #: Rows that the fit may see; a documented bound of the fit alone.
@@ -118,7 +118,7 @@ class QualityModel:
         return out
 
 
-def fit(docs: DataFrame, labels: DataFrame, keep, label: str = "quality", limit: int = FIT_ROWS) -> QualityModel:
+def fit(docs: DataFrame, labels: DataFrame, keep, label: str = "quality", limit: int | Bound = FIT_ROWS) -> QualityModel:
     return fitted(training_sample(docs, labels, label, keep, limit), lambda rows: QualityModel(rows.text.tolist(), rows[label].astype(int).tolist()))
 
 
@@ -136,14 +136,14 @@ def _fold(folds: int):
     return F.pmod(F.crc32(F.col("doc_id").cast("string").cast("binary")), F.lit(folds))
 
 
-def grade_documents(docs: DataFrame, labels: DataFrame, bar: float = 0.3, folds: int = 5, held_out: int = 0, limit: int = FIT_ROWS) -> DataFrame:
+def grade_documents(docs: DataFrame, labels: DataFrame, bar: float = 0.3, folds: int = 5, held_out: int = 0, limit: int | Bound = FIT_ROWS) -> DataFrame:
     """(doc_id, held_out, score, predicted): learn outside one fold, score every document."""
     out = score(docs, fit(docs, labels, _fold(folds) != held_out, limit=limit))
     held = F.coalesce(_fold(folds) == held_out, F.lit(False))
     return out.select("doc_id", held.alias("held_out"), "score", (F.col("score") >= bar).cast("int").alias("predicted"))
 
 
-def keep_good(docs: DataFrame, labels: DataFrame, bar: float = 0.3, folds: int = 5, held_out: int = 0, limit: int = FIT_ROWS) -> DataFrame:
+def keep_good(docs: DataFrame, labels: DataFrame, bar: float = 0.3, folds: int = 5, held_out: int = 0, limit: int | Bound = FIT_ROWS) -> DataFrame:
     """The documents, with all their columns, that the classifier scores at ``bar`` or more."""
     model = fit(docs, labels, _fold(folds) != held_out, limit=limit)
     shared = docs.sparkSession.sparkContext.broadcast(model)

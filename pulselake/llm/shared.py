@@ -3,13 +3,14 @@
 from __future__ import annotations
 
 import atexit
-import tempfile
 import threading
 import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..session import shared_dir
+
 _written: dict[str, SparkSession] = {}  # every table that is still there, for the end of the process
 _own = threading.local()
 
@@ -21,20 +22,6 @@ def _mine() -> list[str]:
     return _own.paths
 
 
-def shared_dir(spark: SparkSession) -> str:
-    """The folder in spark.checkpoint.dir; a temporary one only for a local session that sets none."""
-    found = spark.conf.get("spark.checkpoint.dir", None)
-    if found:
-        return found
-    known = spark.sparkContext._jsc.sc().getCheckpointDir()
-    if known.isDefined():
-        return known.get()
-    if not spark.sparkContext.master.startswith("local["):
-        raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
-    spark.sparkContext.setCheckpointDir(tempfile.mkdtemp(prefix="pulselake-"))
-    return spark.sparkContext._jsc.sc().getCheckpointDir().get()
-
-
 def _clean() -> None:
     for path, spark in list(_written.items()):
         try:

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import pickle
 from collections.abc import Callable, Iterator
+from typing import NamedTuple
 
 import numpy as np
 import pandas as pd
@@ -65,8 +66,24 @@ def sums(values: np.ndarray, bounds: np.ndarray) -> np.ndarray:
     return total[bounds[1:]] - total[bounds[:-1]]
 
 
-#: Text bytes that a fit may see, and those of one of its documents; documented bounds of the fits alone.
-FIT_BYTES, FIT_DOC_BYTES = 12 << 20, 256 << 10
+class Bound(NamedTuple):
+    """The bounded sample of labelled rows that a fit may see; it bounds the fit alone, every row is scored.
+
+    ``rows``: labelled rows at most. ``text_bytes``: bytes of their texts together at
+    most. ``doc_bytes``: a labelled row with a longer text is not drawn; it is scored
+    like all others. A plain number of rows stands for a bound with the other two at
+    their defaults.
+    """
+
+    rows: int
+    text_bytes: int = 12 << 20
+    doc_bytes: int = 256 << 10
+
+    @classmethod
+    def of(cls, limit: int | Bound) -> Bound:
+        return limit if isinstance(limit, Bound) else cls(limit)
+
+
 _DRAWS = 1 << 40
 
 
@@ -75,26 +92,27 @@ def draw(key: Column, salt: int) -> Column:
     return F.pmod(F.xxhash64(key, F.lit(salt)), F.lit(_DRAWS))
 
 
-def bounded(rows: DataFrame, limit: int, max_bytes: int = FIT_BYTES) -> DataFrame:
-    """The rows (draw, text, ...) with the smallest ``draw``: at most ``limit`` and of ``max_bytes`` of text.
+def bounded(rows: DataFrame, limit: int | Bound) -> DataFrame:
+    """The rows (draw, text, ...) with the smallest ``draw`` within the bound.
 
     The rows are written once; the driver sees a draw and a size of each, not a text.
     """
-    rows = stored(rows.where(F.octet_length("text") <= FIT_DOC_BYTES), "sample")
-    sizes = rows.select("draw", F.octet_length("text").alias("size")).toPandas().sort_values("draw").iloc[:limit]
-    fits = sizes[sizes["size"].cumsum() <= max_bytes]
+    bound = Bound.of(limit)
+    rows = stored(rows.where(F.octet_length("text") <= bound.doc_bytes), "sample")
+    sizes = rows.select("draw", F.octet_length("text").alias("size")).toPandas().sort_values("draw").iloc[: bound.rows]
+    fits = sizes[sizes["size"].cumsum() <= bound.text_bytes]
     return rows.where(F.col("draw") <= (int(fits.draw.iloc[-1]) if len(fits) else -1))
 
 
-def training_sample(docs: DataFrame, labels: DataFrame, label: str, keep: Column, limit: int) -> DataFrame:
-    """At most ``limit`` labelled rows (draw, doc_id, text, label) of FIT_BYTES at most, chosen by a hash of doc_id.
+def training_sample(docs: DataFrame, labels: DataFrame, label: str, keep: Column, limit: int | Bound) -> DataFrame:
+    """Labelled rows (draw, doc_id, text, label) within the bound ``limit``, chosen by a hash of doc_id.
 
     The bounds are parameters of the fit only; every document is scored. Null labels
     and null texts are left out. A repeated doc_id counts once, with its smallest text
     and label, before anything is gathered.
     """
     known = labels.where(F.col(label).isNotNull() & F.col("doc_id").isNotNull() & keep).groupBy("doc_id").agg(F.min(label).alias(label))
-    bar = int(min(1.0, limit / max(known.count(), 1)) * _DRAWS)
+    bar = int(min(1.0, Bound.of(limit).rows / max(known.count(), 1)) * _DRAWS)
     drawn = lambda d: d.where(draw(F.col("doc_id"), 17) <= bar)
     texts = drawn(docs.select("doc_id", "text")).where("text is not null").join(drawn(known).select("doc_id"), "doc_id", "left_semi")
     one = texts.groupBy("doc_id").agg(F.min("text").alias("text")).join(drawn(known), "doc_id")

@@ -175,7 +175,7 @@ def encoder(path: str) -> ByteEncoder:
 
 
 def train_dictionary(docs: DataFrame, vocabulary: str, end_id: int) -> bytes:
-    """A dictionary trained, in one task, on the serialized ids of at most SAMPLE_DOCS different texts of FIT_BYTES.
+    """A dictionary trained, in one task, on the serialized ids of at most SAMPLE_DOCS different texts (``sparse.Bound``).
 
     Samples too few or too alike to train on are the dictionary themselves, as raw
     content, its end first to be matched; without a text it is the end id.

@@ -20,7 +20,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .sparse import Rows, fitted, training_sample
+from .sparse import Bound, Rows, fitted, training_sample
 from .text import Words, map_arrow
 
 #: Rows that the fit may see; a documented bound of the fit alone.
@@ -135,7 +135,7 @@ def score(docs: DataFrame, model: SeverityModel) -> DataFrame:
     return map_arrow(docs.select("doc_id", "text"), run, "doc_id long, severity double, grade int")
 
 
-def grade_documents(docs: DataFrame, labels: DataFrame, label: str = "toxic", limit: int = FIT_ROWS, folds: int = 5, held_out: int = 0) -> DataFrame:
+def grade_documents(docs: DataFrame, labels: DataFrame, label: str = "toxic", limit: int | Bound = FIT_ROWS, folds: int = 5, held_out: int = 0) -> DataFrame:
     """(doc_id, held_out, severity, grade, toxic): learn from the labels outside one fold, grade every document."""
     fold = F.pmod(F.crc32(F.col("doc_id").cast("string").cast("binary")), F.lit(folds))
     sample = training_sample(docs, labels, label, fold != held_out, limit)
