@@ -92,12 +92,13 @@ def draw(key: Column, salt: int) -> Column:
     return F.pmod(F.xxhash64(key, F.lit(salt)), F.lit(_DRAWS))
 
 
-def bounded(rows: DataFrame, limit: int | Bound) -> DataFrame:
-    """The rows (draw, text, ...) with the smallest ``draw`` within the bound.
+def bounded(rows: DataFrame, limit: int | Bound, max_bytes: int | None = None) -> DataFrame:
+    """The rows (draw, text, ...) with the smallest ``draw`` within the bound; ``max_bytes`` stands for its ``text_bytes``.
 
     The rows are written once; the driver sees a draw and a size of each, not a text.
     """
     bound = Bound.of(limit)
+    bound = bound if max_bytes is None else bound._replace(text_bytes=max_bytes)
     rows = stored(rows.where(F.octet_length("text") <= bound.doc_bytes), "sample")
     sizes = rows.select("draw", F.octet_length("text").alias("size")).toPandas().sort_values("draw").iloc[: bound.rows]
     fits = sizes[sizes["size"].cumsum() <= bound.text_bytes]
