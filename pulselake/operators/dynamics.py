@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 
 from .bursts import network_bursts
 from .evolution import evolution_windows, window_correlations
-from .grid import dense_counts, n_bins, r6, with_previous
+from .grid import dense_counts, n_bins, over, r6, with_previous
 from .pairs import states, transfer_entropy
 
 
@@ -48,7 +48,7 @@ def multiscale_states(df: DataFrame, widths: list[int]) -> DataFrame:
         m = F.broadcast(x.agg(F.expr("percentile(n, 0.5)").alias("med")))
         y = x.join(m).withColumn("up", (F.col("n") > F.col("med")).cast("int"))
         other = y.select((F.col("bin") + 1).alias("bin"), F.col("up").alias("was"))
-        z = y.join(other, "bin", "left").agg(F.avg("up").alias("up"), F.count_if(F.col("up") != F.col("was")).alias("changes"), (F.stddev_pop("n") / F.avg("n")).alias("cv"))
+        z = y.join(other, "bin", "left").agg(F.avg("up").alias("up"), F.count_if(F.col("up") != F.col("was")).alias("changes"), over(F.stddev_pop("n"), F.avg("n")).alias("cv"))
         row = z.select(F.lit(width // 1_000_000).alias("width_s"), r6("up").alias("up_fraction"), "changes", r6("cv").alias("cv"))
         out = row if out is None else out.unionByName(row)
     return out
@@ -60,8 +60,8 @@ def bimodality(df: DataFrame, width: int) -> DataFrame:
     m = F.broadcast(x.agg(F.avg("n").alias("m")))
     d = F.col("n") - F.col("m")
     y = x.join(m).agg(F.avg(d * d).alias("m2"), F.avg(d * d * d).alias("m3"), F.avg(d * d * d * d).alias("m4"))
-    skew, kurt = F.col("m3") / F.pow("m2", F.lit(1.5)), F.col("m4") / (F.col("m2") * F.col("m2"))
-    return y.select(r6(skew).alias("skewness"), r6(kurt).alias("kurtosis"), r6((skew * skew + 1) / kurt).alias("bimodality"))
+    skew, kurt = over("m3", F.pow("m2", F.lit(1.5))), over("m4", F.col("m2") * F.col("m2"))
+    return y.select(r6(skew).alias("skewness"), r6(kurt).alias("kurtosis"), r6(over(skew * skew + 1, kurt)).alias("bimodality"))
 
 
 def repeated_events(df: DataFrame, width: int) -> DataFrame:
@@ -87,8 +87,8 @@ def forgetting(df: DataFrame, windows: int, width: int) -> DataFrame:
     a, b = x.select("win", "bin", F.col("electrode").alias("e1"), F.col("n").alias("x")), x.select(F.col("win").alias("win"), F.col("bin").alias("bin"), F.col("electrode").alias("e2"), F.col("n").alias("y"))
     r = a.join(b, ["win", "bin"]).where("e1 < e2").groupBy("win", "e1", "e2").agg(F.coalesce(F.abs(F.corr("x", "y")), F.lit(0.0)).alias("r"))
     p, q = r.select(F.col("win").alias("a"), "e1", "e2", F.col("r").alias("x")), r.select(F.col("win").alias("b"), F.col("e1").alias("e1"), F.col("e2").alias("e2"), F.col("r").alias("y"))
-    cos = F.sum(F.col("x") * F.col("y")) / F.sqrt(F.sum(F.col("x") * F.col("x")) * F.sum(F.col("y") * F.col("y")))
-    return p.join(q, ["e1", "e2"]).where("a < b").groupBy("a", "b").agg(r6(F.greatest(F.lit(0.0), F.least(F.lit(1.0), 1 - cos))).alias("distance"))
+    cos = over(F.sum(F.col("x") * F.col("y")), F.sqrt(F.sum(F.col("x") * F.col("x")) * F.sum(F.col("y") * F.col("y"))))
+    return p.join(q, ["e1", "e2"]).where("a < b").groupBy("a", "b").agg(r6(F.when(cos.isNotNull(), F.greatest(F.lit(0.0), F.least(F.lit(1.0), 1 - cos)))).alias("distance"))
 
 
 def state_landscape(df: DataFrame, width: int, least: int = 2) -> DataFrame:
@@ -110,7 +110,7 @@ def snapshot(df: DataFrame, window: int) -> DataFrame:
     ahead = F.lead("t_us", 3).over(Window.partitionBy("chunk").orderBy("t_us", "spike_id"))
     clusters = own.unionByName(head).withColumn("ahead", ahead).where("own").agg(F.count_if(F.col("ahead") - F.col("t_us") < window).alias("clusters"))
     y = x.agg(F.count(F.lit(1)).alias("n"), F.countDistinct("electrode").alias("electrodes"), F.max("t_us").alias("dur"), F.avg("isi").alias("m"), F.stddev_pop("isi").alias("sd"), F.avg("amplitude").alias("am"), F.stddev_pop("amplitude").alias("asd"))
-    return y.join(clusters).select("n", "electrodes", r6(F.col("n") / (F.col("dur") / 1e6)).alias("rate_hz"), r6(F.col("m") / 1e6).alias("isi_mean_s"), r6(F.col("sd") / F.col("m")).alias("isi_cv"), r6("am").alias("amp_mean"), r6("asd").alias("amp_std"), "clusters")
+    return y.join(clusters).select("n", "electrodes", r6(over("n", F.col("dur") / 1e6)).alias("rate_hz"), r6(F.col("m") / 1e6).alias("isi_mean_s"), r6(over("sd", "m")).alias("isi_cv"), r6("am").alias("amp_mean"), r6("asd").alias("amp_std"), "clusters")
 
 
 def surprise(df: DataFrame, width: int) -> DataFrame:

@@ -11,7 +11,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from .bursts import bursts_max_interval
-from .grid import dense_counts, r6, span
+from .grid import dense_counts, over, r6, span
 from .pairs import transfer_entropy, transitions
 from .signal import analytic, whole_matrix
 
@@ -54,8 +54,8 @@ def lomb_scargle(df: DataFrame, width: int, periods_h: list[float]) -> DataFrame
     s = y.groupBy("period_h", "w").agg(F.sum(F.sin(2 * F.col("w") * F.col("t"))).alias("s2"), F.sum(F.cos(2 * F.col("w") * F.col("t"))).alias("c2"))
     tau = F.broadcast(s.select("period_h", (F.atan2("s2", "c2") / (2 * F.col("w"))).alias("tau")))
     z = y.join(tau, "period_h").withColumn("a", F.cos(F.col("w") * (F.col("t") - F.col("tau")))).withColumn("b", F.sin(F.col("w") * (F.col("t") - F.col("tau"))))
-    part = lambda c: F.pow(F.sum(F.col("d") * F.col(c)), F.lit(2)) / F.sum(F.col(c) * F.col(c))
-    return z.groupBy("period_h").agg(F.round((part("a") + part("b")) / (2 * F.first("v")), 4).alias("power"))
+    part = lambda c: over(F.pow(F.sum(F.col("d") * F.col(c)), F.lit(2)), F.sum(F.col(c) * F.col(c)))
+    return z.groupBy("period_h").agg(F.round(over(part("a") + part("b"), 2 * F.first("v")), 4).alias("power"))
 
 
 def chimera(df: DataFrame, width: int, per_window: int, bar: float = 0.3) -> DataFrame:
@@ -121,6 +121,8 @@ def information_split(df: DataFrame, width: int) -> DataFrame:
                     w += np.where(pab > 1e-15, pab * np.log2(pab / np.outer(pa, pb)), 0)
         np.fill_diagonal(w, 0)
         w = np.maximum(w, 0)
+        if len(names) < 2:  # nothing to cut
+            return {"electrode": names[:0], "side": [], "cut_information": []}
         _, v = np.linalg.eigh(np.diag(w.sum(1)) - w)
         side = (v[:, 1] >= np.median(v[:, 1])).astype(int)
         cut = w[np.ix_(side == 0, side == 1)].sum()

@@ -7,7 +7,7 @@ import math
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .grid import binned, dense_counts, n_bins, pairs_within, r6, windows, with_previous
+from .grid import binned, dense_counts, n_bins, over, pairs_within, r6, windows, with_previous
 
 
 def nearest_others(df: DataFrame, reach: int) -> DataFrame:
@@ -31,7 +31,7 @@ def evolution_windows(df: DataFrame, length: int, step: int, burst_isi: int, syn
     before = F.lag("own").over(Window.partitionBy("win").orderBy("t_us", "spike_id"))
     z = inner.withColumn("sync", F.coalesce(near, F.lit(False))).withColumn("onset", F.coalesce((F.col("own") < burst_isi) & (before >= burst_isi), F.lit(False)))
     sec = length / 1e6
-    out = z.groupBy("win").agg(F.count(F.lit(1)).alias("n"), F.count_if("onset").alias("onsets"), (F.stddev_pop("own") / F.avg("own")).alias("cv"), F.avg(F.col("sync").cast("int")).alias("sync"))
+    out = z.groupBy("win").agg(F.count(F.lit(1)).alias("n"), F.count_if("onset").alias("onsets"), over(F.stddev_pop("own"), F.avg("own")).alias("cv"), F.avg(F.col("sync").cast("int")).alias("sync"))
     return out.select("win", "n", r6(F.col("n") / sec).alias("rate"), F.round(F.col("onsets") / sec, 9).alias("burst_rate"), r6(F.coalesce("cv", F.lit(0.0))).alias("complexity"), r6("sync").alias("synchrony"))
 
 
@@ -55,7 +55,7 @@ def window_features(df: DataFrame, width: int) -> DataFrame:
     x = df.join(k).withColumn("win", F.expr(f"t_us div {width}")).where("win < k")
     isi = F.col("t_us") - F.lag("t_us").over(Window.partitionBy("electrode", "win").orderBy("t_us", "spike_id"))
     y = x.withColumn("isi", isi).groupBy("win", "electrode").agg(
-        F.count(F.lit(1)).alias("n"), F.avg("amplitude").alias("m"), F.stddev_pop("amplitude").alias("sd"), (F.stddev_pop("isi") / F.avg("isi")).alias("cv")
+        F.count(F.lit(1)).alias("n"), F.avg("amplitude").alias("m"), F.stddev_pop("amplitude").alias("sd"), over(F.stddev_pop("isi"), F.avg("isi")).alias("cv")
     )
     return y.select("win", "electrode", r6(F.col("n") / (width / 1e6)).alias("rate"), r6("m").alias("amp_mean"), r6("sd").alias("amp_std"), r6(F.coalesce("cv", F.lit(0.0))).alias("cv_isi"))
 
@@ -158,11 +158,11 @@ def cosinor(df: DataFrame, width: int, period_h: float) -> DataFrame:
     cov = {k: F.covar_pop(*k).alias("".join(k)) for k in (("c", "c"), ("s", "s"), ("c", "s"), ("c", "y"), ("s", "y"), ("y", "y"))}
     a = x.agg(*cov.values(), F.avg("y").alias("my"), F.avg("c").alias("mc"), F.avg("s").alias("ms"))
     det = F.col("cc") * F.col("ss") - F.col("cs") * F.col("cs")
-    a = a.withColumn("b", (F.col("cy") * F.col("ss") - F.col("sy") * F.col("cs")) / det).withColumn("g", (F.col("sy") * F.col("cc") - F.col("cy") * F.col("cs")) / det)
+    a = a.withColumn("b", over(F.col("cy") * F.col("ss") - F.col("sy") * F.col("cs"), det)).withColumn("g", over(F.col("sy") * F.col("cc") - F.col("cy") * F.col("cs"), det))
     phase = F.atan2(F.col("g"), F.col("b")) / w
     return a.select(
         r6(F.col("my") - F.col("b") * F.col("mc") - F.col("g") * F.col("ms")).alias("mesor"), r6(F.hypot("b", "g")).alias("amplitude"),
-        r6(F.when(phase < 0, phase + period_h).otherwise(phase)).alias("acrophase_h"), r6((F.col("b") * F.col("cy") + F.col("g") * F.col("sy")) / F.col("yy")).alias("r_squared"),
+        r6(F.when(phase < 0, phase + period_h).otherwise(phase)).alias("acrophase_h"), r6(over(F.col("b") * F.col("cy") + F.col("g") * F.col("sy"), "yy")).alias("r_squared"),
     )
 
 
@@ -173,7 +173,7 @@ def autocorrelation(df: DataFrame, width: int, reach: int) -> DataFrame:
     y = x.join(m).withColumn("d", F.col("n") - F.col("m"))
     other = y.select(F.col("bin").alias("bin"), F.col("d").alias("d2"))
     z = y.withColumn("lag", F.explode(F.sequence(F.lit(0), F.lit(reach)))).withColumn("bin", F.col("bin") + F.col("lag")).join(other, "bin")
-    return z.groupBy("lag").agg(r6(F.sum(F.col("d") * F.col("d2")) / F.first(F.col("sq") - F.col("k") * F.col("m") * F.col("m"))).alias("r"))
+    return z.groupBy("lag").agg(r6(over(F.sum(F.col("d") * F.col("d2")), F.first(F.col("sq") - F.col("k") * F.col("m") * F.col("m")))).alias("r"))
 
 
 def chi2_periodogram(df: DataFrame, width: int, periods: tuple[int, int]) -> DataFrame:

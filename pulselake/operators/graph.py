@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .grid import r6
+from .grid import over, r6
 
 
 def _both(edges: DataFrame) -> DataFrame:
@@ -23,7 +23,7 @@ def mea_density(edges: DataFrame, nodes: DataFrame, per_mea: int = 8) -> DataFra
     n = edges.agg(F.count_if(same).alias("within"), F.count_if(~same).alias("across"))
     m = nodes.select("electrode").distinct().groupBy(F.expr(f"electrode div {per_mea}").alias("g")).agg(F.count(F.lit(1)).alias("k"))
     p = m.agg(F.sum(F.expr("k * (k - 1) div 2")).alias("pw"), F.expr("sum(k) * (sum(k) - 1) div 2").alias("all"))
-    return n.join(p).select("within", "across", r6(F.col("within") / F.col("pw")).alias("density_within"), r6(F.col("across") / (F.col("all") - F.col("pw"))).alias("density_across"))
+    return n.join(p).select("within", "across", r6(over("within", "pw")).alias("density_within"), r6(over("across", F.col("all") - F.col("pw"))).alias("density_across"))
 
 
 def triad_census(edges: DataFrame, nodes: DataFrame) -> DataFrame:
@@ -40,7 +40,7 @@ def triad_census(edges: DataFrame, nodes: DataFrame) -> DataFrame:
     x = tri.join(stars).join(wedges).join(base)
     star, chain = F.col("open_low") - F.col("triangle"), F.col("wedges") - F.col("open_low") - 2 * F.col("triangle")
     single = F.col("m") * (F.col("n") - 2) - 2 * (star + chain) - 3 * F.col("triangle")
-    return x.select("triangle", chain.alias("chain"), star.alias("star"), single.alias("single_edge"), r6(F.col("m") * 2 / (F.col("n") * (F.col("n") - 1))).alias("density"))
+    return x.select("triangle", chain.alias("chain"), star.alias("star"), single.alias("single_edge"), r6(over(F.col("m") * 2, F.col("n") * (F.col("n") - 1))).alias("density"))
 
 
 def rich_club(edges: DataFrame) -> DataFrame:

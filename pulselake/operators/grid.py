@@ -17,6 +17,11 @@ def r6(c: Column | str) -> Column:
     return F.round(F.col(c) if isinstance(c, str) else c, 6)
 
 
+def over(a: Column | str, b: Column | str) -> Column:
+    """a / b, and null where b is 0."""
+    return F.try_divide(F.col(a) if isinstance(a, str) else a, F.col(b) if isinstance(b, str) else b)
+
+
 def span(df: DataFrame) -> DataFrame:
     """One row: duration (last time), number of events, number of channels."""
     return df.agg(F.max("t_us").alias("dur"), F.count(F.lit(1)).alias("n_all"), F.countDistinct("electrode").alias("n_e"))

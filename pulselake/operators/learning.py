@@ -17,21 +17,30 @@ def waveform_vectors(embeddings: DataFrame, spikes: DataFrame) -> DataFrame:
     return w.join(spikes.select("spike_id", "electrode"), "spike_id")
 
 
+def _few(rows: DataFrame, least: int = 2) -> bool:
+    """Fewer rows than a fit needs; reads no more than that."""
+    return rows.limit(least).count() < least
+
+
 def pca_waveforms(vectors: DataFrame, k: int = 3) -> DataFrame:
-    """Scores on the leading components."""
+    """Scores on the leading components; no rows without two waveforms."""
     from pyspark.ml.feature import PCA
     from pyspark.ml.functions import vector_to_array
 
+    if _few(vectors):
+        return vectors.select("spike_id", *[F.lit(None).cast("double").alias(f"pc{i + 1}") for i in range(k)]).where("false")
     x = PCA(k=k, inputCol="features", outputCol="scores").fit(vectors).transform(vectors).withColumn("s", vector_to_array("scores"))
     return x.select("spike_id", *[r6(F.col("s")[i]).alias(f"pc{i + 1}") for i in range(k)])
 
 
 def kmeans_waveforms(vectors: DataFrame, k: int = 3, seed: int = 42) -> DataFrame:
-    """Cluster of each waveform: spike sorting on the leading components."""
+    """Cluster of each waveform: spike sorting on the leading components; no rows without two waveforms."""
     from pyspark.ml import Pipeline
     from pyspark.ml.clustering import KMeans
     from pyspark.ml.feature import PCA
 
+    if _few(vectors):
+        return vectors.select("spike_id", "electrode", F.lit(None).cast("int").alias("cluster")).where("false")
     steps = [PCA(k=5, inputCol="features", outputCol="scores"), KMeans(k=k, seed=seed, featuresCol="scores", predictionCol="cluster")]
     return Pipeline(stages=steps).fit(vectors).transform(vectors).select("spike_id", "electrode", "cluster")
 
@@ -45,12 +54,14 @@ def window_vectors(df: DataFrame, width: int) -> DataFrame:
 
 
 def state_clusters(df: DataFrame, width: int, k: int = 4, seed: int = 42) -> DataFrame:
-    """Cluster of each window on scaled features."""
+    """Cluster of each window on scaled features; no rows without two windows."""
     from pyspark.ml import Pipeline
     from pyspark.ml.clustering import KMeans
     from pyspark.ml.feature import StandardScaler
 
     x = window_vectors(df, width)
+    if _few(x):
+        return x.select("win", F.lit(None).cast("int").alias("state")).where("false")
     steps = [StandardScaler(inputCol="raw", outputCol="features", withMean=True), KMeans(k=k, seed=seed, featuresCol="features", predictionCol="state")]
     return Pipeline(stages=steps).fit(x).transform(x).select("win", "state")
 

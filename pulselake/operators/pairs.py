@@ -9,7 +9,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .grid import binned, dense_counts, n_bins, pairs_within, r6, sparse_counts
+from .grid import binned, dense_counts, n_bins, over, pairs_within, r6, sparse_counts
 
 
 def _lags(df: DataFrame, reach: int) -> DataFrame:
@@ -101,10 +101,10 @@ def cofiring_phi(df: DataFrame, width: int, z_bar: float) -> DataFrame:
     """Phi coefficient of the occupancy and its z against independence."""
     c = contingency(df, width)
     n, a, b = (F.col(x).cast("double") for x in ("bins", "a", "b"))
-    phi = (n * F.col("n11") - a * b) / F.sqrt(a * (n - a) * b * (n - b))
+    phi = over(n * F.col("n11") - a * b, F.sqrt(a * (n - a) * b * (n - b)))
     mu = a * b / n
-    z = (F.col("n11") - mu) / F.sqrt(mu * (1 - a / n) * (1 - b / n))
-    return c.select("e1", "e2", F.col("n11").alias("co"), r6(phi).alias("phi"), r6(z).alias("z"), (F.round(F.abs(z), 6) > z_bar).cast("int").alias("significant"))
+    z = over(F.col("n11") - mu, F.sqrt(mu * (1 - a / n) * (1 - b / n)))  # none for a channel that occupies every bin
+    return c.select("e1", "e2", F.col("n11").alias("co"), r6(phi).alias("phi"), r6(z).alias("z"), F.coalesce((F.round(F.abs(z), 6) > z_bar).cast("int"), F.lit(0)).alias("significant"))
 
 
 def _plog(p: Column) -> Column:

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .grid import dense_counts, previous, r6, span, with_previous
+from .grid import dense_counts, over, previous, r6, span, with_previous
 
 
 def firing_rates(df: DataFrame, width: int) -> DataFrame:
@@ -63,12 +63,12 @@ def summary_electrodes(df: DataFrame) -> DataFrame:
     own = df.groupBy("electrode").agg(F.count(F.lit(1)).alias("n"), F.avg("amplitude").alias("am"), F.stddev_pop("amplitude").alias("asd"), F.min("t_us").alias("first_us"), F.max("t_us").alias("last_us"))
     isi = intervals(df).groupBy("electrode").agg(F.avg(F.col("isi") / 1e6).alias("im"), F.stddev_pop(F.col("isi") / 1e6).alias("isd"))
     x = own.join(isi, "electrode", "left").join(F.broadcast(span(df).select("dur")))
-    return x.select("electrode", "n", r6(F.col("n") / (F.col("dur") / 1e6)).alias("rate_hz"), r6("am").alias("amp_mean"), r6("asd").alias("amp_std"), r6("im").alias("isi_mean_s"), r6(F.col("isd") / F.col("im")).alias("isi_cv"), "first_us", "last_us")
+    return x.select("electrode", "n", r6(over("n", F.col("dur") / 1e6)).alias("rate_hz"), r6("am").alias("amp_mean"), r6("asd").alias("amp_std"), r6("im").alias("isi_mean_s"), r6(over("isd", "im")).alias("isi_cv"), "first_us", "last_us")
 
 
 def summary_population(df: DataFrame) -> DataFrame:
     """Spread of the channel rates, and the most and least active channel (the smaller on a tie)."""
-    x = df.groupBy("electrode").agg(F.count(F.lit(1)).alias("n")).join(F.broadcast(span(df).select("dur"))).withColumn("rate", F.col("n") / (F.col("dur") / 1e6))
+    x = df.groupBy("electrode").agg(F.count(F.lit(1)).alias("n")).join(F.broadcast(span(df).select("dur"))).withColumn("rate", over("n", F.col("dur") / 1e6))
     key = F.struct("n", -F.col("electrode"))
     return x.agg(
         F.sum("n").alias("n_spikes"), F.count(F.lit(1)).alias("n_electrodes"), r6(F.avg("rate")).alias("mean_rate"), r6(F.stddev_pop("rate")).alias("std_rate"),
@@ -81,7 +81,7 @@ def stability_halves(df: DataFrame) -> DataFrame:
     x = df.join(F.broadcast(span(df).select("dur")))
     half = F.col("dur") / 2
     n1, n2 = F.count_if(F.col("t_us") < half), F.count_if(F.col("t_us") >= half)
-    per = x.groupBy("electrode").agg((n1 / (F.first("dur") / 2e6)).alias("a"), (n2 / (F.first("dur") / 2e6)).alias("b"))
+    per = x.groupBy("electrode").agg(over(n1, F.first("dur") / 2e6).alias("a"), over(n2, F.first("dur") / 2e6).alias("b"))
     return per.select("electrode", r6("a").alias("first_hz"), r6("b").alias("second_hz"), r6(F.when(F.col("a") > 0, (F.col("b") - F.col("a")) / F.col("a") * 100).otherwise(0.0)).alias("change_pct"))
 
 
@@ -107,7 +107,7 @@ def temporal_trend(df: DataFrame, width: int) -> DataFrame:
     """Linear trend and variation of the population rate."""
     x = dense_counts(df, width).withColumn("rate", F.col("n") / (width / 1e6)).withColumn("mid", (F.col("bin") + 0.5) * (width / 1e6))
     return x.agg(
-        F.round(F.regr_slope("rate", "mid") * 1e6, 6).alias("slope_per_ms"), r6(F.pow(F.corr("rate", "mid"), 2)).alias("r2"), r6(F.stddev_pop("rate") / F.avg("rate")).alias("cv"), r6(F.avg("n")).alias("mean_n")
+        F.round(F.regr_slope("rate", "mid") * 1e6, 6).alias("slope_per_ms"), r6(F.pow(F.corr("rate", "mid"), 2)).alias("r2"), r6(over(F.stddev_pop("rate"), F.avg("rate"))).alias("cv"), r6(F.avg("n")).alias("mean_n")
     )
 
 
@@ -142,7 +142,7 @@ def suffering_flags(df: DataFrame, width: int) -> DataFrame:
     x = rate_windows(df, width).withColumn("mean", F.avg("rate").over(Window.partitionBy("electrode"))).withColumn("k", F.max("bin").over(Window.partitionBy("electrode")) + 1)
     second = F.col("bin") >= F.expr("k div 2")
     y = x.groupBy("electrode").agg(
-        F.count_if(F.col("rate") > 5 * F.col("mean")).alias("high"), F.count_if(F.col("rate") < 0.1 * F.col("mean")).alias("low"), (F.stddev_pop("rate") / F.avg("rate")).alias("cv"),
+        F.count_if(F.col("rate") > 5 * F.col("mean")).alias("high"), F.count_if(F.col("rate") < 0.1 * F.col("mean")).alias("low"), over(F.stddev_pop("rate"), F.avg("rate")).alias("cv"),
         F.avg(F.when(~second, F.col("rate"))).alias("a"), F.avg(F.when(second, F.col("rate"))).alias("b"),
     )
     flags = {"excited": F.col("high") >= 3, "silenced": F.col("low") >= 2, "unstable": F.col("cv") > 2, "declining": F.col("b") < 0.3 * F.col("a")}
@@ -153,9 +153,9 @@ def health_flags(df: DataFrame) -> DataFrame:
     """Rule-based 0 to 100 score from activity, variation and silence."""
     pop = summary_population(df)
     top = df.agg((F.max("electrode") + 1).alias("expected"))
-    x = pop.join(F.broadcast(top)).withColumn("silent", F.col("expected") - F.col("n_electrodes")).withColumn("spread", F.col("std_rate") / F.col("mean_rate"))
-    low = (F.col("mean_rate") < 0.001).cast("int")
-    uneven, silent = (F.col("spread") > 1).cast("int"), (F.col("silent") > 0).cast("int")
+    x = pop.join(F.broadcast(top)).withColumn("silent", F.col("expected") - F.col("n_electrodes")).withColumn("spread", over("std_rate", "mean_rate")).where("n_electrodes > 0")
+    low = F.coalesce((F.col("mean_rate") < 0.001).cast("int"), F.lit(0))  # one instant has no rate
+    uneven, silent = F.coalesce((F.col("spread") > 1).cast("int"), F.lit(0)), (F.col("silent") > 0).cast("int")
     return x.select(low.alias("low_activity"), uneven.alias("uneven"), silent.alias("has_silent"), F.greatest(F.lit(0), 100 - 30 * low - 20 * uneven - 15 * silent).alias("score"))
 
 
@@ -177,7 +177,7 @@ def spatial_entropy(df: DataFrame, active_hz: float) -> DataFrame:
     """Entropy of the share of events over channels, its evenness, and the share of active channels."""
     n = df.groupBy("electrode").agg(F.count(F.lit(1)).alias("n")).join(F.broadcast(span(df)))
     p = F.col("n") / F.col("n_all")
-    x = n.agg((-F.sum(p * F.log2(p))).alias("h"), F.count(F.lit(1)).alias("k"), F.avg((F.col("n") / (F.col("dur") / 1e6) > active_hz).cast("int")).alias("active"))
+    x = n.agg((-F.sum(p * F.log2(p))).alias("h"), F.count(F.lit(1)).alias("k"), F.avg((over("n", F.col("dur") / 1e6) > active_hz).cast("int")).alias("active"))
     return x.select(r6("h").alias("entropy"), r6(F.col("h") / F.greatest(F.log2(F.col("k").cast("double")), F.lit(1e-10))).alias("uniformity"), r6("active").alias("active_fraction"))
 
 
@@ -186,10 +186,10 @@ def organoid_blocks(df: DataFrame, burst_isi: int) -> DataFrame:
     isi = with_previous(df, "mea").withColumn("isi", F.col("t_us") - F.col("prev_us"))
     isi = previous(isi, "isi", "before", "mea")
     isi = isi.withColumn("onset", (F.col("isi") < burst_isi) & (F.coalesce("before", F.lit(1 << 60)) >= burst_isi))
-    x = isi.groupBy("mea").agg(F.count(F.lit(1)).alias("n"), F.count_if("onset").alias("bursts"), (F.stddev_pop("isi") / F.avg("isi")).alias("cv")).join(F.broadcast(span(df).select("dur")))
-    x = x.withColumn("rate", F.col("n") / (F.col("dur") / 1e6))
+    x = isi.groupBy("mea").agg(F.count(F.lit(1)).alias("n"), F.count_if("onset").alias("bursts"), over(F.stddev_pop("isi"), F.avg("isi")).alias("cv")).join(F.broadcast(span(df).select("dur")))
+    x = x.withColumn("rate", over("n", F.col("dur") / 1e6))
     top = F.broadcast(x.agg(F.max("rate").alias("top")))
-    x = x.join(top).withColumn("score", 0.4 * F.col("rate") / F.col("top") + 0.3 * F.least(F.col("bursts") / 10, F.lit(1.0)) + 0.3 * F.least(F.coalesce("cv", F.lit(0.0)), F.lit(2.0)) / 2)
+    x = x.join(top).withColumn("score", 0.4 * F.coalesce(over("rate", "top"), F.lit(0.0)) + 0.3 * F.least(F.col("bursts") / 10, F.lit(1.0)) + 0.3 * F.least(F.coalesce("cv", F.lit(0.0)), F.lit(2.0)) / 2)
     rank = F.row_number().over(Window.orderBy(F.desc(F.round("score", 9)), "mea"))
     return x.select("mea", "n", r6("rate").alias("rate_hz"), "bursts", r6("cv").alias("cv"), r6("score").alias("score"), rank.alias("rank"))
 

@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from . import bursts, evolution, pairs, rates
-from .grid import r6
+from .grid import over, r6
 
 
 def gaussian(value: Column, optimum: float, width: float) -> Column:
@@ -73,5 +73,5 @@ def similarity_to_profiles(df: DataFrame, profiles: DataFrame, width: int) -> Da
     scale = lambda v: F.greatest(F.lit(0.0), F.least(F.lit(1.0), (F.col(v) - F.col("lo")) / F.greatest(F.col("hi") - F.col("lo"), F.lit(1e-12))))
     x = profiles.join(span, "feature").join(own, "feature").withColumn("a", scale("x")).withColumn("b", scale("value"))
     w = F.col("weight") * F.col("weight")
-    cos = F.sum(F.col("a") * F.col("b") * w) / F.sqrt(F.sum(F.col("a") * F.col("a") * w) * F.sum(F.col("b") * F.col("b") * w))
+    cos = over(F.sum(F.col("a") * F.col("b") * w), F.sqrt(F.sum(F.col("a") * F.col("a") * w) * F.sum(F.col("b") * F.col("b") * w)))
     return x.groupBy("system").agg(r6(cos).alias("cosine"), r6(F.sqrt(F.sum(F.col("weight") * (F.col("a") - F.col("b")) ** 2))).alias("distance"))

@@ -9,20 +9,22 @@ from pyspark.sql import functions as F
 
 from .bursts import avalanche_distribution, avalanches, bursts_max_interval, network_burst_table, powerlaw_mle
 from .graph import node_degree
-from .grid import binned, dense_counts, r6, span
+from .grid import binned, dense_counts, over, r6, span
 
 
 def adaptive_grid(df: DataFrame, ideal_us: int = 1000, most_bins: int = 100_000) -> DataFrame:
     """Bin width that keeps the grid within ``most_bins``, window by duration, and the avalanche bin.
 
     The avalanche bin is the geometric mean of the channels' mean intervals, within
-    0.5 and 50 ms; a channel's mean interval needs its first and last event only.
+    0.5 and 50 ms; a channel's mean interval needs its first and last event only. A
+    channel of one event has none; where no channel has one, the pooled events' does.
     """
-    per = df.groupBy("electrode").agg(((F.max("t_us") - F.min("t_us")) / (F.count(F.lit(1)) - 1)).alias("m"))
+    per = df.groupBy("electrode").agg(over(F.max("t_us") - F.min("t_us"), F.count(F.lit(1)) - 1).alias("m"))
     own = per.where("m > 0").agg(F.exp(F.avg(F.log("m"))).alias("m"))
+    mean = F.coalesce("m", F.nullif(over("dur", F.col("n_all") - 1), F.lit(0.0)))
     dur = F.col("dur") / 1e6
     window = F.when(dur <= 3600, 1.0).when(dur <= 12 * 3600, 60.0).otherwise(300.0)
-    return span(df).join(own).select(r6(dur).alias("duration_s"), r6(F.greatest(F.lit(ideal_us / 1e6), dur / most_bins)).alias("bin_s"), window.alias("window_s"), r6(F.greatest(F.lit(0.5), F.least(F.lit(50.0), F.col("m") / 1e3))).alias("avalanche_ms"))
+    return span(df).join(own).where("n_all > 0").select(r6(dur).alias("duration_s"), r6(F.greatest(F.lit(ideal_us / 1e6), dur / most_bins)).alias("bin_s"), window.alias("window_s"), r6(F.when(mean.isNotNull(), F.greatest(F.lit(0.5), F.least(F.lit(50.0), mean / 1e3)))).alias("avalanche_ms"))
 
 
 def stratified_sample(df: DataFrame, share: float) -> DataFrame:
@@ -159,7 +161,7 @@ def block_bursts(df: DataFrame, begin: int, end: int, gap: int, min_spikes: int)
     found = bursts_max_interval(df, begin, end, gap, min_spikes, 0, "mea").groupBy("mea").agg(F.count(F.lit(1)).alias("k"), F.avg((F.col("end_us") - F.col("start_us")) / 1e6).alias("d"))
     x = df.select("mea").distinct().join(found, "mea", "left").withColumn("k", F.coalesce("k", F.lit(0).cast("long")))
     mean = F.broadcast(x.agg(F.avg("k").alias("mean")))
-    return x.join(mean).join(F.broadcast(span(df).select("dur"))).select("mea", F.col("k").alias("n_bursts"), r6(F.col("k") / (F.col("dur") / 6e7)).alias("per_minute"), r6("d").alias("mean_duration_s"), r6(F.col("k") - F.col("mean")).alias("above_mean"))
+    return x.join(mean).join(F.broadcast(span(df).select("dur"))).select("mea", F.col("k").alias("n_bursts"), r6(over("k", F.col("dur") / 6e7)).alias("per_minute"), r6("d").alias("mean_duration_s"), r6(F.col("k") - F.col("mean")).alias("above_mean"))
 
 
 def _levels(df: DataFrame, width: int) -> DataFrame:

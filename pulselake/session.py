@@ -7,6 +7,7 @@ import os
 import shutil
 import sys
 import tempfile
+import threading
 import zipfile
 from pathlib import Path
 
@@ -47,6 +48,7 @@ def shared_dir(spark: SparkSession) -> str:
 
 
 _shipped: set[str] = set()
+_shipping = threading.Lock()
 
 
 def ship(spark: SparkSession) -> None:
@@ -54,13 +56,14 @@ def ship(spark: SparkSession) -> None:
     package = Path(__file__).resolve().parent
     known = [os.path.realpath(x or ".") for x in [os.getcwd(), *os.environ.get("PYTHONPATH", "").split(os.pathsep)]]
     app = spark.sparkContext.applicationId
-    if str(package.parent) in known or app in _shipped:
-        return
-    folder = tempfile.mkdtemp(prefix="pulselake-")  # the driver serves the file from there while it runs
-    atexit.register(shutil.rmtree, folder, ignore_errors=True)
-    path = Path(folder) / f"{package.name}.zip"
-    with zipfile.ZipFile(path, "w") as z:
-        for x in sorted(package.rglob("*.py")):
-            z.write(x, x.relative_to(package.parent))
-    spark.sparkContext.addPyFile(str(path))
-    _shipped.add(app)
+    with _shipping:
+        if str(package.parent) in known or app in _shipped:
+            return
+        folder = tempfile.mkdtemp(prefix="pulselake-")  # the driver serves the file from there while it runs
+        atexit.register(shutil.rmtree, folder, ignore_errors=True)
+        path = Path(folder) / f"{package.name}.zip"
+        with zipfile.ZipFile(path, "w") as z:
+            for x in sorted(package.rglob("*.py")):
+                z.write(x, x.relative_to(package.parent))
+        spark.sparkContext.addPyFile(str(path))
+        _shipped.add(app)
