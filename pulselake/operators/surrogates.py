@@ -44,19 +44,18 @@ def verdict(stats: DataFrame, keys: list[str], value: str, reps: int, alpha: flo
     shares with one added on both sides. The table of keys is as small as the pairs of
     channels, and so is the window over it.
     """
-    x = stats.withColumn("v", F.round(value, 9))
-    nulls = F.array_compact(F.collect_list(F.when(F.col("rep") > 0, F.col("v"))))
-    g = x.groupBy(*keys).agg(F.max(F.when(F.col("rep") == 0, F.col("v"))).alias("obs"), nulls.alias("nulls")).where("obs is not null")
-    total = lambda f: F.aggregate("nulls", F.lit(0.0), lambda s, v: s + f(v))
-    reach = F.size(F.filter("nulls", lambda v: v >= F.col("obs"))) + F.when(F.col("obs") <= 0, reps - F.size("nulls")).otherwise(0)
-    g = g.select(*keys, "obs", (total(lambda v: v) / reps).alias("mean"), (total(lambda v: v * v) / reps).alias("square"), reach.alias("k"))
-    std = F.sqrt(F.greatest(F.col("square") - F.col("mean") * F.col("mean"), F.lit(0.0)))
-    g = g.withColumn("std", std).withColumn("p1", (F.col("k") + 1) / (reps + 1))
-    g = g.withColumn("bound", F.col("p1") * F.count(F.lit(1)).over(Window.partitionBy()) / F.count(F.lit(1)).over(Window.orderBy("p1")))
-    q = F.least(F.lit(1.0), F.min("bound").over(Window.orderBy(F.desc("p1"))))
-    z = F.when(F.col("std") > 1e-9, (F.col("obs") - F.col("mean")) / F.col("std")).otherwise(0.0)
+    v, obs, nulls, k, mean, std, p1, bound = (f"__{x}" for x in ("v", "obs", "nulls", "k", "mean", "std", "p1", "bound"))  # keys may have any name
+    x = stats.withColumn(v, F.round(value, 9))
+    g = x.groupBy(*keys).agg(F.max(F.when(F.col("rep") == 0, F.col(v))).alias(obs), F.array_compact(F.collect_list(F.when(F.col("rep") > 0, F.col(v)))).alias(nulls))
+    total = lambda f: F.aggregate(nulls, F.lit(0.0), lambda s, y: s + f(y)) / reps
+    reach = F.size(F.filter(nulls, lambda y: y >= F.col(obs))) + F.when(F.col(obs) <= 0, reps - F.size(nulls)).otherwise(0)
+    g = g.where(F.col(obs).isNotNull()).select(*keys, obs, total(lambda y: y).alias(mean), total(lambda y: y * y).alias(std), reach.alias(k))
+    g = g.withColumn(std, F.sqrt(F.greatest(F.col(std) - F.col(mean) * F.col(mean), F.lit(0.0)))).withColumn(p1, (F.col(k) + 1) / (reps + 1))
+    g = g.withColumn(bound, F.col(p1) * F.count(F.lit(1)).over(Window.partitionBy()) / F.count(F.lit(1)).over(Window.orderBy(p1)))
+    q = F.least(F.lit(1.0), F.min(bound).over(Window.orderBy(F.desc(p1))))
+    z = F.when(F.col(std) > 1e-9, (F.col(obs) - F.col(mean)) / F.col(std)).otherwise(0.0)
     return g.select(
-        *keys, r6("obs").alias(value), r6("mean").alias("null_mean"), r6("std").alias("null_std"), F.round(z, 4).alias("z"), r6(F.col("k") / reps).alias("p"), r6(q).alias("q"),
+        *keys, r6(obs).alias(value), r6(mean).alias("null_mean"), r6(std).alias("null_std"), F.round(z, 4).alias("z"), r6(F.col(k) / reps).alias("p"), r6(q).alias("q"),
         (F.round(q, 9) <= alpha).cast("int").alias("significant"),
     )
 
