@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from . import basic, bursting, changing, composites, emerging, evolving, integrated, nulls, pairwise, plastic, signals, streams, structure, testing
+from . import basic, bursting, changing, composites, emerging, evolving, integrated, nulls, pairwise, plastic, rhythms, signals, streams, structure, testing
 from .registry import ORACLE_SQL, QUERIES, run
 
-__all__ = ["ORACLE_SQL", "QUERIES", "basic", "bursting", "changing", "composites", "emerging", "evolving", "integrated", "nulls", "pairwise", "plastic", "run", "signals", "streams", "structure", "testing"]
+__all__ = ["ORACLE_SQL", "QUERIES", "basic", "bursting", "changing", "composites", "emerging", "evolving", "integrated", "nulls", "pairwise", "plastic", "rhythms", "run", "signals", "streams", "structure", "testing"]
