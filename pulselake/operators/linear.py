@@ -20,7 +20,10 @@ CHUNK_BINS = 8192
 
 
 def lagged_products(df: DataFrame, width: int, order: int) -> DataFrame:
-    """(i, a, j, b, v, bins): sum over bins t >= ``order`` of the count of channel i at t - a times that of j at t - b, for lags up to ``order``."""
+    """(i, a, j, b, v, bins): sum over bins t >= ``order`` of the count of channel i at t - a times that of j at t - b, for lags up to ``order``.
+
+    Rows with j = -1 hold the sums of the counts themselves.
+    """
     x = binned(df, width).groupBy("electrode", "bin", "n_bins").agg(F.count(F.lit(1)).alias("n"))
     reach = F.sequence(F.expr(f"bin div {CHUNK_BINS}"), F.expr(f"(bin + {order}) div {CHUNK_BINS}"))
     x = x.withColumn("chunk", F.explode(reach)).where(f"chunk * {CHUNK_BINS} < n_bins")
@@ -35,19 +38,25 @@ def lagged_products(df: DataFrame, width: int, order: int) -> DataFrame:
         g = z.T @ z
         p, q = np.nonzero(g)
         e = len(names)
-        return pd.DataFrame({"i": names[p % e], "a": p // e, "j": names[q % e], "b": q // e, "v": g[p, q], "bins": total - order})
+        k, sums = np.arange(len(g)), z.sum(0)
+        i, a, j, b = (np.concatenate(x) for x in ((names[p % e], names[k % e]), (p // e, k // e), (names[q % e], np.full(len(k), -1)), (q // e, np.zeros_like(k))))
+        return pd.DataFrame({"i": i, "a": a, "j": j, "b": b, "v": np.concatenate([g[p, q], sums]), "bins": total - order})
 
     parts = x.groupBy("chunk").applyInPandas(run, "i int, a int, j int, b int, v double, bins long")
     return parts.groupBy("i", "a", "j", "b").agg(F.sum("v").alias("v"), F.first("bins").alias("bins"))
 
 
 def _gram(pdf: pd.DataFrame) -> tuple[np.ndarray, dict]:
+    """The products about the lagged series' means, as (channel, lag, channel, lag)."""
     names = np.unique(pdf.i.to_numpy())
     at = {int(e): k for k, e in enumerate(names)}
     lags = int(pdf.a.max()) + 1
-    g = np.zeros((len(names), lags, len(names), lags))
-    g[pdf.i.map(at), pdf.a, pdf.j.map(at), pdf.b] = pdf.v
-    return g, {"names": names, "lags": lags}
+    g, s = np.zeros((len(names), lags, len(names), lags)), np.zeros((len(names), lags))
+    mean, rest = pdf[pdf.j < 0], pdf[pdf.j >= 0]
+    g[rest.i.map(at), rest.a, rest.j.map(at), rest.b] = rest.v
+    s[mean.i.map(at), mean.a] = mean.v
+    bins = int(pdf.bins.iloc[0])
+    return g - s[:, :, None, None] * s / max(bins, 1), {"names": names, "bins": bins}
 
 
 def _residual(g: np.ndarray, yy: float, xy: np.ndarray) -> float:
@@ -72,7 +81,7 @@ def order_selection(df: DataFrame, width: int, most: int) -> DataFrame:
     def run(pdf: pd.DataFrame) -> pd.DataFrame:
         g, about = _gram(pdf)
         at = np.flatnonzero(about["names"] == pdf.top.iloc[0])
-        found = _orders(g, int(at[0]), int(pdf.bins.iloc[0])) if len(at) else []
+        found = _orders(g, int(at[0]), about["bins"]) if len(at) else []
         best = min(found, key=lambda x: (round(x[1], 9), x[0]), default=(0, 0))[0]
         return pd.DataFrame({"electrode": np.full(len(found), pdf.top.iloc[0], np.int32), "order": [p for p, _ in found], "bic": [b for _, b in found], "chosen": [int(p == best) for p, _ in found]})
 
@@ -82,13 +91,13 @@ def order_selection(df: DataFrame, width: int, most: int) -> DataFrame:
 def granger_significance(df: DataFrame, width: int, most: int, alpha: float) -> DataFrame:
     """(e1, e2, order, f_stat, p, q, significant): what the past of e1 adds to that of e2 in predicting e2, with the order that the busiest channel's criterion picks.
 
-    As in the classical test the models have no constant. q is the false discovery rate
-    over all pairs.
+    The models have a constant: counts have positive means, which without one any busy
+    channel would help to predict. q is the false discovery rate over all pairs.
     """
 
     def run(pdf: pd.DataFrame) -> pd.DataFrame:
         g, about = _gram(pdf)
-        names, bins = about["names"], int(pdf.bins.iloc[0])
+        names, bins = about["names"], about["bins"]
         busiest = int(np.argmax(pdf.groupby("i").events.first().to_numpy()))  # groups come in the order of the names
         found = _orders(g, busiest, bins)
         p = min(found, key=lambda x: (round(x[1], 9), x[0]), default=(0, 0))[0]
@@ -102,7 +111,7 @@ def granger_significance(df: DataFrame, width: int, most: int, alpha: float) ->
                 gram = np.block([[g[j, y, j, y], g[j, y, i, y]], [g[i, y, j, y], g[i, y, i, y]]])
                 full = _residual(gram, g[j, 0, j, 0], np.concatenate([g[j, 0, j, y], g[j, 0, i, y]]))
                 full = max(full, 1e-12 * g[j, 0, j, 0])  # a perfect prediction leaves rounding alone
-                below = bins - 2 * p
+                below = bins - 2 * p - 1
                 f = max(0.0, (restricted - full) / p / (full / below)) if below > 0 and full > 0 else 0.0
                 out.append((int(names[i]), int(names[j]), p, f, below if below > 0 and full > 0 else 0))
         return pd.DataFrame(out, columns=["e1", "e2", "order", "f", "below"])

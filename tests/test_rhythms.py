@@ -75,6 +75,7 @@ def test_lagged_products_over_chunks(spark, monkeypatch):
                     v = float(m[i, p - a : bins - a] @ m[j, p - b : bins - b])
                     if v:
                         want[i, a, j, b] = v
+    want |= {(i, a, -1, 0): m[i, p - a : bins - a].sum() for i in range(3) for a in range(p + 1)}
     assert {(r.i, r.a, r.j, r.b): r.v for r in got} == want and {r.bins for r in got} == {bins - p}
 
 
@@ -85,7 +86,8 @@ def test_order_and_granger_by_least_squares(spark):
     m, most = dense(rows, bins), 4
     df = make(spark, rows)
     lagged = lambda e, p: np.stack([m[e, most - k : bins - k] for k in range(1, p + 1)], 1)
-    rss = lambda x, y: float(((y - x @ np.linalg.lstsq(x, y, rcond=None)[0]) ** 2).sum())
+    one = lambda x: np.hstack([x, np.ones((len(x), 1))])
+    rss = lambda x, y: float(((y - one(x) @ np.linalg.lstsq(one(x), y, rcond=None)[0]) ** 2).sum())
     top = int(np.bincount([e for _, e in rows]).argmax())
     n = bins - most
     bic = {p: n * math.log(rss(lagged(top, p), m[top, most:]) / n) + p * math.log(n) for p in range(1, most + 1)}
@@ -96,5 +98,5 @@ def test_order_and_granger_by_least_squares(spark):
     for (i, j), r in out.items():
         y = m[j, most:]
         a, b = rss(lagged(j, p), y), rss(np.hstack([lagged(j, p), lagged(i, p)]), y)
-        assert r.f_stat == pytest.approx((a - b) / p / (b / (n - 2 * p)), abs=1e-5)
-    assert out[0, 1].significant == 1 and out[0, 1].p < 1e-6 and out[2, 1].p > out[0, 1].p
+        assert r.f_stat == pytest.approx((a - b) / p / (b / (n - 2 * p - 1)), abs=1e-5)
+    assert out[0, 1].significant == 1 and out[0, 1].p < 1e-6 and out[2, 1].p > 0.001
