@@ -93,31 +93,44 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
 ORACLE_SQL: dict[str, str] = {
     "op1_decontamination": r"""
 with w as (
-    select doc_id, list_filter(regexp_split_to_array(lower(text), '[^\p{L}\p{N}]+'), lambda x: x <> '') as words
-    from documents where text is not null),
+    select row_number() over () as r, doc_id, list_filter(regexp_split_to_array(lower(text), '[^\p{L}\p{N}]+'), lambda x: x <> '') as words
+    from (select distinct doc_id, text from documents where doc_id is not null and text is not null)),
 b as (
-    select item_id, list_filter(regexp_split_to_array(lower(text), '[^\p{L}\p{N}]+'), lambda x: x <> '') as words
-    from benchmark where text is not null),
-items as (select item_id, words, cast(len(words) as integer) as n_words from b where len(words) >= 5),
-ds as (select doc_id, len(words) as n, unnest(range(1, len(words) - 3)) as pos, words from w where len(words) >= 5),
-dsh as (select doc_id, n, pos, array_to_string(words[pos:pos + 4], ' ') as s from ds),
-bs as (select item_id, n_words, unnest(range(1, n_words - 3)) as spot, words from items),
-bsh as (select item_id, n_words, spot, array_to_string(words[spot:spot + 4], ' ') as s from bs),
-spots as (
-    select distinct d.doc_id, b.n_words, cast(greatest(0, least(d.pos - b.spot, d.n - b.n_words)) as integer) as start
-    from dsh d join bsh b on d.s = b.s where d.n >= b.n_words),
+    select distinct item_id, list_filter(regexp_split_to_array(lower(text), '[^\p{L}\p{N}]+'), lambda x: x <> '') as words
+    from benchmark where item_id is not null and text is not null),
+items as (select row_number() over () as i, item_id, words, len(words) as p, least(len(words), 5) as k from b where len(words) > 0),
+ds as (
+    select r, doc_id, n, k, pos, array_to_string(words[pos + 1:pos + k], ' ') as s
+    from (select r, doc_id, len(words) as n, k, words, unnest(range(0, len(words) - k + 1)) as pos
+          from w cross join (select distinct k from items) where len(words) >= k)),
+bs as (select i, p, k, array_to_string(words[spot + 1:spot + k], ' ') as s from (select i, p, k, words, unnest(range(0, p - k + 1)) as spot from items)),
+hits as (select distinct r, n, i, p, ds.k, pos, least(n, p) as l from ds join bs on ds.k = bs.k and ds.s = bs.s),
+laid as (select distinct r, i, p, k, l, unnest(range(greatest(0, pos - (l - k)), least(pos, n - l) + 1)) as start from hits),
 win as (
-    select p.doc_id, p.n_words, p.start, d.s, count(*) as c
-    from spots p join dsh d on d.doc_id = p.doc_id and d.pos > p.start and d.pos <= p.start + p.n_words - 4
-    group by all),
-ic as (select item_id, n_words, s, count(*) as c from bsh group by all),
-common as (
-    select w.doc_id, i.item_id, w.start, w.n_words, sum(least(w.c, i.c)) as m
-    from win w join ic i on i.n_words = w.n_words and i.s = w.s group by all),
-scored as (select *, m / (2 * (n_words - 4) - m) as similarity from common)
-select doc_id, item_id, start, n_words, round(similarity, 6) as similarity
+    select x.r, doc_id, i, p, x.k, l, start, s, count(*) as c
+    from (select *, unnest(range(start, start + l - k + 1)) as pos from laid) x join ds on ds.r = x.r and ds.k = x.k and ds.pos = x.pos group by all),
+ic as (select i, s, count(*) as c from bs group by all),
+common as (select r, doc_id, win.i, p, k, l, start, sum(least(win.c, ic.c)) as m from win join ic on ic.i = win.i and ic.s = win.s group by all),
+scored as (select doc_id, item_id, start, l, m / (l - common.k + 1 + common.p - common.k + 1 - m) as similarity from common join items using (i))
+select doc_id, item_id, cast(start as integer) as start, cast(l as integer) as n_words, round(similarity, 6) as similarity
 from scored where similarity >= 0.8
 qualify row_number() over (partition by doc_id, item_id order by similarity desc, start) = 1
+""",
+    "op2_ngram_jaccard_join": r"""
+with w as (
+    select row_number() over () as r, doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^ \t\n\x0B\x0C\r]+') as words from documents),
+sh as (
+    select r, doc_id, case when len(words) = 0 then [] when len(words) < 4 then [array_to_string(words, ' ')]
+           else list_distinct(list_transform(range(1, len(words) - 2), lambda i: array_to_string(words[i:i + 3], ' '))) end as s from w),
+cl as (select *, dense_rank() over (order by list_sort(s)) as c from sh),
+k as (select c, any_value(len(s)) as n, min(doc_id) as least from cl group by c),
+x as (select distinct c, unnest(s) as s from cl),
+pr as (select a.c as a, b.c as b, count(*) as m from x a join x b on a.s = b.s and a.c < b.c group by 1, 2),
+ln as (select a, b from pr join k p on p.c = a join k q on q.c = b where 100 * m >= 85 * (p.n + q.n - m)),
+e as (select a, b from ln union all select b, a from ln union all select c, c from k),
+rc as (with recursive t(c, l) as (select c, c from k union select t.c, e.b from t join e on e.a = t.l) select c, l from t),
+own as (select rc.c, min(k.least) as component_id from rc join k on k.c = rc.l group by 1)
+select doc_id, cast(len(s) as bigint) as n_shingles, case when len(s) = 0 then doc_id else component_id end as component_id from cl join own using (c)
 """,
     "op4_line_dedup": r"""
 with lines as (
