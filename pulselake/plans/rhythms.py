@@ -2,10 +2,11 @@
 
 from __future__ import annotations
 
-from ..operators import linear, waves
+from ..operators import linear, metastable, waves
 from .bursting import H, M
 from .nulls import ALPHA
 from .registry import dense_sql, register, rounded
+from .signals import PHASES
 
 BIN, LOW, HIGH, TAPS = 10 * M, 0.05, 0.4, 12
 SLOW = dict(width=BIN, low=LOW, high=HIGH, taps=TAPS, least=2, most=12)
@@ -42,3 +43,24 @@ select e as electrode, round(avg(rate_hz), 6) as mean_local_hz, round(max(rate_h
 )
 register("order_selection", lambda df: rounded(linear.order_selection(df, H, 6)))
 register("granger_significance", lambda df: linear.granger_significance(df, H, 6, ALPHA))
+COAL = f"""{PHASES}, nb as (select greatest(1, (dur + {H - 1}) // {H}) as k from d), pm as (select b, avg(c) as pc, avg(s) as ps from u group by 1),
+ce as (select b // 24 as win, e, round(avg((c * pc + s * ps) / greatest(sqrt(pc * pc + ps * ps), 1e-12)), 9) >= 0.3 as member from u join pm using (b) where b // 24 < (select greatest(k // 24, 1) from nb) group by 1, 2),
+cc as (select win, coalesce(sum(case when member then 1::bigint << e end), 0)::bigint as code, count(*) filter (member) as members from ce group by 1), co as (select code, members, count(*) as windows from cc group by 1, 2)"""
+register("coalitions", lambda df: metastable.coalitions(df, H, 24, 0.3), f"{COAL} select * from co")
+register(
+    "coalition_entropy", lambda df: metastable.coalition_entropy(df, H, 24, 0.3),
+    f"{COAL} select round(log2(sum(windows)) - sum(windows * log2(windows)) / sum(windows), 6) as entropy, count(*) as coalitions, cast(sum(windows) as bigint) as windows, round(sum(members * windows) / sum(windows), 6) as mean_members from co",
+)
+NET = f""", nb as (select greatest(1, (dur + {H - 1}) // {H}) as k from d), mc as (select g.mea, x.b, coalesce(c.n, 0) as n from (select distinct mea from s) g cross join (select unnest(range(0, (select k from nb))) as b) x
+left join (select mea, least(t // {H}, (select k from nb) - 1) as b, count(*) as n from s group by 1, 2) c on c.mea = g.mea and c.b = x.b), md as (select mea, quantile_cont(n, 0.5) as q from mc group by 1),
+ns as (select b, sum(case when n > q then 1 << mea else 0 end)::integer as state from mc join md using (mea) group by 1), tr as (select a.state as s, z.state as f, count(*) as n from ns a join ns z on z.b = a.b + 1 group by 1, 2)"""
+register("metastable_transitions", lambda df: metastable.metastable_transitions(df, H), f"{NET} select s, f, n, round(n / sum(n) over (partition by s), 6) as p from tr")
+register(
+    "metastable_dwell", lambda df: metastable.metastable_dwell(df, H),
+    f"{NET}, en as (select *, coalesce(lag(state) over (order by b) <> state, true) as entered from ns) select state, count(*) as visits, count(*) filter (entered) as runs, round(count(*) / count(*) filter (entered), 6) as mean_dwell from en group by 1",
+)
+register(
+    "metastable_summary", lambda df: metastable.metastable_summary(df, H),
+    f"""{NET}, j as (select log2(sum(n)) - sum(n * log2(n)) / sum(n) as j, sum(n) filter (s <> f) as changes from tr), h as (select log2(sum(n)) - sum(n * log2(n)) / sum(n) as h, count(*) as states from (select s, sum(n)::double as n from tr group by 1))
+select states, coalesce(changes, 0)::bigint as changes, round(h, 6) as entropy, round(j - h, 6) as entropy_rate, round(2 * h - j, 6) as memory from j cross join h""",
+)
