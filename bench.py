@@ -15,6 +15,8 @@ HEADLINE = [
     "ccg_counts", "stdp_pairs", "stim_trials", "cofiring_phi", "mi_pairs", "lagged_corr", "transfer_entropy", "evolution_windows", "dynamic_fc", "artifact_flags", "sequence_motifs",
     "cosinor_24h", "triad_census", "welch_psd", "granger", "hmm_updown", "composite_score", "report",
 ]
+#: Run once before the clock starts: one of each kind, built-in functions and Python workers.
+WARM_UP = ["firing_rates", "isi_stats", "welch_psd"]
 
 
 def main() -> None:
@@ -25,13 +27,15 @@ def main() -> None:
     cpus = int(os.environ.get("BENCH_CPUS", "8"))
     spark = local_session("bench", cores=cpus, shuffle_partitions=cpus, spark__ui__showConsoleProgress="false")
     spark.read.parquet(f"{sf_dir}/events.parquet").count()  # start the session and touch the file
+    for name in WARM_UP:  # code is compiled and workers are up; the measured runs still read and compute all
+        catalog.QUERIES[name](spark, sf_dir).write.format("noop").mode("overwrite").save()
     found: dict[str, float] = {}
     for name in HEADLINE:
         began = time.time()
         catalog.QUERIES[name](spark, sf_dir).write.format("noop").mode("overwrite").save()
         found[name] = round(time.time() - began, 3)
     spark.stop()
-    print(json.dumps({"metric": "total_seconds", "value": round(sum(found.values()), 3), "unit": "sec", "queries": found, "sf": sf_dir.rstrip("/").rsplit("sf", 1)[-1]}))
+    print(json.dumps({"metric": "total_seconds", "value": round(sum(found.values()), 3), "unit": "sec", "warm_up": WARM_UP, "queries": found, "sf": sf_dir.rstrip("/").rsplit("sf", 1)[-1]}))
 
 
 if __name__ == "__main__":

@@ -27,17 +27,23 @@ def mea_density(edges: DataFrame, nodes: DataFrame, per_mea: int = 8) -> DataFra
 
 
 def triad_census(edges: DataFrame, nodes: DataFrame) -> DataFrame:
-    """Triads with three, two (middle node smallest: star, else chain) and one edge; from degrees and wedges, not all triples."""
-    e = edges.select("e1", "e2")
-    b = e.select(F.col("e1").alias("e2"), F.col("e2").alias("e3"))
-    c = e.select(F.col("e1").alias("e1"), F.col("e2").alias("e3"))
-    tri = e.join(b, "e2").join(c, ["e1", "e3"]).agg(F.count(F.lit(1)).alias("triangle"))
-    up = edges.groupBy(F.col("e1").alias("x")).agg(F.count(F.lit(1)).alias("k"))
-    deg = node_degree(edges)
-    stars = up.agg(F.coalesce(F.sum(F.expr("k * (k - 1) div 2")), F.lit(0).cast("long")).alias("open_low"))
-    wedges = deg.agg(F.coalesce(F.sum(F.expr("degree * (degree - 1) div 2")), F.lit(0).cast("long")).alias("wedges"))
-    base = nodes.select("electrode").distinct().agg(F.count(F.lit(1)).alias("n")).join(edges.agg(F.count(F.lit(1)).alias("m")))
-    x = tri.join(stars).join(wedges).join(base)
+    """Triads with three, two (middle node smallest: star, else chain) and one edge; from degrees and wedges, not all triples.
+
+    The edge table, channels squared at most, is computed once and becomes one row;
+    each edge then looks up the neighbours of its ends in it.
+    """
+    every = edges.agg(F.collect_list(F.struct("e1", "e2")).alias("all"))
+    x = every.select("all", F.explode("all").alias("e"))
+    others = lambda end: F.transform(F.filter("all", lambda y: (y["e1"] == F.col(end)) | (y["e2"] == F.col(end))), lambda y: y["e1"] + y["e2"] - F.col(end))
+    x = x.withColumn("a", others("e.e1")).withColumn("b", others("e.e2"))
+    rising = F.size(F.filter("all", lambda y: y["e1"] == F.col("e.e1")))
+    zero = lambda c: F.coalesce(F.sum(c), F.lit(0)).cast("long")
+    # a triangle is met by its three edges, a wedge by its two
+    t = x.agg(
+        (zero(F.size(F.array_intersect("a", "b"))) / 3).cast("long").alias("triangle"), (zero(rising - 1) / 2).cast("long").alias("open_low"), (zero(F.size("a") + F.size("b") - 2) / 2).cast("long").alias("wedges"),
+        F.count(F.lit(1)).alias("m"),
+    )
+    x = t.join(nodes.select("electrode").distinct().agg(F.count(F.lit(1)).alias("n")))
     star, chain = F.col("open_low") - F.col("triangle"), F.col("wedges") - F.col("open_low") - 2 * F.col("triangle")
     single = F.col("m") * (F.col("n") - 2) - 2 * (star + chain) - 3 * F.col("triangle")
     return x.select("triangle", chain.alias("chain"), star.alias("star"), single.alias("single_edge"), r6(over(F.col("m") * 2, F.col("n") * (F.col("n") - 1))).alias("density"))

@@ -27,12 +27,13 @@ def intervals(df: DataFrame) -> DataFrame:
 
 def isi_stats(df: DataFrame, refractory: int) -> DataFrame:
     x = intervals(df).withColumn("s", F.col("isi") / 1e6)
-    p = lambda q: r6(F.expr(f"percentile(s, {q})"))
     sd, mean = F.stddev_pop("s"), F.avg("s")
-    return x.groupBy("electrode").agg(
-        F.count(F.lit(1)).alias("n_intervals"), r6(mean).alias("mean_s"), p(0.5).alias("median_s"), r6(sd).alias("std_s"), r6(sd / mean).alias("cv"),
-        r6(F.min("s")).alias("min_s"), r6(F.max("s")).alias("max_s"), p(0.05).alias("p5_s"), p(0.95).alias("p95_s"), F.count_if(F.col("isi") < refractory).alias("violations"),
+    y = x.groupBy("electrode").agg(
+        F.count(F.lit(1)).alias("n_intervals"), r6(mean).alias("mean_s"), r6(sd).alias("std_s"), r6(sd / mean).alias("cv"), r6(F.min("s")).alias("min_s"), r6(F.max("s")).alias("max_s"),
+        F.expr("percentile(s, array(0.05, 0.5, 0.95))").alias("q"), F.count_if(F.col("isi") < refractory).alias("violations"),
     )
+    p = lambda i: r6(F.get("q", F.lit(i)))  # noqa: E731  one buffer of values for all three
+    return y.select("electrode", "n_intervals", "mean_s", p(1).alias("median_s"), "std_s", "cv", "min_s", "max_s", p(0).alias("p5_s"), p(2).alias("p95_s"), "violations")
 
 
 def isi_histogram(df: DataFrame, per_decade: int = 10) -> DataFrame:
@@ -43,13 +44,13 @@ def isi_histogram(df: DataFrame, per_decade: int = 10) -> DataFrame:
 
 def amplitude_stats(df: DataFrame) -> DataFrame:
     """Mean, deviation, median, median absolute deviation, range and tails of the amplitudes."""
-    med = df.groupBy("electrode").agg(F.expr("percentile(amplitude, 0.5)").alias("med"))
-    x = df.join(F.broadcast(med), "electrode").withColumn("dev", F.abs(F.col("amplitude") - F.col("med")))
-    p = lambda c, q: r6(F.expr(f"percentile({c}, {q})"))
-    return x.groupBy("electrode").agg(
-        F.count(F.lit(1)).alias("n"), r6(F.avg("amplitude")).alias("mean"), r6(F.stddev_pop("amplitude")).alias("std"), p("amplitude", 0.5).alias("median"), p("dev", 0.5).alias("mad"),
-        r6(F.min("amplitude")).alias("min"), r6(F.max("amplitude")).alias("max"), p("amplitude", 0.1).alias("p10"), p("amplitude", 0.9).alias("p90"),
+    own = df.groupBy("electrode").agg(
+        F.count(F.lit(1)).alias("n"), r6(F.avg("amplitude")).alias("mean"), r6(F.stddev_pop("amplitude")).alias("std"), F.expr("percentile(amplitude, array(0.1, 0.5, 0.9))").alias("q"),
+        r6(F.min("amplitude")).alias("min"), r6(F.max("amplitude")).alias("max"),
     )
+    p = lambda i: F.get("q", F.lit(i))  # noqa: E731  one buffer of values for all three
+    far = df.join(F.broadcast(own.select("electrode", p(1).alias("med"))), "electrode").groupBy("electrode").agg(r6(F.expr("percentile(abs(amplitude - med), 0.5)")).alias("mad"))
+    return own.join(far, "electrode").select("electrode", "n", "mean", "std", r6(p(1)).alias("median"), "mad", "min", "max", r6(p(0)).alias("p10"), r6(p(2)).alias("p90"))
 
 
 def amplitude_histogram(df: DataFrame, buckets: int = 50) -> DataFrame:
