@@ -40,7 +40,7 @@ def recurrent_processing(df: DataFrame, width: int) -> DataFrame:
 def burst_probability(df: DataFrame, begin: int, end: int, gap: int, horizon: int) -> DataFrame:
     """Chance of a burst within ``horizon`` from the mean time between bursts; overdue recordings weigh half as much again."""
     b = bursts_max_interval(df, begin, end, gap, 3, 0)
-    m = b.agg(F.count(F.lit(1)).alias("bursts"), ((F.max("start_us") - F.min("start_us")) / (F.count(F.lit(1)) - 1)).alias("mean"), F.max("start_us").alias("last")).where("bursts >= 2")
+    m = b.agg(F.count(F.lit(1)).alias("bursts"), over(F.max("start_us") - F.min("start_us"), F.count(F.lit(1)) - 1).alias("mean"), F.max("start_us").alias("last")).where("bursts >= 2")
     x = m.join(span(df).select("dur")).withColumn("p", 1 - F.exp(-horizon / F.col("mean")))
     late = F.col("dur") - F.col("last") > F.col("mean")
     return x.select("bursts", F.round(F.col("mean") / 1e6, 3).alias("mean_wait_s"), r6(F.least(F.lit(0.95), F.when(late, F.col("p") * 1.5).otherwise(F.col("p")))).alias("probability"))

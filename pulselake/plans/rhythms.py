@@ -12,7 +12,7 @@ BIN, LOW, HIGH, TAPS = 10 * M, 0.05, 0.4, 12
 SLOW = dict(width=BIN, low=LOW, high=HIGH, taps=TAPS, least=2, most=12)
 BANDS = {"slow": (1, 6), "delta": (7, 20), "theta": (21, 32)}
 HALF_WAVES = f""", nb as (select greatest(1, (dur + {BIN - 1}) // {BIN}) as k from d), c as (select least(t // {BIN}, (select k from nb) - 1) as b, count(*) as n from s group by 1),
-ker as (select unnest({waves.band_kernel(LOW, HIGH, TAPS)}) as h, unnest(range({-TAPS}, {TAPS + 1})) as step), fy as (select b + step as b, sum(n * h) as y from c cross join ker group by 1),
+ker as (select unnest({waves.band_kernel(LOW, HIGH, TAPS)}::double[]) as h, unnest(range({-TAPS}, {TAPS + 1})) as step), fy as (select b + step as b, sum(n * h) as y from c cross join ker group by 1),
 y as (select g.b, round(coalesce(fy.y, 0), 9) as y from (select unnest(range(0, (select k from nb))) as b) g left join fy using (b)),
 w as (select *, sum(turn) over (order by b rows unbounded preceding) as wave from (select *, cast(y > 0 as integer) as up, case when lag(y > 0) over (order by b) = (y > 0) then 0 else 1 end as turn from y)),
 hw as (select min(b) as start_bin, max(up) as positive, count(*) as bins, arg_max(y, (abs(y), -b)) as peak, arg_max(b, (abs(y), -b)) as pb from w group by wave having count(*) between 2 and 12)"""
