@@ -12,6 +12,7 @@ import pandas as pd
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..session import ship
 from .grid import binned, r6
 from .significance import variance_ratio_p
 
@@ -42,6 +43,7 @@ def lagged_products(df: DataFrame, width: int, order: int) -> DataFrame:
         i, a, j, b = (np.concatenate(x) for x in ((names[p % e], names[k % e]), (p // e, k // e), (names[q % e], np.full(len(k), -1)), (q // e, np.zeros_like(k))))
         return pd.DataFrame({"i": i, "a": a, "j": j, "b": b, "v": np.concatenate([g[p, q], sums]), "bins": total - order})
 
+    ship(df.sparkSession)
     parts = x.groupBy("chunk").applyInPandas(run, "i int, a int, j int, b int, v double, bins long")
     return parts.groupBy("i", "a", "j", "b").agg(F.sum("v").alias("v"), F.first("bins").alias("bins"))
 

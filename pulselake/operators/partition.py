@@ -14,6 +14,7 @@ import pandas as pd
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..session import ship
 from .grid import binned, dense_counts, n_bins, r6
 from .pairs import transitions
 from .surrogates import draw, replicates, verdict
@@ -68,6 +69,7 @@ def all_information(t: DataFrame, keys: str) -> DataFrame:
             mi.append(_entropy(np.bincount(a, n)) + _entropy(np.bincount(b, n)) - _entropy(joint))
         return pd.DataFrame({**dict(zip(names, key, strict=True)), "mask": np.arange(1, size, dtype=np.int32), "mi": mi})
 
+    ship(t.sparkSession)
     return t.groupBy(*names).applyInPandas(run, f"{keys}, mask int, mi double")
 
 
