@@ -5,12 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .grid import binned, dense_counts, n_bins, r6, running_sum, with_previous
-
-
-def _islands(df: DataFrame, limit: int, *by: str) -> DataFrame:
-    """Island number of each event: a new one wherever the interval reaches ``limit``."""
-    return running_sum(with_previous(df, *by), F.when((F.col("t_us") - F.col("prev_us")) < limit, 0).otherwise(1), "island", *by)
+from .grid import binned, dense_counts, n_bins, r6, running_sums, with_previous
 
 
 def bursts_max_interval(df: DataFrame, begin: int, end: int, gap: int, min_spikes: int, min_duration: int, *by: str) -> DataFrame:
@@ -20,16 +15,14 @@ def bursts_max_interval(df: DataFrame, begin: int, end: int, gap: int, min_spike
     ``begin`` and reaches as far as intervals stay below ``end``; bursts with a gap
     below ``gap`` merge; short ones go. Ordered scans are stitched from chunks.
     """
-    reach = max(begin, end)
-    x = _islands(df, reach, *by)
-    core = running_sum(x, F.when((F.col("t_us") - F.col("prev_us")) < begin, 0).otherwise(1), "core", *by)
-    cores = core.groupBy(*by, "island", "core").agg(F.count(F.lit(1)).alias("k"), F.min("t_us").alias("a"), F.max("t_us").alias("b"))
-    held = cores.where(F.col("k") >= min_spikes)
-    if end >= begin:
-        own = x.groupBy(*by, "island").agg(F.min("t_us").alias("start_us"), F.max("t_us").alias("end_us"))
-        found = own.join(held.select(*by, "island").distinct(), [*by, "island"], "left_semi")
+    step = F.col("t_us") - F.col("prev_us")
+    breaks = lambda limit: F.when(step < limit, 0).otherwise(1)
+    marked = running_sums(with_previous(df, *by), {"island": breaks(max(begin, end)), "core": breaks(begin)}, *by)
+    cores = marked.groupBy(*by, "island", "core").agg(F.count(F.lit(1)).alias("k"), F.min("t_us").alias("a"), F.max("t_us").alias("b"))
+    if end >= begin:  # an island is made of its cores
+        found = cores.groupBy(*by, "island").agg(F.min("a").alias("start_us"), F.max("b").alias("end_us"), F.max("k").alias("k")).where(F.col("k") >= min_spikes).drop("k")
     else:
-        found = held.select(*by, F.col("a").alias("start_us"), F.col("b").alias("end_us"))
+        found = cores.where(F.col("k") >= min_spikes).select(*by, F.col("a").alias("start_us"), F.col("b").alias("end_us"))
     order = Window.partitionBy(*by).orderBy("start_us")  # bursts, far fewer than events
     new = F.when(F.col("start_us") - F.lag("end_us").over(order) < gap, 0).otherwise(1)
     merged = found.withColumn("new", new).withColumn("m", F.sum("new").over(order.rowsBetween(Window.unboundedPreceding, 0)))

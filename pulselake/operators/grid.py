@@ -71,15 +71,21 @@ def with_previous(df: DataFrame, *by: str) -> DataFrame:
     return previous(df, "t_us", "prev_us", *by)
 
 
-def running_sum(df: DataFrame, value: Column, name: str, *by: str) -> DataFrame:
-    """Running sum in time order, within the keys or over all, in stitched chunks."""
+def running_sums(df: DataFrame, values: dict[str, Column], *by: str) -> DataFrame:
+    """Running sum of each named value in time order, within the keys or over all, in stitched chunks and one scan."""
     keys = [*by, "__chunk"]
-    cut = df.withColumn("__chunk", F.expr(f"t_us div {CHUNK_US}")).withColumn("__v", value)
-    sums = cut.groupBy(*keys).agg(F.sum("__v").alias("__s"))
+    cut = df.withColumn("__chunk", F.expr(f"t_us div {CHUNK_US}")).withColumns({f"__v_{k}": v for k, v in values.items()})
+    sums = cut.groupBy(*keys).agg(*[F.sum(f"__v_{k}").alias(f"__s_{k}") for k in values])
     earlier = Window.partitionBy(*by).orderBy("__chunk").rowsBetween(Window.unboundedPreceding, -1)
-    before = sums.select(*keys, F.coalesce(F.sum("__s").over(earlier), F.lit(0)).alias("__b"))
-    own = cut.withColumn(name, F.sum("__v").over(Window.partitionBy(*keys).orderBy("t_us", "spike_id").rowsBetween(Window.unboundedPreceding, 0)))
-    return own.join(before, keys).withColumn(name, F.col(name) + F.col("__b")).drop("__chunk", "__v", "__b")
+    before = sums.select(*keys, *[F.coalesce(F.sum(f"__s_{k}").over(earlier), F.lit(0)).alias(f"__b_{k}") for k in values])
+    upto = Window.partitionBy(*keys).orderBy("t_us", "spike_id").rowsBetween(Window.unboundedPreceding, 0)
+    own = cut.withColumns({k: F.sum(f"__v_{k}").over(upto) for k in values})
+    return own.join(before, keys).withColumns({k: F.col(k) + F.col(f"__b_{k}") for k in values}).drop("__chunk", *[f"__{x}_{k}" for k in values for x in "vb"])
+
+
+def running_sum(df: DataFrame, value: Column, name: str, *by: str) -> DataFrame:
+    """Running sum in time order, within the keys or over all, in stitched chunks."""
+    return running_sums(df, {name: value}, *by)
 
 
 def runs(df: DataFrame, flag: Column, order: str, *by: str) -> DataFrame:
