@@ -100,3 +100,28 @@ def test_order_and_granger_by_least_squares(spark):
         a, b = rss(lagged(j, p), y), rss(np.hstack([lagged(j, p), lagged(i, p)]), y)
         assert r.f_stat == pytest.approx((a - b) / p / (b / (n - 2 * p - 1)), abs=1e-5)
     assert out[0, 1].significant == 1 and out[0, 1].p < 1e-6 and out[2, 1].p > 0.001
+
+
+def test_coalition_of_channels_in_phase(spark):
+    """Two channels share a rhythm, a third keeps its own."""
+    from pulselake.operators import metastable
+
+    rng = np.random.default_rng(11)
+    beat = [6 + round(5 * math.sin(2 * math.pi * b / 12)) for b in range(240)]
+    x = [beat, beat, rng.integers(0, 3, 240).tolist()]
+    got = metastable.coalitions(make(spark, counts_to_rows(x)), S, 48, 0.6).collect()
+    assert sum(r.windows for r in got) == 5 and all(r.code & 3 == 3 for r in got)
+    assert max(got, key=lambda r: r.windows).code == 3
+
+
+def test_network_states_by_hand(spark):
+    """Group 0 is busy in even pairs of bins, group 1 in odd ones: two states of two bins each."""
+    from pulselake.operators import metastable
+
+    rows = [(b * S + k, 0 if b // 2 % 2 == 0 else 8) for b in range(40) for k in range(3)] + [(b * S + 9, e) for b in range(40) for e in (0, 8)] + [(40 * S - 1, 8)]
+    df = make(spark, rows)
+    dwell = {r.state: (r.visits, r.runs, r.mean_dwell) for r in metastable.metastable_dwell(df, S).collect()}
+    assert dwell == {1: (20, 10, 2.0), 2: (20, 10, 2.0)}
+    steps = {(r.s, r.f): r.n for r in metastable.metastable_transitions(df, S).collect()}
+    assert steps == {(1, 1): 10, (1, 2): 10, (2, 2): 10, (2, 1): 9}
+    assert metastable.metastable_summary(df, S).first().changes == 19
