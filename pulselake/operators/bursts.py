@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .grid import binned, dense_counts, n_bins, r6, running_sums, with_previous
+from .grid import binned, corr, dense_counts, n_bins, r6, running_sums, with_previous
 
 
 def bursts_max_interval(df: DataFrame, begin: int, end: int, gap: int, min_spikes: int, min_duration: int, *by: str) -> DataFrame:
@@ -130,7 +130,7 @@ def avalanche_scaling(df: DataFrame, width: int, least: int = 3) -> DataFrame:
     """Slope of log mean size against log duration, over durations with enough avalanches."""
     x = avalanches(df, width).groupBy("duration").agg(F.count(F.lit(1)).alias("n"), F.avg("size").alias("m")).where(F.col("n") >= least)
     d, m = F.log(F.col("duration").cast("double")), F.log("m")
-    return x.agg(F.count(F.lit(1)).alias("points"), r6(F.regr_slope(m, d)).alias("gamma"), r6(F.pow(F.corr(m, d), 2)).alias("r2"))
+    return x.agg(F.count(F.lit(1)).alias("points"), r6(F.regr_slope(m, d)).alias("gamma"), r6(F.pow(corr(m, d), 2)).alias("r2"))
 
 
 def powerlaw_mle(df: DataFrame, width: int, least: int = 30) -> DataFrame:
@@ -176,4 +176,4 @@ def sleep_pressure(df: DataFrame, width: int, per_window: int) -> DataFrame:
     x = updown_states(df, width).withColumn("win", F.expr(f"bin div {per_window}")).groupBy("win").agg(F.count(F.lit(1)).alias("k"), F.avg(F.col("up").cast("int")).alias("up")).where(F.col("k") == per_window)
     order = Window.orderBy("win")
     y = x.withColumn("run", F.sum("up").over(order.rowsBetween(Window.unboundedPreceding, 0))).withColumn("down", 1 - F.lead("up").over(order)).where("down is not null")
-    return y.agg(F.count(F.lit(1)).alias("windows"), r6(F.corr("run", "down")).alias("r"))
+    return y.agg(F.count(F.lit(1)).alias("windows"), r6(corr("run", "down")).alias("r"))

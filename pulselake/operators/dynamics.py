@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 
 from .bursts import network_bursts
 from .evolution import evolution_windows, window_correlations
-from .grid import dense_counts, n_bins, over, r6, with_previous
+from .grid import corr, dense_counts, n_bins, over, r6, with_previous
 from .pairs import states, transfer_entropy
 
 
@@ -37,7 +37,7 @@ def trends(df: DataFrame, **evolution) -> DataFrame:
     """Slope per window and explained share of each metric over the sliding windows."""
     names = ["rate", "complexity", "synchrony"]
     long = evolution_windows(df, **evolution).unpivot("win", names, "metric", "value")
-    return long.groupBy("metric").agg(F.count(F.lit(1)).alias("windows"), F.round(F.regr_slope("value", F.col("win")) * 1000, 6).alias("slope_e3"), r6(F.pow(F.corr("value", "win"), 2)).alias("r2"))
+    return long.groupBy("metric").agg(F.count(F.lit(1)).alias("windows"), F.round(F.regr_slope("value", F.col("win")) * 1000, 6).alias("slope_e3"), r6(F.pow(corr("value", "win"), 2)).alias("r2"))
 
 
 def multiscale_states(df: DataFrame, widths: list[int]) -> DataFrame:
@@ -85,7 +85,7 @@ def forgetting(df: DataFrame, windows: int, width: int) -> DataFrame:
     """Distance (1 - cosine) of the absolute pair correlations of each two of ``windows`` equal windows."""
     x = dense_counts(df, width, "electrode").join(F.broadcast(n_bins(df, width))).withColumn("win", F.expr(f"(bin * {windows}) div n_bins"))
     a, b = x.select("win", "bin", F.col("electrode").alias("e1"), F.col("n").alias("x")), x.select(F.col("win").alias("win"), F.col("bin").alias("bin"), F.col("electrode").alias("e2"), F.col("n").alias("y"))
-    r = a.join(b, ["win", "bin"]).where("e1 < e2").groupBy("win", "e1", "e2").agg(F.coalesce(F.abs(F.corr("x", "y")), F.lit(0.0)).alias("r"))
+    r = a.join(b, ["win", "bin"]).where("e1 < e2").groupBy("win", "e1", "e2").agg(F.coalesce(F.abs(corr("x", "y")), F.lit(0.0)).alias("r"))
     p, q = r.select(F.col("win").alias("a"), "e1", "e2", F.col("r").alias("x")), r.select(F.col("win").alias("b"), F.col("e1").alias("e1"), F.col("e2").alias("e2"), F.col("r").alias("y"))
     cos = over(F.sum(F.col("x") * F.col("y")), F.sqrt(F.sum(F.col("x") * F.col("x")) * F.sum(F.col("y") * F.col("y"))))
     return p.join(q, ["e1", "e2"]).where("a < b").groupBy("a", "b").agg(r6(F.when(cos.isNotNull(), F.greatest(F.lit(0.0), F.least(F.lit(1.0), 1 - cos)))).alias("distance"))
@@ -229,4 +229,4 @@ def representational_similarity(df: DataFrame, length: int, step: int, width: in
     """Correlation, over channel pairs, of the pair correlations of neighbouring windows."""
     r = window_correlations(df, length, step, width).select("win", "e1", "e2", F.coalesce("r", F.lit(0.0)).alias("r"))
     nxt = r.select((F.col("win") - 1).alias("win"), F.col("e1").alias("e1"), F.col("e2").alias("e2"), F.col("r").alias("s"))
-    return r.join(nxt, ["win", "e1", "e2"]).groupBy("win").agg(r6(F.corr("r", "s")).alias("similarity"))
+    return r.join(nxt, ["win", "e1", "e2"]).groupBy("win").agg(r6(corr("r", "s")).alias("similarity"))

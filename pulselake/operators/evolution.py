@@ -7,7 +7,7 @@ import math
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .grid import binned, dense_counts, n_bins, over, pairs_within, r6, windows, with_previous
+from .grid import binned, corr, dense_counts, n_bins, over, pairs_within, r6, windows, with_previous
 
 
 def nearest_others(df: DataFrame, reach: int) -> DataFrame:
@@ -68,7 +68,7 @@ def window_correlations(df: DataFrame, length: int, step: int, width: int, chann
     first = F.greatest(F.lit(0).cast("long"), F.expr(f"(bin - {per - 1} + {hop - 1}) div {hop}"))
     y = x.join(full).withColumn("a", first).withColumn("b", F.least(F.expr(f"bin div {hop}"), F.col("last"))).where("a <= b").withColumn("win", F.explode(F.sequence("a", "b")))
     p, q = y.select("win", "bin", F.col("electrode").alias("e1"), F.col("n").alias("x")), y.select("win", F.col("bin").alias("bin"), F.col("electrode").alias("e2"), F.col("n").alias("y"))
-    return p.join(q, ["win", "bin"]).where("e1 < e2").groupBy("win", "e1", "e2").agg(F.corr("x", "y").alias("r"))
+    return p.join(q, ["win", "bin"]).where("e1 < e2").groupBy("win", "e1", "e2").agg(corr("x", "y").alias("r"))
 
 
 def dynamic_fc(df: DataFrame, **p) -> DataFrame:

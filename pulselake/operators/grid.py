@@ -22,6 +22,13 @@ def over(a: Column | str, b: Column | str) -> Column:
     return F.try_divide(F.col(a) if isinstance(a, str) else a, F.col(b) if isinstance(b, str) else b)
 
 
+def corr(x: Column | str, y: Column | str) -> Column:
+    """Correlation over the rows where both are given, and null where either is constant, on which Spark's own fails."""
+    x, y = (F.col(c) if isinstance(c, str) else c for c in (x, y))
+    x, y = F.when(y.isNotNull(), x), F.when(x.isNotNull(), y)
+    return over(F.covar_pop(x, y), F.stddev_pop(x) * F.stddev_pop(y))
+
+
 def span(df: DataFrame) -> DataFrame:
     """One row: duration (last time), number of events, number of channels."""
     return df.agg(F.max("t_us").alias("dur"), F.count(F.lit(1)).alias("n_all"), F.countDistinct("electrode").alias("n_e"))

@@ -6,7 +6,7 @@ import numpy as np
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .grid import dense_counts, n_bins, over, pairs_within, r6
+from .grid import corr, dense_counts, n_bins, over, pairs_within, r6
 from .signal import whole_matrix
 
 
@@ -84,7 +84,7 @@ def retention_curve(df: DataFrame, windows: int, width: int) -> DataFrame:
     """Similarity of each window's pair correlations to those of the first."""
     x = dense_counts(df, width, "electrode").join(F.broadcast(n_bins(df, width))).withColumn("win", F.expr(f"(bin * {windows}) div n_bins"))
     a, b = x.select("win", "bin", F.col("electrode").alias("e1"), F.col("n").alias("x")), x.select(F.col("win").alias("win"), F.col("bin").alias("bin"), F.col("electrode").alias("e2"), F.col("n").alias("y"))
-    r = a.join(b, ["win", "bin"]).where("e1 < e2").groupBy("win", "e1", "e2").agg(F.coalesce(F.abs(F.corr("x", "y")), F.lit(0.0)).alias("r"))
+    r = a.join(b, ["win", "bin"]).where("e1 < e2").groupBy("win", "e1", "e2").agg(F.coalesce(F.abs(corr("x", "y")), F.lit(0.0)).alias("r"))
     first = r.where("win = 0").select(F.col("e1").alias("e1"), F.col("e2").alias("e2"), F.col("r").alias("r0"))
     cos = over(F.sum(F.col("r") * F.col("r0")), F.sqrt(F.sum(F.col("r") * F.col("r")) * F.sum(F.col("r0") * F.col("r0"))))
     return r.join(F.broadcast(first), ["e1", "e2"]).groupBy("win").agg(r6(cos).alias("retention"))

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .grid import dense_counts, over, previous, r6, span, with_previous
+from .grid import corr, dense_counts, over, previous, r6, span, with_previous
 
 
 def firing_rates(df: DataFrame, width: int) -> DataFrame:
@@ -108,7 +108,7 @@ def temporal_trend(df: DataFrame, width: int) -> DataFrame:
     """Linear trend and variation of the population rate."""
     x = dense_counts(df, width).withColumn("rate", F.col("n") / (width / 1e6)).withColumn("mid", (F.col("bin") + 0.5) * (width / 1e6))
     return x.agg(
-        F.round(F.regr_slope("rate", "mid") * 1e6, 6).alias("slope_per_ms"), r6(F.pow(F.corr("rate", "mid"), 2)).alias("r2"), r6(over(F.stddev_pop("rate"), F.avg("rate"))).alias("cv"), r6(F.avg("n")).alias("mean_n")
+        F.round(F.regr_slope("rate", "mid") * 1e6, 6).alias("slope_per_ms"), r6(F.pow(corr("rate", "mid"), 2)).alias("r2"), r6(over(F.stddev_pop("rate"), F.avg("rate"))).alias("cv"), r6(F.avg("n")).alias("mean_n")
     )
 
 
@@ -199,7 +199,7 @@ def block_correlation(df: DataFrame, width: int) -> DataFrame:
     """Correlation of the binned rates of each pair of blocks."""
     x = dense_counts(df, width, "mea")
     a, b = x.select(F.col("mea").alias("a"), "bin", F.col("n").alias("x")), x.select(F.col("mea").alias("b"), F.col("bin").alias("bin"), F.col("n").alias("y"))
-    return a.join(b, "bin").where("a < b").groupBy("a", "b").agg(r6(F.corr("x", "y")).alias("r"))
+    return a.join(b, "bin").where("a < b").groupBy("a", "b").agg(r6(corr("x", "y")).alias("r"))
 
 
 def tracker_delta(df: DataFrame) -> DataFrame:

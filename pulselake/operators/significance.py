@@ -11,7 +11,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from .bursts import avalanches, powerlaw_mle
-from .grid import dense_counts, n_bins, r6
+from .grid import corr, dense_counts, n_bins, r6
 from .structure import powerlaw_tests
 from .surrogates import draw, replicates
 
@@ -105,7 +105,7 @@ def prediction_errors(df: DataFrame, width: int, history: int, bits: int = 5) ->
 
 def _error_correlations(df: DataFrame, width: int, history: int) -> DataFrame:
     x = dense_counts(df, width, "electrode").join(prediction_errors(df, width, history), "bin")
-    c = x.groupBy("electrode").agg(F.corr("n", "error").alias("r"), F.count(F.lit(1)).alias("k"), F.stddev_pop("n").alias("sn"), F.stddev_pop("error").alias("se"))
+    c = x.groupBy("electrode").agg(corr("n", "error").alias("r"), F.count(F.lit(1)).alias("k"), F.stddev_pop("n").alias("sn"), F.stddev_pop("error").alias("se"))
     return c.where("sn > 1e-10 and se > 1e-10 and k > 2").select("electrode", "r", "k", correlation_p(F.col("r"), F.col("k")).alias("p"))
 
 
