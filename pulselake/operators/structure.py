@@ -129,7 +129,7 @@ def powerlaw_tests(df: DataFrame, width: int) -> DataFrame:
     for name, d, ddof in (("exponential", "d1", 0), ("lognormal", "d2", 1)):
         total, squares = F.sum(F.col("n") * F.col(d)), F.sum(F.col("n") * F.col(d) * F.col(d))
         sd = F.sqrt((squares - total * total / n) / (n - ddof))
-        out.append(y.agg(n.alias("tail"), F.round(total, 4).alias("ratio"), F.round(total / (sd * F.sqrt(n)), 4).alias("z")).select(F.lit(name).alias("alternative"), "tail", "ratio", "z"))
+        out.append(y.agg(F.coalesce(n, F.lit(0).cast("long")).alias("tail"), F.round(total, 4).alias("ratio"), F.round(total / (sd * F.sqrt(n)), 4).alias("z")).select(F.lit(name).alias("alternative"), "tail", "ratio", "z"))
     return out[0].unionByName(out[1])
 
 

@@ -41,3 +41,9 @@ def test_constant_series_have_no_correlation(spark, steady, name):
 def test_channels_that_fill_every_bin(spark, steady):
     got, want = both(spark, steady, "cofiring_phi")
     assert got == want and len(got) == 6
+
+
+@pytest.mark.parametrize("name", ["powerlaw_tests", "powerlaw_pvalues"])
+def test_one_avalanche_has_an_empty_tail(spark, steady, name):
+    got, want = both(spark, steady, name)
+    assert got == want and "0" in got[0]
