@@ -6,7 +6,9 @@ import numpy as np
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .grid import corr, dense_counts, n_bins, over, pairs_within, r6
+from .grid import corr, dense_counts, n_bins, over, r6, windows
+from .lags import lag_sums
+from .pairs import sign_edges
 from .signal import whole_matrix
 
 
@@ -15,15 +17,9 @@ def learning_episodes(df: DataFrame, length: int, step: int, reach: int, bar: fl
 
     A pair of events counts in the windows that hold both.
     """
-    x = df.select("electrode", "t_us")
-    p = pairs_within(x, x, reach).where("a.electrode < b.electrode").select(F.col("a.electrode").alias("e1"), F.col("b.electrode").alias("e2"), F.col("a.t_us").alias("t1"), F.col("b.t_us").alias("t2"))
-    one = F.broadcast(df.agg(F.max("t_us").alias("dur")))
-    lo, hi = F.least("t1", "t2"), F.greatest("t1", "t2")
-    p = p.join(one).where(F.col("dur") >= length).withColumn("lo", lo).withColumn("hi", hi)
-    first = F.greatest(F.lit(0).cast("long"), F.expr(f"(hi - {length} + {step - 1}) div {step}"))
-    last = F.least(F.expr(f"lo div {step}"), F.expr(f"(dur - {length}) div {step}"))
-    w = p.withColumn("a", first).withColumn("b", last).where("a <= b").withColumn("win", F.explode(F.sequence("a", "b")))
-    sums = w.groupBy("win", "e1", "e2").agg(F.count_if(F.col("t2") > F.col("t1")).alias("lead"), F.count_if(F.col("t2") < F.col("t1")).alias("trail"))
+    x = windows(df.select("electrode", "t_us"), length, step)
+    n = {k: F.coalesce(F.sum(F.when(F.col("part") == k, F.col("n"))), F.lit(0)) for k in (0, 2)}
+    sums = lag_sums(x, x, reach, sign_edges(reach), grp=F.col("win")).where("e1 < e2").groupBy(F.col("grp").alias("win"), "e1", "e2").agg(n[2].alias("lead"), n[0].alias("trail"))
     s = sums.groupBy("win").agg(F.count(F.lit(1)).alias("pairs"), F.avg(F.abs((F.col("lead") - F.col("trail")) / F.greatest(F.col("lead") + F.col("trail"), F.lit(1)))).alias("a"))
     change = F.col("a") - F.lag("a").over(Window.orderBy("win"))
     y = s.withColumn("change", change)

@@ -12,8 +12,9 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .grid import binned, dense_counts, n_bins, pairs_within, r6
-from .pairs import digitised, entropy_of
+from .grid import binned, dense_counts, n_bins, r6
+from .lags import lag_sums
+from .pairs import bin_edges, digitised, entropy_of
 from .signal import phases
 
 
@@ -112,10 +113,9 @@ def ccg_significance(df: DataFrame, reach: int, width: int, jitter: int, reps: i
     """Peak of each pair's correlogram against jitter of the first channel's events by up to ``jitter``."""
     x = df.select("spike_id", "electrode", "t_us")
     off = F.when(F.col("rep") == 0, F.lit(0)).otherwise(draw("rep", "spike_id") % (2 * jitter + 1) - jitter)
-    left = replicates(x, reps).select("rep", F.col("electrode").alias("e1"), (F.col("t_us") + off).alias("t_us"))
-    pairs = pairs_within(left, x.select(F.col("electrode").alias("e2"), "t_us"), reach).where("a.e1 < b.e2")
-    at = F.least(F.expr(f"(b.t_us - a.t_us + {reach}) div {width}"), F.lit(2 * reach // width - 1))
-    peak = pairs.groupBy("a.rep", "a.e1", "b.e2", at.alias("at")).agg(F.count(F.lit(1)).alias("n")).groupBy("rep", "e1", "e2").agg(F.max("n").alias("n"))
+    left = replicates(x, reps).select("rep", "electrode", (F.col("t_us") + off).alias("t_us"))
+    counts = lag_sums(left, x, reach, bin_edges(reach, width), F.col("rep")).where("e1 < e2")
+    peak = counts.groupBy(F.col("id").cast("int").alias("rep"), "e1", "e2").agg(F.max("n").alias("n"))
     n1 = F.broadcast(df.groupBy(F.col("electrode").alias("e1")).agg(F.count(F.lit(1)).alias("n1")))
     return verdict(peak.join(n1, "e1").withColumn("peak", F.col("n") / F.col("n1") / (width / 1e6)), ["e1", "e2"], "peak", reps, alpha)
 
