@@ -12,13 +12,17 @@ whole sequence. Two documents link if |A and B| * 100 >= percent * |A or B|.
    either share l at least, in any common order; so a class whose rarest tokens
    meet a block's union in fewer than l tokens has no link there. Tokens of many
    documents come last in that order.
-4. A query that may link is sent to the block. There |query and union| is bound
-   again over the whole sets, and only a qualifying block is opened: exact
-   overlaps with all its members by an inverted index.
+4. A query that may link is sent to the block, first as a sketch alone: the parities
+   of its tokens by hash, a bit a token or more. Two sketches differ in no more bits
+   than the sets in tokens, so one that differs from all members by more than a link
+   allows has no link there. For the others the texts follow; |query and union| is
+   bound over the whole sets, and only a qualifying block is opened: exact overlaps
+   with all its members by an inverted index.
 5. Links only matter between components, so a first round compares within blocks
    and between neighbours of one group. In the second round a large component has
    blocks of its own and only smaller ones query them; small components of a
-   group share blocks, which small components query.
+   group share blocks, which small components query. A group that the first round
+   compared whole is not asked by its own classes again.
 
 Nothing is capped: a block that many queries reach is copied for runs of them.
 Null and empty texts, and those without a word, have an empty set and no link. A
@@ -42,10 +46,13 @@ from .text import Words, mix, shingle_sets, slices
 #: Members of a block and queries that meet one copy of it, about; and the shingles of either, which bound their texts' bytes.
 BLOCK, BLOCK_SHINGLES = 512, 1 << 20
 QUERIES, QUERY_SHINGLES = 2048, 4 << 20
+#: Bits of a sketch at least.
+SKETCH_BITS = 64
 #: Classes of a component that shares its blocks with others, at most.
 SMALL = 8
-#: Tokens in this many documents of one slice are candidates for the list of frequent tokens, of which so many are kept.
-FREQUENT_IN_SLICE = 4
+#: One text in COUNTED, by its hash, counts for the list of frequent tokens: those of FREQUENT of these classes at least, the most frequent ones.
+COUNTED = 16
+FREQUENT = 4
 FREQUENT_TOKENS = 1 << 16
 
 _ALT = np.uint64(0xA0761D6478BD642F)
@@ -69,22 +76,15 @@ def _lead(n: int, percent: int) -> tuple[int, int]:
 
 
 def _describe(width: int):
-    """One row per document, with its ``row`` where it has one; and one per token that is frequent within the slice."""
+    """One row per document, with its ``row`` where it has one."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        names = ["doc_id", "n", "cid", "g", "token", "docs"]
-        types = [pa.int64(), pa.int64(), pa.int64(), pa.int64(), pa.int64(), pa.int64()]
         for batch in batches:
             for part in slices(batch):
                 sets = shingle_sets(Words(part["text"]), width)
                 rows = [part["doc_id"], [len(s) for s in sets], [_class_of(s) for s in sets], [int(_signed(mix(s ^ _ALT).min(keepdims=True))[0]) if len(s) else 0 for s in sets]]
-                none = [None] * len(sets)
                 tag = [part["row"]] if "row" in part.schema.names else []
-                yield pa.RecordBatch.from_arrays([*(pa.array(x, t) for x, t in zip([*rows, none, none], types, strict=True)), *tag], names + ["row"] * len(tag))
-                token, count = np.unique(np.concatenate([*sets, np.zeros(0, np.uint64)]), return_counts=True)
-                often = count >= FREQUENT_IN_SLICE
-                none = [None] * int(often.sum())
-                yield pa.RecordBatch.from_arrays([*(pa.array(x, t) for x, t in zip([none, none, none, none, _signed(token[often]), count[often]], types, strict=True)), *(pa.array(none, pa.int64()) for _ in tag)], names + ["row"] * len(tag))
+                yield pa.RecordBatch.from_arrays([*(pa.array(x, pa.int64()) for x in rows), *tag], ["doc_id", "n", "cid", "g"] + ["row"] * len(tag))
 
     return run
 
@@ -154,14 +154,26 @@ def _unpack(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield pa.RecordBatch.from_arrays([pa.array(token), pa.array(cid)], ["token", "cid"])
 
 
+def _sketch(s: np.ndarray) -> bytes:
+    """Parities of the set's tokens by their low bits; a power of two of bits, as many as tokens at least."""
+    bits = max(SKETCH_BITS, 1 << (len(s) - 1).bit_length())
+    return np.packbits(np.bincount((s & np.uint64(bits - 1)).astype(np.int64), minlength=bits) & 1, bitorder="little").tobytes()
+
+
+def _folded(sketches: np.ndarray, size: int) -> np.ndarray:
+    """Sketches of ``size`` bytes of the same sets; rows are sketches of one larger size or the same."""
+    return np.bitwise_xor.reduce(sketches.reshape(len(sketches), -1, size), axis=1)
+
+
 def _own(width: int):
-    """Rows whose text has the class they are joined with; a repeated doc_id brings others too."""
+    """Rows whose text has the class they are joined with, and its sketch; a repeated doc_id brings others too."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for part in slices(batch):
-                real = [_class_of(s) for s in shingle_sets(Words(part["text"]), width)]
-                yield part.filter(pa.array(np.array(real, np.int64) == part["cid"].to_numpy()))
+                sets = shingle_sets(Words(part["text"]), width)
+                part = part.append_column("sketch", pa.array([_sketch(s) for s in sets], pa.binary()))
+                yield part.filter(pa.array(np.array([_class_of(s) for s in sets], np.int64) == part["cid"].to_numpy()))
 
     return run
 
@@ -218,13 +230,41 @@ def _open_groups(width: int, percent: int):
     return run
 
 
-def _links(asked: DataFrame, members: DataFrame, texts: DataFrame, width: int, percent: int) -> DataFrame:
-    """Links of asked (cid, block, n) in members (cid, block)."""
-    texts = texts.hint("merge")  # the same plan at every size
+def _may_link(percent: int):
+    """The queries whose sketch allows a link with a member of one block."""
+
+    def run(members: pa.Table, queries: pa.Table) -> pa.Table:
+        held, sizes = [np.frombuffer(x, np.uint8) for x in members["sketch"].to_pylist()], members["n"].to_numpy()
+        lengths = np.array([len(x) for x in held], np.int64)
+        of = {int(k): (np.stack([held[i] for i in np.flatnonzero(lengths == k)]), sizes[lengths == k]) for k in np.unique(lengths)}
+        found = {}
+        for cid, sketch, n in zip(*(queries[c].to_pylist() for c in ("asks", "sketch", "n")), strict=True):
+            q = np.frombuffer(sketch, np.uint8)[None]
+            for k, (x, m) in of.items():
+                size = min(k, q.shape[1])
+                apart = np.bitwise_count(_folded(x, size) ^ _folded(q, size)).sum(axis=1, dtype=np.int64)
+                # |A and B| * 100 >= percent * |A or B| with |A| + |B| = n + m
+                if np.any(apart * (100 + percent) <= (m + n) * (100 - percent)):
+                    found[cid] = n
+                    break
+        return pa.table({"cid": pa.array(list(found), pa.int64()), "block": pa.array(queries["to"].to_pylist()[:1] * len(found), pa.int64()), "n": pa.array(list(found.values()), pa.int64())})
+
+    return run
+
+
+def _met(asked: DataFrame, members: DataFrame, of: DataFrame, run, schema: str) -> DataFrame:
+    """``run`` over the members (cid, block) of each block and what asks it (cid, block, n), both with the columns of ``of`` (cid, ...)."""
+    of = of.hint("merge")  # the same plan at every size
     runs = asked.groupBy("block").agg(F.ceil(F.greatest(F.count(F.lit(1)) / QUERIES, F.sum("n") / QUERY_SHINGLES)).cast("int").alias("runs"))
-    queries = asked.join(runs, "block").withColumn("run", F.pmod(F.xxhash64("cid"), F.col("runs")).cast("int")).join(texts, "cid").select(F.col("block").alias("to"), F.col("run").alias("part"), F.col("cid").alias("asks"), F.col("text").alias("text"))
-    held = members.join(runs, "block").withColumn("run", F.explode(F.sequence(F.lit(0), F.col("runs") - 1))).join(texts, "cid").select("block", "run", "cid", "text")
-    return held.groupBy("block", "run").cogroup(queries.groupBy("to", "part")).applyInArrow(_open_groups(width, percent), "u long, v long")
+    told = [F.col(x).alias(x) for x in of.columns if x != "cid"]
+    queries = asked.select("cid", "block").join(runs, "block").withColumn("run", F.pmod(F.xxhash64("cid"), F.col("runs")).cast("int")).join(of, "cid").select(F.col("block").alias("to"), F.col("run").alias("part"), F.col("cid").alias("asks"), *told)
+    held = members.join(runs, "block").withColumn("run", F.explode(F.sequence(F.lit(0), F.col("runs") - 1))).drop("runs").join(of, "cid")
+    return held.groupBy("block", "run").cogroup(queries.groupBy("to", "part")).applyInArrow(run, schema)
+
+
+def _links(asked: DataFrame, members: DataFrame, held: DataFrame, width: int, percent: int) -> DataFrame:
+    """Links of asked (cid, block, n) in members (cid, block)."""
+    return _met(asked, members, held.select("cid", "text"), _open_groups(width, percent), "u long, v long")
 
 
 def _blocks(classes: DataFrame, *keys: str) -> DataFrame:
@@ -239,28 +279,33 @@ def _assigned(docs: DataFrame, width: int, percent: int, *tag: str) -> DataFrame
     spark, since = docs.sparkSession, mark()
     texts = docs.select("doc_id", "text")
     tagged = texts.select("*", *[F.xxhash64("text").alias(x) for x in tag])
-    described = stored(tagged.mapInArrow(_describe(width), ", ".join(["doc_id long, n long, cid long, g long, token long, docs long", *[f"{x} long" for x in tag]])), "sets")
-    rows = described.where("n is not null")
+    rows = stored(tagged.mapInArrow(_describe(width), ", ".join(["doc_id long, n long, cid long, g long", *[f"{x} long" for x in tag]])), "sets")
 
-    top = described.where("token is not null").groupBy("token").agg(F.sum("docs").alias("docs")).orderBy(F.desc("docs"), "token").limit(FREQUENT_TOKENS).toPandas()
+    labels, packs = even_labels(spark), "bucket int, tokens binary, classes binary"
+    none = spark.sparkContext.broadcast((np.zeros(0, np.uint64), np.zeros(0, np.int64)))
+    counted = texts.where(F.pmod(F.xxhash64("text"), F.lit(COUNTED)) == 0).mapInArrow(_prefixes(width, 0, labels, none), packs)  # of percent 0 the prefix is the set
+    often = counted.groupBy("bucket").applyInArrow(_shared_tokens, "token long, cid long").groupBy("token").agg(F.count(F.lit(1)).alias("docs")).where(F.col("docs") >= FREQUENT)
+    top = often.orderBy(F.desc("docs"), "token").limit(FREQUENT_TOKENS).toPandas()
     often, rank = top.token.to_numpy(np.int64).view(np.uint64), top.docs.to_numpy(np.int64)
     order = np.argsort(often)
     shared = spark.sparkContext.broadcast((often[order], rank[order]))  # at most FREQUENT_TOKENS pairs of longs
 
-    packed = stored(texts.mapInArrow(_prefixes(width, percent, even_labels(spark), shared), "bucket int, tokens binary, classes binary"), "prefixes")
+    here = mark()
+    packed = stored(texts.mapInArrow(_prefixes(width, percent, labels, shared), packs), "prefixes")
     light = packed.where("bucket is not null").groupBy("bucket").applyInArrow(_shared_tokens, "token long, cid long")
     heavy = packed.where("bucket is null").mapInArrow(_unpack, "token long, cid long").distinct()
-    matrix = stored(light.unionByName(heavy), "matrix")
+    matrix = settled(light.unionByName(heavy), "matrix", here)  # the prefixes go
 
     sized = rows.where("n > 0").groupBy("cid", "n", "g").agg(F.min("doc_id").alias("doc_id"))
     # a set with a link shares so many of its rarest tokens with the other, which has percent of its size at least
     met = matrix.groupBy("cid").agg(F.count(F.lit(1)).alias("met"))
     classes = stored(sized.join(met, "cid").where(F.col("met") >= 1 + F.floor(F.col("n") * percent / 100 / 32)).drop("met"), "classes")
-    one = texts.where("text is not null").join(classes.select("cid", "doc_id").hint("merge"), "doc_id")
-    held = stored(one.select("cid", "text").mapInArrow(_own(width), "cid long, text string"), "texts")
+    one = texts.where("text is not null").join(classes.select("cid", "doc_id", "n").hint("merge"), "doc_id")
+    held = stored(one.select("cid", "n", "text").mapInArrow(_own(width), "cid long, n long, text string, sketch binary"), "texts")
 
     # first round: within blocks, and the next block of the same group
     blocks = stored(_blocks(classes, "g"), "blocks")
+    whole = F.when(F.col("salts") <= 3, F.col("g")).alias("whole")  # every block of the group meets every other
     several = blocks.groupBy("g").agg(F.count(F.lit(1)).alias("c")).where("c > 1").select("g")
     inside = blocks.join(several, "g", "left_semi")
     after = F.xxhash64("g", F.pmod(F.col("salt") + 1, F.col("salts")).cast("int"))
@@ -269,21 +314,23 @@ def _assigned(docs: DataFrame, width: int, percent: int, *tag: str) -> DataFrame
 
     # second round: between components
     known = components(first)
-    named = classes.join(known.withColumnRenamed("node", "cid"), "cid", "left").withColumn("component", F.coalesce("component", "cid"))
+    named = blocks.select("cid", "n", "g", whole).join(known.withColumnRenamed("node", "cid"), "cid", "left").withColumn("component", F.coalesce("component", "cid"))
     weight = named.groupBy("component").agg(F.count(F.lit(1)).alias("weight"))
     # a large component has blocks of its own; small ones of one group share blocks, so that many of them are few blocks
     named = named.join(weight, "component").withColumn("at", F.when(F.col("weight") > SMALL, F.col("component")))
     again = stored(_blocks(named.withColumn("at", F.coalesce("at", F.lit(0))).withColumn("large", F.col("weight") > SMALL), "g", "at", "large"), "blocks")
     lead = F.lit(1) + F.floor(F.col("n") / 32)
-    about = again.groupBy("block").agg(F.min("n").alias("least"), F.max("n").alias("most"), F.min(lead).alias("lead"), F.first("at").alias("at"), F.first("large").alias("large"), F.max("weight").alias("at_weight"))
-    rare = matrix.join(again.select("cid", "n", "block", "component", "weight"), "cid")
+    about = again.groupBy("block").agg(F.min("n").alias("least"), F.max("n").alias("most"), F.min(lead).alias("lead"), F.first("at").alias("at"), F.first("large").alias("large"), F.max("weight").alias("at_weight"), F.first("whole").alias("there"))
+    rare = matrix.join(again.select("cid", "n", "block", "component", "weight", "whole"), "cid")
     rows_of = rare.select("token", "block").distinct().join(about, "block")
     smaller = (F.col("weight") < F.col("at_weight")) | ((F.col("weight") == F.col("at_weight")) & (F.col("component") < F.col("at")))
     asks = F.when(F.col("large"), smaller).otherwise(F.col("weight") <= SMALL)
     fits = (F.col("most") * 100 >= F.col("n") * percent) & (F.col("least") * percent <= F.col("n") * 100)
-    met = rare.drop("block").join(rows_of, "token").where(asks & fits).groupBy("cid", "block", "n", "lead").agg(F.count(F.lit(1)).alias("common"))
+    new = F.coalesce(F.col("whole") != F.col("there"), F.lit(True))
+    met = rare.drop("block").join(rows_of, "token").where(asks & fits & new).groupBy("cid", "block", "n", "lead").agg(F.count(F.lit(1)).alias("common"))
     asked = stored(met.where(F.col("common") >= F.least(lead, F.col("lead"))).select("cid", "block", "n"), "asked")
-    second = stored(_links(asked, again.select("cid", "block"), held, width, percent), "second")
+    close = stored(_met(asked, again.select("cid", "block"), held.select("cid", "n", "sketch"), _may_link(percent), "cid long, block long, n long"), "close")
+    second = stored(_links(close, again.select("cid", "block"), held, width, percent), "second")
 
     final = components(first.unionByName(second)).withColumnRenamed("node", "cid")
     named = rows.select("doc_id", "n", "cid", *tag).join(final, "cid", "left").withColumn("component", F.coalesce("component", "cid"))

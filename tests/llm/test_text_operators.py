@@ -5,6 +5,8 @@ import random
 import time
 from collections import Counter
 
+import numpy as np
+import pyarrow as pa
 import pytest
 from helpers import DOCS, components, deduplicated, documents, leaked, prose, shingles
 from pyspark.sql import functions as F
@@ -108,6 +110,41 @@ def test_jaccard_join_of_a_large_group_of_near_copies(spark, monkeypatch):
     assert got == components(rows, 4, 85)
 
 
+def test_jaccard_join_sends_no_text_for_a_shared_passage(spark, monkeypatch):
+    passage, sent, links = prose(78, 60), [], setjoin._links
+
+    def counted(asked, *rest):
+        sent.append(asked.count())
+        return links(asked, *rest)
+
+    monkeypatch.setattr(setjoin, "_links", counted)
+    rows = list(enumerate([prose(700 + i, 60) + " " + passage for i in range(60)] + [prose(700, 60) + " " + passage + " end"]))
+    got = {r.doc_id: r.component_id for r in setjoin.join_components(documents(spark, rows).repartition(30), 4, 85).collect()}
+    assert got == components(rows, 4, 85) and got[60] == 0
+    assert sum(sent) <= 4 * len(rows)  # not a text for each pair that shares the passage
+
+
+@pytest.mark.parametrize("percent", [50, 80, 85, 100])
+def test_sketches_of_linked_sets_are_never_refused(percent):
+    rng, linked, refused = np.random.default_rng(percent), 0, 0
+    for n in [1, 2, 5, 31, 63, 64, 65, 127, 128, 129, 200, 257, 1000]:
+        for changed in range(0, n + 2, max(1, n // 40)):
+            a = np.unique(rng.integers(0, 1 << 63, n, dtype=np.uint64))
+            b = np.unique(np.concatenate([a[: max(0, len(a) - changed)], rng.integers(0, 1 << 63, int(rng.integers(0, changed + 1)), dtype=np.uint64)]))
+            if not len(b):
+                continue
+            members = pa.table({"n": [len(a)], "sketch": [setjoin._sketch(a)]})
+            queries = pa.table({"to": [7], "asks": [1], "n": [len(b)], "sketch": [setjoin._sketch(b)]})
+            kept = setjoin._may_link(percent)(members, queries)
+            both = len(np.intersect1d(a, b))
+            if 100 * both >= percent * (len(a) + len(b) - both):
+                assert kept.to_pylist() == [{"cid": 1, "block": 7, "n": len(b)}]
+                linked += 1
+            else:
+                refused += not kept.num_rows
+    assert linked > 10 and refused > 10
+
+
 def test_jaccard_join_odd_tables(spark):
     assert setjoin.join_components(documents(spark, []), 4, 85).count() == 0
     df = spark.createDataFrame([(1, prose(1, 30), "p"), (1, prose(2, 30), "q"), (None, prose(1, 30), "r")], "doc_id long, text string, component_id string")
