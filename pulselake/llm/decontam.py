@@ -15,6 +15,9 @@ Plan, all in DataFrame functions:
    with a shingle of the items of that size; all others are below t. The item
    shingles reach the scan as a broadcast only below ``BROADCAST_ITEMS`` rows, by
    a shuffled join beyond.
+   Only documents with a window are read for their texts again: their ids are
+   sent to the scan below ``BROADCAST_ITEMS`` (a shuffled join beyond), so the
+   texts of the others are neither shuffled nor sorted.
 2. Fingerprints. Each window and item gets the 64-bit SimHash of its weighted
    shingles, with the 64 vote counters packed into the lanes of longs.
    Fingerprints of all windows of all item sizes would be 64 counters at each word
@@ -38,14 +41,14 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .shared import stored
+from .shared import partitions, stored
 
 WIDTH = 5
 MIN_SIMILARITY = 0.8
 #: Hamming radius. At similarity 0.8 the two share 8/9 of their weight, so a bit differs with chance acos(8/9) / pi = 0.15:
 #: 9.7 of 64 bits, with a deviation of 2.9, and more than 24 in less than one of 100,000 such windows.
 RADIUS = 24
-#: Shingle rows of the benchmark that may be broadcast (16 bytes each).
+#: Shingle rows of the benchmark, and ids of documents, that may be broadcast (16 bytes each).
 BROADCAST_ITEMS = 2_000_000
 
 #: Two vote counters of 32 bits in a long.
@@ -82,10 +85,19 @@ def simhash(hashes: Column) -> Column:
     return reduce(lambda a, b: a.bitwiseOR(b), bits)
 
 
+def numbered(hashes: Column) -> Column:
+    """The hashes, with each repetition as a hash of its own: what two arrays share by weight are then their common elements."""
+    before = lambda h, i: F.size(F.filter(F.slice(hashes, 1, i), lambda y: y == h))
+    apart = F.transform(hashes, lambda h, i: F.when(before(h, i) == 0, h).otherwise(F.xxhash64(h, before(h, i))))
+    return F.when(F.size(F.array_distinct(hashes)) == F.size(hashes), hashes).otherwise(apart)
+
+
 def weighted_similarity(a: Column, b: Column) -> Column:
-    """sum(min of counts) / sum(max of counts) of two arrays of shingle hashes."""
-    count = lambda x, h: F.size(F.filter(x, lambda y: y == h))
-    common = F.aggregate(F.array_intersect(a, b), F.lit(0), lambda s, h: s + F.least(count(a, h), count(b, h)))
+    """sum(min of counts) / sum(max of counts) of two arrays of shingle hashes that are ``numbered``.
+
+    A join evaluates it for every pair that agrees in a block, before the radius decides, so it has to be cheap.
+    """
+    common = F.size(F.array_intersect(a, b))
     return common / (F.size(a) + F.size(b) - common)
 
 
@@ -123,6 +135,19 @@ def items_of(benchmark: DataFrame, width: int = WIDTH) -> DataFrame:
     return sized.select("item_id", "n_words", "k", shingles.alias("shingles")).withColumn("fingerprint", simhash(F.col("shingles")))
 
 
+def shingle_rows(texts: DataFrame, widths: list[int]) -> DataFrame:
+    """(doc_id, n, k, pos, h): each shingle of k words, for each k in ``widths``, of texts (doc_id, words) of n words."""
+    # n is taken before the explosion: taken in it, each shingle's row would carry all words of its document
+    sized = texts.withColumn("n", F.size("words"))
+    return reduce(DataFrame.unionByName, [sized.select("doc_id", "n", F.lit(k).alias("k"), F.posexplode(_shingles(F.col("words"), k)).alias("pos", "h")) for k in widths])
+
+
+def _ids(rows: DataFrame) -> DataFrame:
+    """The doc_ids of a stored table with one row of each, broadcast up to the bound."""
+    ids = rows.select("doc_id")
+    return F.broadcast(ids) if rows.count() <= BROADCAST_ITEMS else ids
+
+
 def leaks(docs: DataFrame, benchmark: DataFrame, min_similarity: float = MIN_SIMILARITY, radius: int = RADIUS, width: int = WIDTH) -> DataFrame:
     """(doc_id, item_id, start, n_words, similarity): the best window of each leaked item in each document, and its words."""
     items = stored(items_of(benchmark, width), "items")
@@ -130,25 +155,27 @@ def leaks(docs: DataFrame, benchmark: DataFrame, min_similarity: float = MIN_SIM
     texts = docs.where("doc_id is not null and text is not null").select("doc_id", words_of(F.col("text")).alias("words"))
 
     # 1. starts of the windows that hold enough shingles of the items of one size
-    rows = reduce(DataFrame.unionByName, [texts.select("doc_id", F.size("words").alias("n"), F.lit(k).alias("k"), F.posexplode(_shingles(F.col("words"), k)).alias("pos", "h")) for k in sorted(size["ks"]) or [width]])
+    rows = shingle_rows(texts, sorted(size["ks"]) or [width])
     probes = items.select("k", "n_words", F.explode("shingles").alias("h")).distinct()
     probes = F.broadcast(probes) if size["rows"] <= BROADCAST_ITEMS else probes
     hits = rows.join(probes, ["k", "h"]).groupBy("doc_id", "n", "k", "n_words").agg(F.sort_array(F.collect_set("pos")).alias("hits")).withColumn("length", F.least("n", "n_words"))
     bound = hits.withColumn("need", least_shared(F.col("length") - F.col("k") + 1, F.col("n_words") - F.col("k") + 1, min_similarity)).where(F.size("hits") >= F.col("need"))
     laid = bound.select("doc_id", F.transform(_starts(), lambda s: F.struct("n", "k", "n_words", "length", s.alias("start"))).alias("laid"))
-    spots = laid.groupBy("doc_id").agg(F.flatten(F.collect_list("laid")).alias("spots"))
+    spots = stored(laid.groupBy("doc_id").agg(F.flatten(F.collect_list("laid")).alias("spots")), "spots")
 
     # 2. those windows, and their fingerprints; rows that repeat a doc_id are told apart by their size
-    held = spots.join(docs.where("text is not null").select("doc_id", "text"), "doc_id").select("doc_id", words_of(F.col("text")).alias("words"), "spots")
-    one = held.select("doc_id", "words", F.explode("spots").alias("s")).where(F.size("words") == F.col("s.n"))
+    some = docs.where("text is not null").select("doc_id", "text").join(_ids(spots), "doc_id", "left_semi").repartition(partitions(docs.sparkSession), "doc_id")
+    held = some.join(spots.hint("shuffle_hash"), "doc_id").select("doc_id", words_of(F.col("text")).alias("words"), "spots")
+    fit = F.filter("spots", lambda s: s["n"] == F.size("words"))
+    one = held.select("doc_id", F.explode(F.transform(fit, lambda s: s.withField("words", F.slice("words", s["start"] + 1, s["length"])))).alias("s"))
     count = F.col("s.length") - F.col("s.k") + 1
-    shingles = F.transform(F.sequence(F.lit(1), count), lambda i: F.xxhash64(F.slice(F.col("words"), i + F.col("s.start"), F.col("s.k"))))
+    shingles = F.transform(F.sequence(F.lit(1), count), lambda i: F.xxhash64(F.slice(F.col("s.words"), i, F.col("s.k"))))
     windows = one.select("doc_id", F.col("s.start").alias("start"), F.col("s.n_words").alias("n_words"), F.col("s.length").alias("length"), shingles.alias("window"))
-    windows = windows.withColumn("print", simhash(F.col("window")))
+    windows = windows.withColumn("print", simhash(F.col("window"))).withColumn("window", numbered(F.col("window")))
 
     # 3. candidates within the radius, by blocks; 4. the exact similarity of those
     left = windows.withColumn("key", F.explode(_block_keys(F.col("print"), radius)))
-    right = items.withColumn("key", F.explode(_block_keys(F.col("fingerprint"), radius)))
+    right = items.withColumn("shingles", numbered(F.col("shingles"))).withColumn("key", F.explode(_block_keys(F.col("fingerprint"), radius)))
     right = F.broadcast(right) if size["rows"] * (radius + 1) <= BROADCAST_ITEMS else right
     apart = F.bit_count(F.col("print").bitwiseXOR(F.col("fingerprint")))
     first = F.array_min(F.array(*[F.when(F.shiftrightunsigned(F.col("print").bitwiseXOR(F.col("fingerprint")), s).bitwiseAND(F.lit((1 << w) - 1)) == 0, F.lit(i)) for i, (s, w) in enumerate(blocks(radius))]))
@@ -156,6 +183,7 @@ def leaks(docs: DataFrame, benchmark: DataFrame, min_similarity: float = MIN_SIM
     scored = near.select("doc_id", "item_id", "start", F.col("length").alias("n_words"), weighted_similarity(F.col("window"), F.col("shingles")).alias("similarity"))
     best = F.max_by(F.struct("start", "n_words", "similarity"), F.struct("similarity", -F.col("start")))
     found = scored.where(F.col("similarity") >= min_similarity).groupBy("doc_id", "item_id").agg(best.alias("b"))
+    found = found.repartition("item_id", "doc_id")  # few rows, which few tasks write, not those that hold the windows
     return found.select("doc_id", "item_id", F.col("b.start").alias("start"), F.col("b.n_words").alias("n_words"), F.col("b.similarity").alias("similarity"))
 
 

@@ -2,6 +2,7 @@
 
 import hashlib
 import random
+import re
 import time
 from collections import Counter
 
@@ -273,6 +274,39 @@ def test_broadcast_bound_changes_no_result(spark, monkeypatch, bound):
     assert got == {(i, i % 4) for i in range(1, 12, 2)}
 
 
+def _plan(df) -> str:
+    return df._jdf.queryExecution().executedPlan().toString()
+
+
+def test_decontamination_sorts_no_texts(spark):
+    threshold = spark.conf.get("spark.sql.autoBroadcastJoinThreshold")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        docs, bench = documents(spark, [prose(i, 30) for i in range(4)]), _benchmark(spark, [prose(2, 30)])
+        found = _plan(decontam.leaks(docs, bench))
+    finally:
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", threshold)
+    assert "LeftSemi" in found and "SortMergeJoin" not in found  # only texts with windows go on
+    texts = spark.createDataFrame([(1, ["a"] * 9)], "doc_id long, words array<string>")
+    carried = re.findall(r"Generate posexplode\(.*\), \[([^\]]*)\], (?:false|true)", _plan(decontam.shingle_rows(texts, [5, 3])))
+    assert len(carried) == 2 and not any("words" in x for x in carried)
+
+
+@pytest.mark.parametrize("bound", [0, decontam.BROADCAST_ITEMS])
+def test_decontamination_weighs_repeated_shingles(spark, monkeypatch, bound):
+    monkeypatch.setattr(decontam, "BROADCAST_ITEMS", bound)
+    turn = "one two three four five six"
+    items = [" ".join([turn] * 4), f"{turn} {prose(970, 20)} {turn}"]
+    bodies = [items[0], " ".join([turn] * 3) + " one two three", " ".join([turn] * 9), f"{turn} {prose(970, 20)} {turn}"]
+    texts = [f"{prose(980 + i, 15)} {x} {prose(990 + i, 15)}" for i, x in enumerate(bodies)] + [prose(999, 40)]
+    want = {(d, i): leaked(t, x) for d, t in enumerate(texts) for i, x in enumerate(items) if leaked(t, x) >= 0.8}
+    assert {(0, 0), (2, 0), (3, 1)} <= set(want)
+    got = {(r.doc_id, r.item_id): r.similarity for r in decontam.leaks(documents(spark, texts), _benchmark(spark, items)).collect()}
+    assert got == pytest.approx(want)
+    left = sorted(r.doc_id for r in decontam.clean(documents(spark, [*enumerate(texts), (None, items[0])]), _benchmark(spark, items)).collect() if r.doc_id is not None)
+    assert left == sorted(set(range(len(texts))) - {d for d, _ in want})
+
+
 def test_line_query_digest(spark, tmp_path):
     rows = [(0, "x"), (1, None)]
     spark.createDataFrame([(i, t, "en", "s", 0) for i, t in rows], DOCS).write.parquet(f"{tmp_path}/documents.parquet")
