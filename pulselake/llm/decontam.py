@@ -17,7 +17,8 @@ Plan, all in DataFrame functions:
    a shuffled join beyond.
    Only documents with a window are read for their texts again: their ids are
    sent to the scan below ``BROADCAST_ITEMS`` (a shuffled join beyond), so the
-   texts of the others are neither shuffled nor sorted.
+   texts of the others are neither shuffled nor sorted. ``clean`` drops the
+   leaked documents the same way.
 2. Fingerprints. Each window and item gets the 64-bit SimHash of its weighted
    shingles, with the 64 vote counters packed into the lanes of longs.
    Fingerprints of all windows of all item sizes would be 64 counters at each word
@@ -189,4 +190,5 @@ def leaks(docs: DataFrame, benchmark: DataFrame, min_similarity: float = MIN_SIM
 
 def clean(docs: DataFrame, benchmark: DataFrame, **parameters) -> DataFrame:
     """The documents, with all their columns, that hold no benchmark item."""
-    return docs.join(leaks(docs, benchmark, **parameters).select("doc_id").distinct(), "doc_id", "left_anti").select(*docs.columns)
+    found = stored(leaks(docs, benchmark, **parameters).select("doc_id").distinct(), "leaked")
+    return docs.join(_ids(found), "doc_id", "left_anti").select(*docs.columns)

@@ -283,10 +283,11 @@ def test_decontamination_sorts_no_texts(spark):
     spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
     try:
         docs, bench = documents(spark, [prose(i, 30) for i in range(4)]), _benchmark(spark, [prose(2, 30)])
-        found = _plan(decontam.leaks(docs, bench))
+        found, clean = _plan(decontam.leaks(docs, bench)), _plan(decontam.clean(docs, bench))
     finally:
         spark.conf.set("spark.sql.autoBroadcastJoinThreshold", threshold)
     assert "LeftSemi" in found and "SortMergeJoin" not in found  # only texts with windows go on
+    assert "BroadcastHashJoin" in clean and "LeftAnti" in clean and "SortMergeJoin" not in clean and "Exchange hash" not in clean
     texts = spark.createDataFrame([(1, ["a"] * 9)], "doc_id long, words array<string>")
     carried = re.findall(r"Generate posexplode\(.*\), \[([^\]]*)\], (?:false|true)", _plan(decontam.shingle_rows(texts, [5, 3])))
     assert len(carried) == 2 and not any("words" in x for x in carried)
